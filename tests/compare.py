@@ -1,0 +1,62 @@
+"""Compares a Spark result with that of the checking SQL, row by row, order aside."""
+
+from __future__ import annotations
+
+import glob
+import os
+from collections import Counter
+from decimal import Decimal
+
+import duckdb
+
+KINDS = {
+    "tinyint": "int8", "smallint": "int16", "int": "int32", "integer": "int32", "bigint": "int64",
+    "string": "text", "varchar": "text", "double": "float", "float": "float",
+    "timestamp": "zoned", "timestamp_ntz": "instant",
+    "timestamp with time zone": "zoned", "boolean": "boolean", "date": "date",
+}
+DUCK = {**KINDS, "timestamp": "instant"}
+
+
+def _kind(name: str, kinds: dict[str, str]) -> str:
+    name = name.lower()
+    return name if name.startswith("decimal") else kinds.get(name, name)
+
+
+def connect(sf_dir: str):
+    con = duckdb.connect()
+    for path in glob.glob(f"{sf_dir}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    return con
+
+
+def duck_rows(con, sql: str):
+    columns = {r[0]: _kind(str(r[1]), DUCK) for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return columns, con.execute(sql).fetchall()
+
+
+def spark_rows(df):
+    return {n: _kind(t, KINDS) for n, t in df.dtypes}, [tuple(r) for r in df.collect()]
+
+
+def _value(v):
+    return v.normalize() if isinstance(v, Decimal) else v
+
+
+def difference(spark_result, duck_result) -> str | None:
+    """None where both agree in columns, types and rows; else what differs."""
+    (sc, sr), (dc, dr) = spark_result, duck_result
+    if sc != dc:
+        only = {k: (sc.get(k), dc.get(k)) for k in {*sc, *dc} if sc.get(k) != dc.get(k)}
+        return f"columns differ: {only}"
+    if len(set(sc)) != len(sc):
+        return "duplicate column names"
+    names = sorted(sc)
+    def bag(columns, rows):
+        at = [list(columns).index(n) for n in names]
+        return Counter(tuple(_value(r[i]) for i in at) for r in rows)
+    a, b = bag(sc, sr), bag(dc, dr)
+    if a == b:
+        return None
+    left, right = a - b, b - a
+    return f"{len(sr)} rows / {len(dr)} rows; only Spark {str(list(left.items())[:2])[:900]}; only SQL {str(list(right.items())[:2])[:900]}"
