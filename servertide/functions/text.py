@@ -50,7 +50,7 @@ def quotename(column: Column) -> Column:
 
 def single_line(column: Column) -> Column:
     """Line feeds and carriage returns as spaces."""
-    return F.translate(column, "\n\r", "  ")
+    return F.replace(F.replace(column, F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
 
 
 def kill_text(session_id: Column) -> Column:

@@ -23,6 +23,8 @@ def lookup_join(
     lookup: DataFrame,
     on: Sequence[str],
     how: str = "inner",
+    split: bool = True,
+    base: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
     max_hot_keys: int = MAX_HOT_KEYS,
 ) -> DataFrame:
@@ -32,10 +34,16 @@ def lookup_join(
     over several parts: each left row goes to one part by a hash of its values, the
     few lookup rows of the key are copied to all parts. Other keys and lookups join
     as usual. The result is that of ``left.join(lookup, on, how)`` for ``inner``,
-    ``left`` and ``left_semi``.
+    ``left`` and ``left_semi``. ``split=False`` is for a left side that is known to be
+    small enough for any one task. ``base`` is for a left side that earlier lookups have
+    widened: the rows before those, in which keys are counted, so that the earlier joins
+    do not run twice.
     """
     on = list(on)
-    counts = left.where(_all_set(on)).groupBy(*on).count().where(F.col("count") > rows_per_task)
+    if not split:
+        return left.join(lookup, on, how)
+    base = left if base is None else base
+    counts = base.where(_all_set(on)).groupBy(*on).count().where(F.col("count") > rows_per_task)
     hot = (
         counts.orderBy(F.col("count").desc(), *on)
         .limit(max_hot_keys)
@@ -45,7 +53,7 @@ def lookup_join(
     parts = F.when(_all_set(on), F.coalesce(F.col(_PARTS), F.lit(1))).otherwise(F.lit(MAX_PARTS))
     spread = (
         left.join(F.broadcast(hot), on, "left")
-        .withColumn(_PART, F.pmod(F.xxhash64(*left.columns), parts).cast("int"))
+        .withColumn(_PART, F.pmod(F.xxhash64(*base.columns), parts).cast("int"))
         .drop(_PARTS)
     )
     copied = (
@@ -56,20 +64,24 @@ def lookup_join(
     return spread.join(copied, [*on, _PART], how).drop(_PART)
 
 
-def attach(few: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", bounded: bool = True) -> DataFrame:
-    """Join the rows left by a top-k with a big table without shuffling that table.
+def may_be_hot(table: DataFrame) -> bool:
+    """Whether a written table has enough rows for a key to overload a task (reads file footers)."""
+    return table.count() > ROWS_PER_TASK
+
+
+def attach(few: DataFrame, lookup: DataFrame, on: Sequence[str], bounded: bool = True) -> DataFrame:
+    """Inner join of the rows left by a top-k with a big table, without shuffling that table.
 
     ``bounded`` says that ``few`` has at most k rows, whatever the data; only then it
     is broadcast. Otherwise the planner decides by size.
     """
-    on = list(on)
-    if not bounded:
-        return few.join(lookup, on, how)
-    if how == "inner":
-        return lookup.join(F.broadcast(few), on)
+    return lookup.join(F.broadcast(few) if bounded else few, list(on))
+
+
+def found_for(few: DataFrame, lookup: DataFrame, on: Sequence[str], bounded: bool = True) -> DataFrame:
+    """The lookup rows that ``few`` refers to: what remains to be outer-joined to it."""
     keys = few.select(*on).where(_all_set(on)).distinct()
-    found = lookup.join(F.broadcast(keys), on)
-    return few.join(found, on, how)
+    return attach(keys, lookup, on, bounded)
 
 
 def _all_set(columns: Sequence[str]):

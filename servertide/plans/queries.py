@@ -40,7 +40,7 @@ def cached_statements_with_plan(query_stats: DataFrame, sql_text: DataFrame, sta
     plan_key = [*scope, "plan_handle", *OFFSETS]
     rows = query_stats.select(*scope, *HANDLES, *OFFSETS)
     planned = lookup_join(rows, statement_plan.select(*plan_key, "query_plan"), plan_key)
-    full = lookup_join(planned, sql_text.select(*scope, "sql_handle", "text"), [*scope, "sql_handle"])
+    full = lookup_join(planned, sql_text.select(*scope, "sql_handle", "text"), [*scope, "sql_handle"], base=rows)
     return full.select(*scope, *HANDLES, *OFFSETS, _statement("inclusive").alias("statement"), "query_plan")
 
 
@@ -63,7 +63,7 @@ def procedure_plans(
         F.col("execution_count").alias("executions_of_current_plan"),
     )
     joined = lookup_join(statements, procedures, plan)
-    return lookup_join(joined, query_plan.select(*plan, "query_plan"), plan).select(
+    return lookup_join(joined, query_plan.select(*plan, "query_plan"), plan, base=statements).select(
         *scope, F.col("object_name").alias("procedure_name"), "procedure_executes", "version_of_plan",
         "executions_of_current_plan", "query_plan",
     )

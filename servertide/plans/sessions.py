@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from servertide.functions.numbers import div
 from servertide.functions.text import fold, kill_text, statement_slice, well_formed_xml
 from servertide.functions.times import duration_text, instant, plus_seconds, seconds_between
-from servertide.operators.lookup import attach, lookup_join
+from servertide.operators.lookup import attach, found_for, lookup_join
 from servertide.operators.ranking import top_k
+from servertide.operators.scratch import written
 
 # Ids up to this one belong to the server itself.
 LAST_SYSTEM_SESSION = 50
@@ -83,11 +84,11 @@ def session_inventory(
         "nt_domain", "nt_user_name",
     ]
     of_connection = ["num_reads", "num_writes", "last_read", "last_write", "client_net_address", "local_net_address"]
-    linked = mine.select(*scope, *of_session).join(
-        connections.select(*scope, "session_id", F.col("most_recent_sql_handle").alias("sql_handle"), *of_connection),
-        [*scope, "session_id"],
+    linked = connections.select(*scope, "session_id", F.col("most_recent_sql_handle").alias("sql_handle"), *of_connection)
+    batch = lookup_join(
+        linked.join(mine.select(*scope, *of_session), [*scope, "session_id"]),
+        sql_text.select(*scope, "sql_handle", "dbid", "objectid", "text"), [*scope, "sql_handle"], base=linked,
     )
-    batch = lookup_join(linked, sql_text.select(*scope, "sql_handle", "dbid", "objectid", "text"), [*scope, "sql_handle"])
     named = (
         batch.join(database_names(databases, scope, "dbid"), [*scope, "dbid"], "left")
         .join(object_names(objects, scope), [*scope, "dbid", "objectid"], "left")
@@ -139,15 +140,18 @@ def top_waiting_requests(
         rows = lookup_join(rows, of_database, handle, "left_semi")
 
     order = [F.col("wait_time").desc(), F.col("session_id"), F.col("request_id")]
-    top = top_k(rows, k, order, scope)
+    # Written, because three outer lookups start from it.
+    top = written(top_k(rows, k, order, scope), "top")
     bounded = not scope
     texts = sql_text.select(*handle, "dbid", "objectid", "text")
-    with_text = attach(top, texts, handle, "left", bounded)
-    with_plan = attach(with_text, query_plan.select(*plan, "query_plan"), plan, "left", bounded)
     statement_plans = statement_plan.select(*plan, *offsets, F.col("query_plan").alias("statement_plan"))
-    with_plans = attach(with_plan, statement_plans, [*plan, *offsets], "left", bounded)
+    full = top
+    for lookup, key in [
+        (texts, handle), (query_plan.select(*plan, "query_plan"), plan), (statement_plans, [*plan, *offsets]),
+    ]:
+        full = full.join(found_for(top, lookup, key, bounded), key, "left")
     named = (
-        with_plans.join(database_names(databases, scope, "dbid"), [*scope, "dbid"], "left")
+        full.join(database_names(databases, scope, "dbid"), [*scope, "dbid"], "left")
         .join(object_names(objects, scope), [*scope, "dbid", "objectid"], "left")
     )
     return named.orderBy(*scope, *order).select(
@@ -352,14 +356,14 @@ def lock_counts(tran_locks: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 def locked_objects(lock_info: DataFrame, processes: DataFrame, objects: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Objects on which sessions hold locks; equal locks are merged before any join."""
     scope = list(scope)
-    pairs = lock_info.select(*scope, "rsc_objid", F.col("req_spid").alias("spid")).distinct()
+    locks = lock_info.select(*scope, "rsc_objid", F.col("req_spid").alias("spid"))
     names = objects.where(F.col("name").isNotNull()).select(
         *scope, F.col("object_id").alias("rsc_objid"), F.col("name").alias("object_name")
     ).distinct()
     logins = processes.select(*scope, "spid", "loginame").distinct()
-    named = lookup_join(pairs, names, [*scope, "rsc_objid"]).select(*scope, "object_name", "spid")
+    named = lookup_join(locks.distinct(), names, [*scope, "rsc_objid"], base=locks)
     return (
-        lookup_join(named, logins, [*scope, "spid"])
+        lookup_join(named, logins, [*scope, "spid"], base=locks)
         .select(*scope, "object_name", F.col("spid").alias("req_spid"), "loginame").distinct()
     )
 
@@ -379,12 +383,11 @@ def busy_requests(
         *scope, "session_id", "request_id", "database_id", "wait_time", "wait_type", "blocking_session_id", "cpu_time",
         "logical_reads", "status", "command", "sql_handle", "plan_handle",
     )
-    of_session = sessions.select(*scope, "session_id", "login_name", "host_name", "program_name")
-    rows = rows.join(of_session, [*scope, "session_id"])
-    rows = lookup_join(rows, sql_text.select(*handle).distinct(), handle, "left_semi")
-    rows = lookup_join(rows, query_plan.select(*plan).distinct(), plan, "left_semi")
+    known = lookup_join(rows, sql_text.select(*handle), handle, "left_semi")
+    known = lookup_join(known, query_plan.select(*plan), plan, "left_semi", base=rows)
     order = [F.col("logical_reads").desc(), F.col("session_id"), F.col("request_id")]
-    top = top_k(rows, k, order, scope)
+    of_session = sessions.select(*scope, "session_id", "login_name", "host_name", "program_name")
+    top = top_k(known.join(of_session, [*scope, "session_id"]), k, order, scope)
     bounded = not scope
     full = attach(top, sql_text.select(*handle, "text"), handle, bounded=bounded)
     full = attach(full, query_plan.select(*plan, "query_plan"), plan, bounded=bounded)
@@ -407,7 +410,7 @@ def requests_with_plan(
     rows = requests.select(*scope, *_REQUEST, "sql_handle", "plan_handle")
     texts = sql_text.select(*scope, F.col("sql_handle").alias(text_key), "text")
     planned = lookup_join(rows, query_plan.select(*scope, "plan_handle", "query_plan"), [*scope, "plan_handle"])
-    return lookup_join(planned, texts, [*scope, text_key]).select(*scope, *_REQUEST, "text", "query_plan")
+    return lookup_join(planned, texts, [*scope, text_key], base=rows).select(*scope, *_REQUEST, "text", "query_plan")
 
 
 def connections_by_handle(connections: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

@@ -58,7 +58,11 @@ def task_space_sample(task_space: DataFrame, k: int = 100, scope: Sequence[str]
 
 
 def _snapshot(snapshots: DataFrame, at) -> DataFrame:
-    return snapshots.where(F.col("collect_date") == instant(at))
+    """Rows of one collection time; of a table partitioned by day, only that day is read."""
+    rows = snapshots.where(F.col("collect_date") == instant(at))
+    if "collect_day" in snapshots.columns:
+        rows = rows.where(F.col("collect_day") == F.to_date(instant(at))).drop("collect_day")
+    return rows
 
 
 def _pages():
@@ -106,5 +110,8 @@ def snapshot_top_offenders(snapshots: DataFrame, at, k: int = 10, chars: int = P
 def snapshot_timeline(snapshots: DataFrame, as_of, hours: int = 24, scope: Sequence[str] = ()) -> DataFrame:
     """Rows per collection time in the last hours."""
     since = instant(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours))
-    counts = snapshots.where(F.col("collect_date") > since).groupBy(*scope, "collect_date").agg(F.count("*").alias("rows"))
+    rows = snapshots.where(F.col("collect_date") > since)
+    if "collect_day" in snapshots.columns:
+        rows = rows.where(F.col("collect_day") >= F.to_date(since))
+    counts = rows.groupBy(*scope, "collect_date").agg(F.count("*").alias("rows"))
     return counts.orderBy(*scope, "collect_date")

@@ -1,0 +1,28 @@
+"""The snapshot table read while it grows, instead of polled."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from servertide.functions.text import truncate
+from servertide.plans.tempspace import PREFIX_CHARS
+from servertide.sources.schemas import schema
+
+
+def stream_snapshots(spark: SparkSession, root: str, late: str = "1 hour") -> DataFrame:
+    """New rows of the snapshot table; a collection counts as complete after ``late``."""
+    fields = schema("tempdb_snapshots").add("collect_day", "date")
+    rows = spark.readStream.schema(fields).parquet(f"{root}/tempdb_snapshots").drop("collect_day")
+    return rows.withColumn("collect_date", F.col("collect_date").cast("timestamp")).withWatermark("collect_date", late)
+
+
+def timeline(snapshots: DataFrame) -> DataFrame:
+    """Rows per collection time."""
+    return snapshots.groupBy("collect_date").agg(F.count("*").alias("rows"))
+
+
+def query_counts(snapshots: DataFrame, chars: int = PREFIX_CHARS) -> DataFrame:
+    """Rows per query text in each snapshot."""
+    prefix = truncate(F.col("query_text"), chars).alias("query_text")
+    return snapshots.groupBy("collect_date", prefix).agg(F.count("*").alias("rows"))
