@@ -272,12 +272,16 @@ def activity_monitor(
 
 
 def _repeat_rows(df: DataFrame, times: Column, key: Sequence[str], chunk: int = 10_000) -> DataFrame:
-    """Each row ``times`` times, numbered in ``__copy``; many copies of one row come from many tasks."""
-    step = F.lit(chunk)
+    """Each row ``times`` times, numbered in ``__copy``; many copies of one row come from many tasks.
+
+    The number of partitions is given, because the rows are few and small before they are
+    copied, and Spark would merge partitions by that size.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = (
         df.withColumn("__times", times.cast("long"))
-        .withColumn("__from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"), step.cast("long"))))
-        .repartition(*key, "__from")
+        .withColumn("__from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"), F.lit(chunk).cast("long"))))
+        .repartition(partitions, *key, "__from")
     )
     to = F.least(F.col("__from") + (chunk - 1), F.col("__times"))
     return chunks.withColumn("__copy", F.explode(F.sequence(F.col("__from"), to))).drop("__times", "__from")

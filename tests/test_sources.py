@@ -1,0 +1,71 @@
+"""Reading, appending and streaming collected tables."""
+
+from datetime import datetime, timedelta
+
+from servertide.operators.scratch import scratch_path
+from servertide.plans import storage, tempspace
+from servertide.sources.collected import append_collected, append_snapshot, read_collected, read_snapshots
+from servertide.sources.schemas import schema, tables
+from servertide.streaming.snapshots import query_counts, stream_snapshots, timeline
+
+T0 = datetime(2024, 1, 1, 10)
+
+
+def test_append_and_read(spark, rows):
+    root = scratch_path(spark, "tables")
+    for server in ("a", "b"):
+        append_collected(rows("wait_stats", [{"server_name": server, "wait_type": "W"}], "server_name"), root, "wait_stats")
+    got = read_collected(spark, root, "wait_stats", "server_name")
+    assert got.schema == schema("wait_stats", "server_name")
+    assert sorted(r.server_name for r in got.collect()) == ["a", "b"]
+
+
+def test_every_schema_builds():
+    assert all(len(schema(t, "server_name", "snapshot_ts")) > 2 for t in tables())
+    assert len(schema("who")) == 13
+
+
+def test_permissions(spark, rows):
+    path = scratch_path(spark, "permission")
+    for principal in ("p", "q"):
+        storage.append_permission(rows("truncate_permission", [{"table_name": "t", "principal": principal}]), path)
+    assert sorted(tuple(r) for r in storage.read_table(spark, path).collect()) == [("t", "p"), ("t", "q")]
+
+
+def collection(rows, hour, n):
+    return rows("tempdb_snapshots", [
+        {"collect_date": T0 + timedelta(hours=hour), "query_text": f"q{i % 2}", "internal_pages": i, "user_pages": 0} for i in range(n)
+    ])
+
+
+def test_snapshot_reports_read_one_day(spark, rows):
+    root = scratch_path(spark, "snapshots")
+    for hour in (0, 1, 30):
+        append_snapshot(collection(rows, hour, 4), root)
+    table = read_snapshots(spark, root)
+    one_day = tempspace.snapshot_query_counts(table, T0)
+    assert sorted(tuple(r) for r in one_day.collect()) == [("q0", 2), ("q1", 2)]
+    plan = one_day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(collect_day" in plan and "= 2024-01-01)" in plan
+    assert [r["rows"] for r in tempspace.snapshot_timeline(table, T0 + timedelta(hours=31)).collect()] == [4]
+    assert tempspace.snapshot_query_pages(table, T0).columns == ["query_text", "pages"]
+
+
+def test_snapshots_as_a_stream(spark, rows):
+    root = scratch_path(spark, "snapshots")
+    append_snapshot(collection(rows, 0, 3), root)
+
+    def run(report, name):
+        query = (
+            report(stream_snapshots(spark, root)).writeStream.outputMode("append").format("parquet")
+            .option("path", f"{root}/{name}").option("checkpointLocation", f"{root}/{name}_progress").trigger(availableNow=True).start()
+        )
+        query.awaitTermination(120)
+        return sorted(tuple(r)[:-1] + (r["rows"],) for r in spark.read.parquet(f"{root}/{name}").collect())
+
+    assert run(timeline, "timeline") == []  # the hour may still grow
+    append_snapshot(collection(rows, 5, 2), root)
+    assert run(timeline, "timeline") == [(T0, 3)]
+    append_snapshot(collection(rows, 9, 1), root)
+    assert run(timeline, "timeline") == [(T0, 3), (T0 + timedelta(hours=5), 2)]
+    assert run(query_counts, "counts") == [(T0, "q0", 2), (T0, "q1", 1), (T0 + timedelta(hours=5), "q0", 1), (T0 + timedelta(hours=5), "q1", 1)]
