@@ -285,6 +285,9 @@ ORACLES: dict[str, str] = {
     "connections_by_handle": with_views(["connections"], """
         SELECT most_recent_sql_handle, count(*) AS connections FROM connections GROUP BY most_recent_sql_handle"""),
     "connection_total": with_views(["connections"], "SELECT count(*) AS connections FROM connections"),
+    "blocker_of": with_views(["requests"], """
+        SELECT blocking_session_id, 'Kill ' || CAST(blocking_session_id AS VARCHAR) AS kill_command
+        FROM requests WHERE session_id = 118 AND blocking_session_id <> 118"""),
     "text_by_handle": with_views(["sql_text"], "SELECT * FROM sql_text WHERE sql_handle = 42"),
     "blocking_tree": _blocking_tree("    ", "|         ", "HEAD -  ", "|------  "),
     "blocking_tree_narrow": _blocking_tree(" ", "| ", "HEAD - ", "|------ "),
@@ -365,6 +368,8 @@ ORACLES: dict[str, str] = {
                {half_up('(10000 * size - 12800 * ((200 * space_used_pages + 128) // 256))', '100 * size', 18, 2)} AS free_space_perc
         FROM database_files"""),
     "read_table": "SELECT * FROM orders",
+    "newest_rows": "SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1000",
+    "job_names": with_views(["jobs"], "SELECT * FROM jobs"),
     "append_permission": with_views(["truncate_permission"], "SELECT * FROM truncate_permission"),
     "unused_indexes": with_views(["index_usage", "indexes", "partition_stats", "partitions", "objects", "schemas"], f"""
         SELECT * EXCLUDE (n) FROM (
@@ -404,6 +409,7 @@ ORACLES: dict[str, str] = {
                max(backup_finish_date) FILTER (type = 'I') AS last_differential, max(backup_finish_date) FILTER (type = 'L') AS last_log
         FROM backupset GROUP BY database_name"""),
     "database_overview": _database_overview(),
+    "temp_table_names": with_views(["temp_tables"], "SELECT name FROM temp_tables"),
     "temp_table_prefixes": with_views(["temp_tables"], """
         SELECT left(name, greatest(strpos(name, '__') - 1, 0)) AS table_name, count(1) AS tables
         FROM temp_tables WHERE length(rtrim(name, ' ')) > 9 GROUP BY 1"""),

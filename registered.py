@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from servertide.operators.scratch import scratch_path
 from servertide.plans import backups, blocking, indexes, queries, sessions, storage, tempspace, waits
-from servertide.sources.derived import view
+from servertide.sources.derived import view, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,19 +19,24 @@ SINCE = "1996-01-01 00:00:00"
 NO_LOAD_WAITS = ("WAIT_3", "WAIT_7", "WAIT_19", "WAIT_28")
 
 
-def over(report: Callable[..., DataFrame], *views: str, **parameters) -> Query:
-    """The report over the named views."""
+class over:
+    """A report over the named views."""
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return report(*[view(spark, sf_dir, name) for name in views], **parameters)
+    def __init__(self, report: Callable[..., DataFrame], *names: str, **parameters):
+        self.report, self.names, self.parameters = report, names, parameters
 
-    return run
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.report(*views(spark, sf_dir, self.names), **self.parameters)
 
 
 def _table(name: str) -> Query:
     return lambda spark, sf_dir: storage.read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
+def _newest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storage.newest_rows(_table("orders")(spark, sf_dir), "o_orderdate", ["o_orderkey"])
+
+
 def _append_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append two parts of the permission rows and read the table back."""
     rows = view(spark, sf_dir, "truncate_permission")
@@ -88,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "requests_with_plan": over(sessions.requests_with_plan, "requests", "query_plan", "sql_text"),
     "connections_by_handle": over(sessions.connections_by_handle, "connections"),
     "connection_total": over(sessions.connection_total, "connections"),
+    "blocker_of": over(sessions.blocker_of, "requests", session_id=118),
     "text_by_handle": over(sessions.text_by_handle, "sql_text", handle=42),
     # blocking
     "blocking_tree": over(blocking.blocking_tree, "processes", "sql_text"),
@@ -121,6 +127,8 @@ QUERIES: dict[str, Query] = {
     "file_space": over(storage.file_space, "master_files", "file_io_stats", "file_space_used", "databases"),
     "file_space_usage": over(storage.file_space_usage, "database_files"),
     "read_table": _table("orders"),
+    "newest_rows": _newest_rows,
+    "job_names": over(storage.job_names, "jobs"),
     "append_permission": _append_permission,
     # indexes
     "unused_indexes": over(
@@ -131,6 +139,7 @@ QUERIES: dict[str, Query] = {
     "last_backup_history": over(backups.last_backup_history, "backupset"),
     "database_overview": over(backups.database_overview, "databases", "master_files", "backupset", as_of=AS_OF),
     # temporary space
+    "temp_table_names": over(tempspace.temp_table_names, "temp_tables"),
     "temp_table_prefixes": over(tempspace.temp_table_prefixes, "temp_tables"),
     "temp_table_count": over(tempspace.temp_table_count, "temp_tables"),
     "top_session_space": over(tempspace.top_session_space, "session_space"),

@@ -12,6 +12,7 @@ from servertide.functions.text import fold, kill_text, statement_slice, well_for
 from servertide.functions.times import duration_text, instant, plus_seconds, seconds_between
 from servertide.operators.lookup import attach, found_for, lookup_join
 from servertide.operators.ranking import top_k
+from servertide.operators.repeat import repeat_rows
 from servertide.operators.scratch import written
 
 # Ids up to this one belong to the server itself.
@@ -265,28 +266,12 @@ def activity_monitor(
         "task_address", "blocked_requests",
     )
     return (
-        _repeat_rows(shown, F.coalesce(F.col("blocked_requests"), F.lit(1)), [*session, "task_address"])
+        repeat_rows(shown, F.coalesce(F.col("blocked_requests"), F.lit(1)), [*session, "task_address"])
         .orderBy(first, *session, "task_address", "__copy")
         .drop("task_address", "blocked_requests", "__copy")
     )
 
 
-def _repeat_rows(df: DataFrame, times: Column, key: Sequence[str], chunk: int = 10_000) -> DataFrame:
-    """Each row ``times`` times, numbered in ``__copy``; many copies of one row come from many tasks.
-
-    The number of partitions is given, because the rows are few and small before they are
-    copied, and Spark would merge partitions by that size.
-    """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = (
-        df.withColumn("__times", times.cast("long"))
-        .withColumn("__from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"), F.lit(chunk).cast("long"))))
-        .repartition(partitions, *key, "__from")
-    )
-    to = F.least(F.col("__from") + (chunk - 1), F.col("__times"))
-    return chunks.withColumn("__copy", F.explode(F.sequence(F.col("__from"), to))).drop("__times", "__from")
-
-
 def workload_group_sessions(sessions: DataFrame, workload_groups: DataFrame, exclude: Sequence[int] = (1, 2), scope: Sequence[str] = ()) -> DataFrame:
     """User sessions outside the built-in workload groups."""
     users = sessions.where((F.col("session_id") > LAST_SYSTEM_SESSION) & ~F.col("group_id").isin(*exclude))
@@ -429,6 +414,14 @@ def connection_total(connections: DataFrame, scope: Sequence[str] = ()) -> DataF
     return per_handle.groupBy(*scope).agg(F.sum("connections").alias("connections"))
 
 
+def blocker_of(requests: DataFrame, session_id: int, scope: Sequence[str] = ()) -> DataFrame:
+    """The session that another one waits for right now, with the text that would end it."""
+    blocker = F.col("blocking_session_id")
+    return requests.where((F.col("session_id") == session_id) & (blocker != F.col("session_id"))).select(
+        *scope, "blocking_session_id", kill_text(blocker).alias("kill_command")
+    )
+
+
 def text_by_handle(sql_text: DataFrame, handle: int | str | bytes) -> DataFrame:
     """The batch of one handle; a binary handle may be given as ``'0x…'``."""
     if isinstance(handle, str) and handle.startswith("0x"):

@@ -176,6 +176,16 @@ def read_table(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def newest_rows(table: DataFrame, date: str, key: Sequence[str], k: int = 1000) -> DataFrame:
+    """The k latest rows of a user table; ``key`` decides between equal dates."""
+    return top_k(table, k, [F.col(date).desc(), *[F.col(c) for c in key]])
+
+
+def job_names(jobs: DataFrame, job_id=None) -> DataFrame:
+    """Names of scheduled jobs, or of one."""
+    return (jobs if job_id is None else jobs.where(F.col("job_id") == job_id)).select("job_id", "name")
+
+
 def append_permission(permissions: DataFrame, path: str) -> None:
     """Append (table name, principal) rows to the permission table."""
     permissions.select("table_name", "principal").write.mode("append").parquet(path)

@@ -16,6 +16,10 @@ from servertide.operators.ranking import top_k
 PREFIX_CHARS = 100
 
 
+def temp_table_names(temp_tables: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    return temp_tables.select(*scope, "name")
+
+
 def temp_table_prefixes(temp_tables: DataFrame, min_length: int = 9, scope: Sequence[str] = ()) -> DataFrame:
     """Long-named tables by the part of the name before the padding."""
     prefix = tsql_substring(F.col("name"), F.lit(0), F.locate("__", F.col("name")))

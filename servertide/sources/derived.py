@@ -7,6 +7,8 @@ refer to, so groups stay small as the data grows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +31,22 @@ def _database_of(object_id: str) -> str:
 
 _START = "TIMESTAMP '2024-01-01 00:00:00'"
 
+# Columns of the supplied tables that the views read.
+TABLES = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": """o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,
+        o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING""",
+    "lineitem": """l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE,
+        l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING,
+        l_shipdate TIMESTAMP_NTZ""",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+}
+
 # view: (tables it reads, text)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "processes": (("customer", "documents"), f"""
@@ -257,23 +275,31 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "tempdb_snapshots": (("events", "documents"), f"""
         SELECT date_trunc('day', ts) AS collect_date, text AS query_text, {_whole('value')} AS internal_pages, user_id AS user_pages
         FROM (SELECT ts, value, user_id, event_id % {_DOCS} AS doc FROM events) AS e JOIN documents ON doc = doc_id"""),
+    "jobs": (("part",), f"""
+        SELECT concat('job-', {_text('p_partkey')}) AS job_id, concat(p_name, ' of ', p_brand) AS name FROM part"""),
     "truncate_permission": (("customer",), f"""
         SELECT concat('db.dbo.table_', {_text('c_custkey % 97')}) AS table_name, c_name AS principal FROM customer"""),
 }
 
 
+def views(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> list[DataFrame]:
+    """Telemetry-shaped DataFrames over the tables in ``sf_dir``."""
+    for table in sorted({table for name in names for table in VIEWS[name][0]}):
+        spark.read.schema(TABLES[table]).parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    return [_without_zones(spark.sql(VIEWS[name][1])) for name in names]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A telemetry-shaped DataFrame over the tables in ``sf_dir``."""
-    tables, text = VIEWS[name]
-    for table in tables:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    df = spark.sql(text)
-    # Collected timestamps have no zone; literals in the text have one in Spark.
+    return views(spark, sf_dir, [name])[0]
+
+
+def _without_zones(df: DataFrame) -> DataFrame:
+    """Collected timestamps have no zone; literals in the texts have one in Spark."""
     zoned = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampType)]
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned}) if zoned else df
 
 
-def with_views(names: tuple[str, ...] | list[str], query: str, recursive: bool = False) -> str:
+def with_views(names: Sequence[str], query: str, recursive: bool = False) -> str:
     """Checking SQL: the texts of the views as CTEs, then the query (which may go on with CTEs)."""
     ctes = ",\n".join(f"{name} AS ({VIEWS[name][1]})" for name in names)
     rest = query.strip()

@@ -79,6 +79,7 @@ _DDL = {
         internal_object_reserved_page_count BIGINT, version_store_reserved_page_count BIGINT,
         unallocated_extent_page_count BIGINT""",
     "temp_tables": "name STRING",
+    "jobs": "job_id STRING, name STRING",
     "tempdb_snapshots": "collect_date TIMESTAMP_NTZ, query_text STRING, internal_pages BIGINT, user_pages BIGINT",
     "truncate_permission": "table_name STRING, principal STRING",
 }

@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from servertide.operators.repeat import repeat_rows
 from servertide.plans import backups, indexes, queries, sessions, storage, tempspace, waits
 
 T0 = datetime(2024, 1, 1)
@@ -136,7 +137,7 @@ def test_longest_wait_of_a_task(rows):
 
 def test_many_copies_come_from_many_tasks(spark):
     df = spark.createDataFrame([(1, 95), (2, 1), (3, 10)], "k INT, n INT")
-    got = sessions._repeat_rows(df, F.col("n"), ["k"], chunk=10)
+    got = repeat_rows(df, F.col("n"), ["k"], chunk=10)
     assert {r.k: (r["count"], r["lo"], r["hi"]) for r in got.groupBy("k").agg(
         F.count("*").alias("count"), F.min("__copy").alias("lo"), F.max("__copy").alias("hi")).collect()
     } == {1: (95, 1, 95), 2: (1, 1, 1), 3: (10, 1, 10)}
