@@ -14,8 +14,7 @@ from registered import QUERIES, over
 from servertide.sources.derived import views
 
 SOME = {
-    "activity_monitor", "blocking_tree", "busy_requests", "heap_tables", "root_blockers", "snapshot_top_offenders",
-    "top_queries", "top_waiting_requests", "unused_indexes", "wait_pareto",
+    "blocking_tree", "root_blockers", "top_queries", "unused_indexes", "wait_pareto",
 }
 
 
