@@ -1,5 +1,6 @@
-"""Checking SQL for each registered query, in the plainest form: correlated subqueries,
-triangular and self-joins, recursion. It shares only the texts of the views.
+"""Checking SQL for each registered query. It shares only the texts of the views and works
+differently where the library does something of its own: forests are climbed session by
+session, running sums are plain windows, rankings are window numbers.
 """
 
 from __future__ import annotations
@@ -36,98 +37,87 @@ def cut_statement(variant: str, text: str = "t.text", start: str = "r.statement_
 
 
 def _session_inventory(condition: str) -> str:
-    return with_views(["sessions", "connections", "sql_text", "databases", "object_names"], f"""
-        SELECT s.session_id, s.login_time, s.last_request_start_time, s.last_request_end_time, s.is_user_process, s.host_name,
-               s.program_name, s.login_name, s.status, c.num_reads, c.num_writes, c.last_read, c.last_write, s.reads,
-               s.logical_reads, s.writes, (SELECT d.name FROM databases d WHERE d.database_id = t.dbid) AS database_name,
-               (SELECT o.name FROM object_names o WHERE o.database_id = t.dbid AND o.object_id = t.objectid) AS object_name,
-               s.client_interface_name, s.nt_domain, s.nt_user_name, c.client_net_address, c.local_net_address,
-               coalesce(t.text, '') AS query, 'Kill ' || CAST(s.session_id AS VARCHAR) AS kill_command
-        FROM sessions s JOIN connections c ON c.session_id = s.session_id
-             JOIN sql_text t ON t.sql_handle = c.most_recent_sql_handle
+    return with_views(["sessions", "connections", "sql_text", "databases", "object_names"], f"""AND batches AS (
+            SELECT t.sql_handle AS most_recent_sql_handle, d.name AS database_name, o.name AS object_name, coalesce(t.text, '') AS query
+            FROM sql_text t LEFT JOIN databases d ON d.database_id = t.dbid
+                 LEFT JOIN object_names o ON o.database_id = t.dbid AND o.object_id = t.objectid)
+        SELECT * EXCLUDE (most_recent_sql_handle, cpu_time, memory_usage, group_id), concat('Kill ', session_id) AS kill_command
+        FROM connections JOIN sessions USING (session_id) JOIN batches USING (most_recent_sql_handle)
         WHERE {condition}""")
 
 
 def _top_waiting(condition: str) -> str:
-    return with_views(["requests", "sql_text", "query_plan", "statement_plan", "databases", "object_names"], f"""
-        SELECT r.wait_time, d.name AS database_name, o.name AS object_name, r.percent_complete, r.wait_resource,
-               r.last_wait_type, r.blocking_session_id, r.session_id, r.request_id, r.status, r.command, t.text AS sql_text,
-               {cut_statement('inclusive')} AS sql_statement, p.query_plan, p2.query_plan AS statement_plan,
-               p2.query_plan AS statement_plan_xml
-        FROM requests r LEFT JOIN sql_text t ON t.sql_handle = r.sql_handle
-             LEFT JOIN query_plan p ON p.plan_handle = r.plan_handle
-             LEFT JOIN statement_plan p2 ON p2.plan_handle = r.plan_handle
-                  AND p2.statement_start_offset = r.statement_start_offset AND p2.statement_end_offset = r.statement_end_offset
-             LEFT JOIN databases d ON d.database_id = t.dbid
-             LEFT JOIN object_names o ON o.database_id = t.dbid AND o.object_id = t.objectid
-        WHERE r.status <> 'background' AND r.command <> 'TASK MANAGER' AND {condition}
-        ORDER BY r.wait_time DESC, r.session_id, r.request_id LIMIT 20""")
+    return with_views(["requests", "sql_text", "query_plan", "statement_plan", "databases", "object_names"], f"""AND r AS (
+            SELECT * FROM requests WHERE status IN ('running', 'suspended') AND command = 'SELECT' AND {condition}
+            ORDER BY wait_time DESC, session_id, request_id LIMIT 20),
+        named AS (
+            SELECT t.sql_handle, t.text, d.name AS database_name, o.name AS object_name
+            FROM sql_text t LEFT JOIN databases d ON d.database_id = t.dbid
+                 LEFT JOIN object_names o ON o.database_id = t.dbid AND o.object_id = t.objectid),
+        statements AS (SELECT * RENAME (query_plan AS statement_plan) FROM statement_plan)
+        SELECT wait_time, database_name, object_name, percent_complete, wait_resource, last_wait_type, blocking_session_id,
+               session_id, request_id, status, command, t.text AS sql_text, {cut_statement('inclusive')} AS sql_statement,
+               query_plan, statement_plan, statement_plan AS statement_plan_xml
+        FROM r LEFT JOIN named t USING (sql_handle) LEFT JOIN query_plan USING (plan_handle)
+             LEFT JOIN statements USING (plan_handle, statement_start_offset, statement_end_offset)""")
 
 
 def _activity(condition: str) -> str:
-    views = ["sessions", "connections", "requests", "tasks", "waiting_tasks", "workload_groups", "processes", "databases"]
-    return with_views(views, f"""
-        SELECT 'Kill ' || CAST(s.session_id AS VARCHAR) AS kill_command, s.session_id,
-               CASE WHEN s.is_user_process THEN '1' ELSE '0' END AS user_process, s.login_name AS login,
-               coalesce((SELECT d.name FROM databases d WHERE d.database_id = p.dbid), '') AS database,
-               coalesce(t.task_state, '') AS task_state, coalesce(r.command, '') AS command,
-               coalesce(s.program_name, '') AS application, coalesce(w.wait_duration_ms, 0) AS wait_time_ms,
-               coalesce(w.wait_type, '') AS wait_type, coalesce(w.resource_description, '') AS wait_resource,
-               coalesce(CAST(w.blocking_session_id AS VARCHAR), '') AS blocked_by,
-               CASE WHEN r2.session_id IS NOT NULL AND (r.blocking_session_id = 0 OR r.session_id IS NULL) THEN '1' ELSE '' END AS head_blocker,
-               s.cpu_time AS total_cpu_ms, (s.reads + s.writes) * 8 // 1024 AS total_physical_io_mb,
-               s.memory_usage * 8192 // 1024 AS memory_use_kb, coalesce(r.open_transaction_count, 0) AS open_transactions,
-               s.login_time, s.last_request_start_time, coalesce(s.host_name, '') AS host_name, coalesce(g.name, '') AS workload_group
-        FROM sessions s LEFT JOIN connections c ON s.session_id = c.session_id
-             LEFT JOIN requests r ON s.session_id = r.session_id
-             LEFT JOIN tasks t ON r.session_id = t.session_id AND r.request_id = t.request_id
-             LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY waiting_task_address ORDER BY wait_duration_ms DESC, waiting_task_id) AS n
-                        FROM waiting_tasks) w ON t.task_address = w.waiting_task_address AND w.n = 1
-             LEFT JOIN requests r2 ON s.session_id = r2.blocking_session_id
-             LEFT JOIN workload_groups g ON g.group_id = s.group_id
-             LEFT JOIN processes p ON s.session_id = p.spid
-        WHERE (t.task_state = 'RUNNABLE' OR t.task_state = 'RUNNING' OR t.task_state = 'SUSPENDED')
-              AND s.session_id > 50 AND g.name <> 'internal' AND {condition}""")
+    names = ["sessions", "connections", "requests", "tasks", "waiting_tasks", "workload_groups", "processes", "databases"]
+    return with_views(names, f"""AND longest AS (
+            SELECT waiting_task_address AS task_address, wait_duration_ms, wait_type, resource_description, blocking_session_id
+            FROM waiting_tasks
+            QUALIFY row_number() OVER (PARTITION BY waiting_task_address ORDER BY wait_duration_ms DESC, waiting_task_id) = 1),
+        waiters AS (SELECT blocking_session_id AS session_id, session_id AS waiter FROM requests),
+        active AS (
+            SELECT session_id, task_address, task_state, command, open_transaction_count, blocking_session_id AS waits_for
+            FROM tasks JOIN requests USING (session_id, request_id) WHERE task_state IN ('RUNNABLE', 'RUNNING', 'SUSPENDED')),
+        placed AS (SELECT p.spid AS session_id, d.name FROM processes p LEFT JOIN databases d ON d.database_id = p.dbid)
+        SELECT concat('Kill ', session_id) AS kill_command, session_id, CAST(CAST(is_user_process AS INTEGER) AS VARCHAR) AS user_process,
+               login_name AS login, coalesce(placed.name, '') AS database, task_state, command, program_name AS application,
+               coalesce(wait_duration_ms, 0) AS wait_time_ms, coalesce(wait_type, '') AS wait_type,
+               coalesce(resource_description, '') AS wait_resource, coalesce(CAST(longest.blocking_session_id AS VARCHAR), '') AS blocked_by,
+               if(waiter IS NOT NULL AND waits_for = 0, '1', '') AS head_blocker, cpu_time AS total_cpu_ms,
+               (reads + writes) // 128 AS total_physical_io_mb, memory_usage * 8 AS memory_use_kb, open_transaction_count AS open_transactions,
+               login_time, last_request_start_time, coalesce(host_name, '') AS host_name, workload_groups.name AS workload_group
+        FROM active JOIN sessions USING (session_id) JOIN workload_groups USING (group_id)
+             LEFT JOIN connections USING (session_id) LEFT JOIN placed USING (session_id) LEFT JOIN waiters USING (session_id)
+             LEFT JOIN longest USING (task_address)
+        WHERE workload_groups.name <> 'internal' AND session_id >= 51 AND {condition}""")
 
 
 def _blocking_tree(margin: str, indent: str, head: str, blocked: str) -> str:
-    return with_views(["processes", "sql_text"], f"""AND batches AS (
-            SELECT p.spid, p.blocked, replace(replace(t.text, chr(10), ' '), chr(13), ' ') AS batch
-            FROM processes p JOIN sql_text t ON t.sql_handle = p.sql_handle),
-        blockers AS (
-            SELECT spid, blocked, spid AS root_spid, 0 AS depth, batch FROM batches b
-            WHERE (blocked = 0 OR blocked = spid)
-                  AND EXISTS (SELECT 1 FROM batches b2 WHERE b2.blocked = b.spid AND b2.blocked <> b2.spid)
+    """Each session climbs to its head; those that arrive at one that blocks somebody are the forest."""
+    return with_views(["processes", "sql_text"], f"""AND known AS (
+            SELECT spid, blocked, nullif(if(blocked = spid, 0, blocked), 0) AS blocker, translate(text, chr(10) || chr(13), '  ') AS batch
+            FROM processes JOIN sql_text USING (sql_handle)),
+        climb AS (
+            SELECT spid, spid AS reached, blocker AS next, 0 AS depth FROM known
             UNION ALL
-            SELECT b.spid, b.blocked, u.root_spid, u.depth + 1, b.batch
-            FROM batches b JOIN blockers u ON b.blocked = u.spid WHERE b.blocked > 0 AND b.blocked <> b.spid)
+            SELECT c.spid, k.spid, k.blocker, c.depth + 1 FROM climb c JOIN known k ON k.spid = c.next),
+        arrived AS (
+            SELECT spid, reached AS root_spid, depth FROM climb
+            WHERE next IS NULL AND reached IN (SELECT blocker FROM known WHERE blocker IS NOT NULL))
         SELECT spid, blocked, root_spid, depth,
-               '{margin}' || repeat('{indent}', depth) || CASE WHEN depth = 0 THEN '{head}' ELSE '{blocked}' END
-               || CAST(spid AS VARCHAR) || ' ' || batch AS blocking_tree
-        FROM blockers""", recursive=True)
+               concat('{margin}', repeat('{indent}', depth), if(depth = 0, '{head}', '{blocked}'), spid, ' ', batch) AS blocking_tree
+        FROM arrived JOIN known USING (spid)""", recursive=True)
 
 
 def _wait_pareto(view: str, threshold: int, server: bool) -> str:
-    scope = "w.server_name, " if server else ""
-    same = "AND w2.server_name = w.server_name" if server else ""
-    group = "server_name, " if server else ""
-    return with_views([view], f"""AND waits AS (
-            SELECT *, wait_time_ms - signal_wait_time_ms AS resource_ms,
-                   CAST(sum(wait_time_ms) OVER ({'PARTITION BY server_name' if server else ''}) AS HUGEINT) AS total,
-                   row_number() OVER ({'PARTITION BY server_name' if server else ''} ORDER BY wait_time_ms DESC, wait_type) AS n
-            FROM {view} WHERE wait_type NOT IN ({_WAITS}) AND waiting_tasks_count > 0),
-        kept AS (
-            SELECT {scope}w.wait_type FROM waits w JOIN waits w2 ON w2.n <= w.n {same}
-            GROUP BY {scope}w.wait_type
-            HAVING 100 * (sum(w2.wait_time_ms) - max(w.wait_time_ms)) < {threshold} * max(w.total))
-        SELECT {group}wait_type, {half_up('wait_time_ms', '1000', 16, 2)} AS wait_s,
+    scope = "server_name" if server else "1"
+    column = "server_name, " if server else ""
+    return with_views([view], f"""AND loads AS (
+            SELECT *, wait_time_ms - signal_wait_time_ms AS resource_ms, sum(wait_time_ms) OVER (PARTITION BY {scope}) AS total,
+                   sum(wait_time_ms) OVER (PARTITION BY {scope} ORDER BY wait_time_ms DESC, wait_type ROWS UNBOUNDED PRECEDING) AS upto
+            FROM {view} WHERE NOT wait_type IN ({_WAITS}) AND waiting_tasks_count > 0)
+        SELECT {column}wait_type, {half_up('wait_time_ms', '1000', 16, 2)} AS wait_s,
                {half_up('resource_ms', '1000', 16, 2)} AS resource_s, {half_up('signal_wait_time_ms', '1000', 16, 2)} AS signal_s,
                waiting_tasks_count AS wait_count, {half_up('wait_time_ms * 100', 'total', 5, 2)} AS percentage,
                {half_up('wait_time_ms', 'waiting_tasks_count * 1000', 16, 4)} AS avg_wait_s,
                {half_up('resource_ms', 'waiting_tasks_count * 1000', 16, 4)} AS avg_res_s,
                {half_up('signal_wait_time_ms', 'waiting_tasks_count * 1000', 16, 4)} AS avg_sig_s,
-               '{WAIT_HELP_PREFIX}' || wait_type AS help_url
-        FROM waits JOIN kept USING ({group}wait_type)""")
+               concat('{WAIT_HELP_PREFIX}', wait_type) AS help_url
+        FROM loads WHERE (upto - wait_time_ms) * 100 < total * {threshold}""")
 
 
 _MEASURES = """creation_time, r.last_execution_time, r.execution_count, r.total_worker_time, r.last_worker_time, r.total_logical_reads,
@@ -136,83 +126,77 @@ _MEASURES = """creation_time, r.last_execution_time, r.execution_count, r.total_
 
 
 def _procedures(condition: str) -> str:
-    return with_views(["procedure_stats", "query_stats", "query_plan", "object_names"], f"""
-        SELECT (SELECT o.name FROM object_names o WHERE o.database_id = p.database_id AND o.object_id = p.object_id) AS procedure_name,
-               p.execution_count AS procedure_executes, q.plan_generation_num AS version_of_plan,
-               q.execution_count AS executions_of_current_plan, x.query_plan
-        FROM procedure_stats p JOIN query_stats q ON p.plan_handle = q.plan_handle JOIN query_plan x ON x.plan_handle = q.plan_handle
-        WHERE {condition}""")
-
-
-def _ranking(report: str, order: str) -> str:
-    return f"""(SELECT '{report}' AS report_name, CAST(row_number() OVER (ORDER BY {order} DESC, sql_handle, plan_handle,
-                statement_start_offset, statement_end_offset) AS INTEGER) AS row_no, * FROM recent
-                ORDER BY {order} DESC, sql_handle, plan_handle, statement_start_offset, statement_end_offset LIMIT 20)"""
+    return with_views(["procedure_stats", "query_stats", "query_plan", "object_names"], f"""AND called AS (
+            SELECT plan_handle, execution_count AS procedure_executes, database_id, name AS procedure_name
+            FROM procedure_stats LEFT JOIN object_names USING (database_id, object_id))
+        SELECT procedure_name, procedure_executes, plan_generation_num AS version_of_plan, execution_count AS executions_of_current_plan, query_plan
+        FROM query_stats JOIN called USING (plan_handle) JOIN query_plan USING (plan_handle) WHERE {condition}""")
 
 
 def _top_queries() -> str:
-    lists = " UNION ALL ".join([
-        _ranking("TotalCPU", "total_worker_time"), _ranking("AvgCPU", "total_worker_time // execution_count"),
-        _ranking("TotalIO", "total_logical_reads"), _ranking("AVGIO", "total_logical_reads // execution_count"),
-    ])
-    return with_views(["query_stats", "sql_text", "query_plan", "databases", "object_names"], f"""AND recent AS (
-            SELECT * FROM query_stats WHERE last_execution_time > TIMESTAMP '{SINCE}' AND execution_count > 25),
-        lists AS ({lists})
-        SELECT r.row_no, r.report_name, r.creation_time, r.last_execution_time, r.execution_count, r.total_worker_time,
-               r.total_worker_time // r.execution_count AS avg_worker_time, r.last_worker_time, r.total_logical_reads,
-               r.total_logical_reads // r.execution_count AS avg_logical_reads,
-               r.last_logical_reads // r.execution_count AS last_reads_per_execution, r.last_logical_reads,
-               r.total_elapsed_time, r.last_elapsed_time, r.total_rows, r.last_rows, r.total_grant_kb, r.last_grant_kb,
-               r.total_used_grant_kb, r.last_used_grant_kb, r.total_ideal_grant_kb, r.last_ideal_grant_kb,
-               t.dbid AS database_id, d.name AS database_name, t.objectid, coalesce(o.name, '') AS object_name,
-               {cut_statement('exclusive')} AS sql_statement, p.query_plan
-        FROM lists r JOIN sql_text t ON t.sql_handle = r.sql_handle JOIN query_plan p ON p.plan_handle = r.plan_handle
-             LEFT JOIN databases d ON d.database_id = t.dbid
-             LEFT JOIN object_names o ON o.database_id = t.dbid AND o.object_id = t.objectid
-        WHERE coalesce(d.name, '') NOT IN ('DB_3', '')""")
+    keys = "sql_handle, plan_handle, statement_start_offset, statement_end_offset"
+    measures = {
+        "TotalCPU": "total_worker_time", "AvgCPU": "total_worker_time // execution_count",
+        "TotalIO": "total_logical_reads", "AVGIO": "total_logical_reads // execution_count",
+    }
+    numbers = ", ".join(f"row_number() OVER (ORDER BY {m} DESC, {keys}) AS {name}" for name, m in measures.items())
+    return with_views(["query_stats", "sql_text", "query_plan", "databases", "object_names"], f"""AND numbered AS (
+            SELECT *, {numbers} FROM query_stats WHERE last_execution_time > TIMESTAMP '{SINCE}' AND execution_count > 25),
+        r AS (
+            SELECT * REPLACE (CAST(row_no AS INTEGER) AS row_no)
+            FROM (UNPIVOT numbered ON {", ".join(measures)} INTO NAME report_name VALUE row_no) WHERE row_no <= 20)
+        SELECT row_no, report_name, creation_time, last_execution_time, execution_count, total_worker_time,
+               total_worker_time // execution_count AS avg_worker_time, last_worker_time, total_logical_reads,
+               total_logical_reads // execution_count AS avg_logical_reads,
+               last_logical_reads // execution_count AS last_reads_per_execution, last_logical_reads,
+               total_elapsed_time, last_elapsed_time, total_rows, last_rows, total_grant_kb, last_grant_kb,
+               total_used_grant_kb, last_used_grant_kb, total_ideal_grant_kb, last_ideal_grant_kb,
+               d.database_id, d.name AS database_name, t.objectid, coalesce(o.name, '') AS object_name,
+               {cut_statement('exclusive')} AS sql_statement, query_plan
+        FROM r JOIN query_plan USING (plan_handle) JOIN sql_text t USING (sql_handle)
+             JOIN databases d ON d.database_id = t.dbid AND d.name <> 'DB_3'
+             LEFT JOIN object_names o ON o.database_id = t.dbid AND o.object_id = t.objectid""")
 
 
 _TABLE_VIEWS = ["indexes", "objects", "schemas", "partitions", "allocation_units"]
 
 
 def _index_sizes(condition: str) -> str:
-    return f"""sized AS (
-            SELECT DISTINCT o.database_name, s.name AS schema_name, o.name AS table_name,
-                   (SELECT CAST(sum(p.rows) AS BIGINT) FROM partitions p
-                    WHERE p.database_name = i.database_name AND p.object_id = i.object_id AND p.index_id = i.index_id) AS number_of_rows,
-                   (SELECT {half_up('sum(a.total_pages)', '128', 36, 2)} FROM partitions p
-                    JOIN allocation_units a ON a.database_name = p.database_name AND a.container_id = p.partition_id
-                    WHERE p.database_name = i.database_name AND p.object_id = i.object_id AND p.index_id = i.index_id) AS total_space_mb
-            FROM indexes i JOIN objects o ON i.database_name = o.database_name AND i.object_id = o.object_id
-                 JOIN schemas s ON s.database_name = o.database_name AND s.schema_id = o.schema_id
-            WHERE s.name <> 'sys' AND o.database_name NOT IN ('master', 'model', 'msdb', 'tempdb') AND {condition})"""
+    return f"""part_pages AS (SELECT database_name, container_id AS partition_id, sum(total_pages) AS pages FROM allocation_units GROUP BY ALL),
+        index_totals AS (
+            SELECT database_name, object_id, index_id, CAST(sum(rows) AS BIGINT) AS number_of_rows, {half_up('sum(pages)', '128', 36, 2)} AS total_space_mb
+            FROM partitions LEFT JOIN part_pages USING (database_name, partition_id) GROUP BY database_name, object_id, index_id),
+        tables_of_users AS (
+            SELECT o.database_name, object_id, s.name AS schema_name, o.name AS table_name
+            FROM objects o JOIN schemas s USING (database_name, schema_id)
+            WHERE s.name <> 'sys' AND starts_with(database_name, 'DB_') AND {condition}),
+        sized AS (
+            SELECT DISTINCT database_name, schema_name, table_name, number_of_rows, total_space_mb
+            FROM indexes JOIN tables_of_users USING (database_name, object_id) LEFT JOIN index_totals USING (database_name, object_id, index_id))"""
 
 
 def _database_overview() -> str:
-    def files(kind: str, what: str) -> str:
-        return f"(SELECT {what} FROM master_files f WHERE f.database_id = d.database_id AND f.type_desc = '{kind}')"
-
-    backup = f"""CASE b.type WHEN 'D' THEN 'Full' WHEN 'I' THEN 'Differential' WHEN 'L' THEN 'Transaction log' END || ' – '
-        || CAST(abs(date_diff('day', TIMESTAMP '{AS_OF}', b.backup_finish_date)) AS VARCHAR) || ' days ago' || ' – '
-        || strftime(b.backup_start_date, '%d/%m/%Y %H:%M:%S') || ' – ' || strftime(b.backup_finish_date, '%d/%m/%Y %H:%M:%S')
-        || ' (' || CAST(date_diff('second', b.backup_start_date, b.backup_finish_date) AS VARCHAR) || ' seconds)'"""
-
-    def latest(what: str) -> str:
-        return f"(SELECT {what} FROM backupset b WHERE b.backup_set_id = l.backup_set_id)"
-
-    flags = ", ".join(f"CASE WHEN d.{flag} THEN '{text}' ELSE '' END AS {name}" for flag, name, text in FLAG_TEXTS)
-    return with_views(["databases", "master_files", "backupset"], f"""
-        SELECT d.database_id, left(d.name, 25) AS database_name, left(d.status, 10) AS status, d.state_desc,
-               {files('ROWS', 'count(1)')} AS data_files, {files('ROWS', 'CAST(sum(f.size * 8 // 1024) AS BIGINT)')} AS data_mb,
-               {files('LOG', 'count(1)')} AS log_files, {files('LOG', 'CAST(sum(f.size * 8 // 1024) AS BIGINT)')} AS log_mb,
-               d.user_access_desc AS user_access, d.recovery_model_desc AS recovery_model,
-               CASE d.compatibility_level WHEN 80 THEN '80 (SQL Server 2000)' WHEN 90 THEN '90 (SQL Server 2005)'
-                    WHEN 100 THEN '100 (SQL Server 2008)' END AS compatibility_level,
-               strftime(d.create_date, '%d/%m/%Y %H:%M:%S') AS creation_date, coalesce({latest(backup)}, '-') AS last_backup,
-               {latest('b.type')} AS last_backup_type, {latest('b.backup_start_date')} AS last_backup_start,
-               {latest('b.backup_finish_date')} AS last_backup_finish, d.page_verify_option_desc AS page_verify_option, {flags}
-        FROM databases d LEFT JOIN (SELECT database_name, max(backup_set_id) AS backup_set_id FROM backupset GROUP BY database_name) l
-             ON l.database_name = d.name""")
+    flags = ", ".join(f"if({flag}, '{text}', '') AS {name}" for flag, name, text in FLAG_TEXTS)
+    day = "'%d/%m/%Y %H:%M:%S'"
+    return with_views(["databases", "master_files", "backupset"], f"""AND files AS (
+            SELECT database_id, count(*) FILTER (type_desc = 'ROWS') AS data_files, count(*) FILTER (type_desc = 'LOG') AS log_files,
+                   CAST(sum(size // 128) FILTER (type_desc = 'ROWS') AS BIGINT) AS data_mb,
+                   CAST(sum(size // 128) FILTER (type_desc = 'LOG') AS BIGINT) AS log_mb
+            FROM master_files GROUP BY database_id),
+        latest AS (
+            SELECT database_name AS name, type, backup_start_date AS begun, backup_finish_date AS done
+            FROM backupset QUALIFY row_number() OVER (PARTITION BY database_name ORDER BY backup_set_id DESC) = 1),
+        told AS (
+            SELECT *, concat_ws(' – ', MAP {{'D': 'Full', 'I': 'Differential', 'L': 'Transaction log'}}[type],
+                                concat(abs(CAST(done AS DATE) - DATE '{AS_OF[:10]}'), ' days ago'), strftime(begun, {day}),
+                                concat(strftime(done, {day}), ' (', CAST(epoch(done) - epoch(begun) AS BIGINT), ' seconds)')) AS last_backup
+            FROM latest)
+        SELECT database_id, name[:25] AS database_name, status[:10] AS status, state_desc, coalesce(data_files, 0) AS data_files, data_mb,
+               coalesce(log_files, 0) AS log_files, log_mb, user_access_desc AS user_access, recovery_model_desc AS recovery_model,
+               MAP {{80: '80 (SQL Server 2000)', 90: '90 (SQL Server 2005)', 100: '100 (SQL Server 2008)'}}[compatibility_level] AS compatibility_level,
+               strftime(create_date, {day}) AS creation_date, coalesce(last_backup, '-') AS last_backup, type AS last_backup_type,
+               begun AS last_backup_start, done AS last_backup_finish, page_verify_option_desc AS page_verify_option, {flags}
+        FROM databases LEFT JOIN files USING (database_id) LEFT JOIN told USING (name)""")
 
 
 _AT = f"collect_date = TIMESTAMP '{SNAPSHOT}'"
@@ -232,20 +216,20 @@ ORACLES: dict[str, str] = {
         WHERE p.dbid > 0 GROUP BY p.dbid, d.name, p.loginame HAVING p.loginame = 'login_3'"""),
     "active_sessions": with_views(["who"], "SELECT * FROM who WHERE login = 'login_7'"),
     "counter_values": with_views(["perf_counters"], "SELECT * FROM perf_counters WHERE counter_name = 'error'"),
-    "session_inventory": _session_inventory("s.session_id <> 5 AND s.login_name = 'login_4'"),
+    "session_inventory": _session_inventory("session_id <> 5 AND login_name = 'login_4'"),
     "session_inventory_all": _session_inventory("true"),
-    "top_waiting_requests": _top_waiting("r.session_id <> 101"),
-    "top_waiting_requests_blocked": _top_waiting("r.blocking_session_id <> 0 AND r.database_id = 7"),
+    "top_waiting_requests": _top_waiting("session_id <> 101"),
+    "top_waiting_requests_blocked": _top_waiting("blocking_session_id <> 0 AND database_id = 7"),
     "activity_monitor": _activity("true"),
     "activity_monitor_head_blockers": _activity(
-        "s.last_request_start_time < TIMESTAMP '2024-01-01 00:20:00' AND s.program_name ILIKE 'BUILD%'"
+        "last_request_start_time < TIMESTAMP '2024-01-01 00:20:00' AND program_name ILIKE 'BUILD%'"
     ),
     "workload_group_sessions": with_views(["sessions", "workload_groups"], """
-        SELECT 'Kill ' || CAST(s.session_id AS VARCHAR) AS kill_command, s.session_id, s.login_name, s.host_name, g.group_id, g.name AS group_name
-        FROM sessions s JOIN workload_groups g ON s.group_id = g.group_id WHERE s.session_id > 50 AND g.group_id NOT IN (1, 2)"""),
+        SELECT concat('Kill ', session_id) AS kill_command, session_id, login_name, host_name, group_id, name AS group_name
+        FROM workload_groups JOIN sessions USING (group_id) WHERE session_id >= 51 AND group_id IN (0, 3, 4)"""),
     "workload_group_counts": with_views(["sessions", "workload_groups"], """
-        SELECT g.group_id, g.name AS group_name, count(s.group_id) AS sessions
-        FROM sessions s JOIN workload_groups g ON s.group_id = g.group_id WHERE s.session_id > 50 GROUP BY g.group_id, g.name"""),
+        SELECT group_id, any_value(name) AS group_name, count(*) AS sessions
+        FROM workload_groups JOIN sessions USING (group_id) WHERE session_id >= 51 GROUP BY group_id"""),
     "top_cpu_requests": with_views(["requests", "sql_text"], f"""
         SELECT r.session_id, r.request_id, r.status, r.command, r.wait_time, r.wait_type, r.blocking_session_id, r.cpu_time,
                r.logical_reads, r.database_id, {cut_statement('zero_based_bytes')} AS sql_statement
@@ -257,13 +241,15 @@ ORACLES: dict[str, str] = {
     "running_statements": with_views(["requests", "sql_text"], f"""
         SELECT r.session_id, r.request_id, r.percent_complete, r.estimated_completion_time, {cut_statement('zero_based')} AS statement
         FROM requests r LEFT JOIN sql_text t ON t.sql_handle = r.sql_handle"""),
-    "request_progress": with_views(["requests"], f"""
+    "request_progress": with_views(["requests"], f"""AND told AS (
+            SELECT session_id, request_id, percent_complete, date_diff('second', start_time, TIMESTAMP '{AS_OF}') AS run,
+                   estimated_completion_time // 1000 AS remaining
+            FROM requests)
         SELECT session_id, request_id, percent_complete,
-               CAST(run // 3600 AS VARCHAR) || ' hour(s), ' || CAST((run % 3600) // 60 AS VARCHAR) || 'min, ' || CAST(run % 60 AS VARCHAR) || ' sec' AS running_time,
-               CAST(ms // 3600000 AS VARCHAR) || ' hour(s), ' || CAST((ms % 3600000) // 60000 AS VARCHAR) || 'min, '
-               || CAST((ms % 60000) // 1000 AS VARCHAR) || ' sec' AS est_time_to_go,
-               TIMESTAMP '{AS_OF}' + INTERVAL '1' SECOND * (ms // 1000) AS est_completion_time
-        FROM (SELECT *, date_diff('second', start_time, TIMESTAMP '{AS_OF}') AS run, estimated_completion_time AS ms FROM requests) r"""),
+               format('{{}} hour(s), {{}}min, {{}} sec', run // 3600, run // 60 % 60, run % 60) AS running_time,
+               format('{{}} hour(s), {{}}min, {{}} sec', remaining // 3600, remaining // 60 % 60, remaining % 60) AS est_time_to_go,
+               TIMESTAMP '{AS_OF}' + to_seconds(remaining) AS est_completion_time
+        FROM told"""),
     "lock_counts": with_views(["tran_locks"], "SELECT request_session_id, count(1) AS locks FROM tran_locks GROUP BY request_session_id"),
     "locked_objects": with_views(["lock_info", "processes", "objects"], """
         SELECT DISTINCT o.name AS object_name, l.req_spid, p.loginame
@@ -271,13 +257,12 @@ ORACLES: dict[str, str] = {
     "replica_undo_backlog": with_views(["perf_counters"], """
         SELECT object_name, counter_name, instance_name, cntr_value FROM perf_counters
         WHERE object_name LIKE '%Database Replica%' AND counter_name = 'error' AND cntr_value <> 0"""),
-    "busy_requests": with_views(["sessions", "requests", "sql_text", "query_plan", "databases"], """
-        SELECT p.query_plan, s.session_id, r.request_id, r.database_id,
-               (SELECT d.name FROM databases d WHERE d.database_id = r.database_id) AS database_name, t.text, r.wait_time,
-               r.wait_type, r.blocking_session_id, r.cpu_time, r.logical_reads, r.status, r.command, s.login_name, s.host_name, s.program_name
-        FROM sessions s JOIN requests r ON s.session_id = r.session_id JOIN query_plan p ON p.plan_handle = r.plan_handle
-             JOIN sql_text t ON t.sql_handle = r.sql_handle
-        WHERE r.status IN ('running', 'suspended') ORDER BY r.logical_reads DESC, s.session_id, r.request_id LIMIT 20"""),
+    "busy_requests": with_views(["sessions", "requests", "sql_text", "query_plan", "databases"], """AND placed AS (
+            SELECT * EXCLUDE (name), name AS database_name FROM requests LEFT JOIN (SELECT database_id, name FROM databases) USING (database_id))
+        SELECT query_plan, session_id, request_id, database_id, database_name, text, wait_time, wait_type, blocking_session_id,
+               placed.cpu_time, placed.logical_reads, placed.status, command, login_name, host_name, program_name
+        FROM placed JOIN sessions USING (session_id) JOIN query_plan USING (plan_handle) JOIN sql_text USING (sql_handle)
+        WHERE placed.status IN ('running', 'suspended') ORDER BY placed.logical_reads DESC, session_id, request_id LIMIT 20"""),
     "requests_with_plan": with_views(["requests", "query_plan", "sql_text"], """
         SELECT r.session_id, r.request_id, r.status, r.command, r.wait_time, r.wait_type, r.blocking_session_id, r.cpu_time,
                r.logical_reads, r.database_id, t.text, p.query_plan
@@ -292,14 +277,15 @@ ORACLES: dict[str, str] = {
     "blocking_tree": _blocking_tree("    ", "|         ", "HEAD -  ", "|------  "),
     "blocking_tree_narrow": _blocking_tree(" ", "| ", "HEAD - ", "|------ "),
     "root_blockers": with_views(["processes"], """AND links AS (
-            SELECT spid, max(CASE WHEN blocked <> 0 AND blocked <> spid THEN blocked END) AS blocker FROM processes GROUP BY spid),
-        walks AS (
-            SELECT spid, spid AS at, blocker AS next, 0 AS steps FROM links
+            SELECT spid, max(if(blocked IN (0, spid), NULL, blocked)) AS direct_blocker FROM processes GROUP BY spid),
+        climb AS (
+            SELECT spid, spid AS reached, direct_blocker AS next, CAST(0 AS BIGINT) AS steps FROM links
             UNION ALL
-            SELECT w.spid, l.spid, l.blocker, w.steps + 1 FROM walks w JOIN links l ON l.spid = w.next)
-        SELECT l.spid, l.blocker AS direct_blocker, r.at AS root_blocker, CAST(r.steps AS BIGINT) AS chain_length,
-               CASE WHEN r.at IS NOT NULL THEN (SELECT count(*) FROM walks d WHERE d.at = l.spid AND d.spid <> l.spid) END AS blocked_descendants
-        FROM links l LEFT JOIN walks r ON r.spid = l.spid AND r.next IS NULL""", recursive=True),
+            SELECT c.spid, l.spid, l.direct_blocker, c.steps + 1 FROM climb c JOIN links l ON l.spid = c.next),
+        heads AS (SELECT spid, reached AS root_blocker, steps AS chain_length FROM climb WHERE next IS NULL),
+        behind AS (SELECT reached AS spid, count(*) - 1 AS passed FROM climb GROUP BY reached)
+        SELECT spid, direct_blocker, root_blocker, chain_length, if(root_blocker IS NULL, NULL, passed) AS blocked_descendants
+        FROM links LEFT JOIN heads USING (spid) JOIN behind USING (spid)""", recursive=True),
     "top_waits": with_views(["wait_stats"], f"""
         SELECT * FROM wait_stats WHERE wait_type NOT IN ({_WAITS}) ORDER BY wait_time_ms DESC, wait_type LIMIT 10"""),
     "wait_pareto": _wait_pareto("wait_stats", 95, False),
@@ -308,10 +294,11 @@ ORACLES: dict[str, str] = {
         SELECT server_name, wait_type, waiting_tasks_count, wait_time_ms, signal_wait_time_ms
         FROM (SELECT *, row_number() OVER (PARTITION BY server_name ORDER BY wait_time_ms DESC, wait_type) AS n
               FROM server_wait_stats WHERE wait_type NOT IN ({_WAITS})) w WHERE n <= 10"""),
-    "wait_type_names": with_views(["requests", "wait_map"], """
-        SELECT r.session_id, r.request_id, r.wait_type, r.last_wait_type, r.wait_time, m.map_value,
-               CASE WHEN m.map_value = 'UNKNOWN' OR m.map_value = r.last_wait_type THEN r.last_wait_type ELSE m.map_value END AS wait_type_name
-        FROM requests r LEFT JOIN wait_map m ON m.map_key = r.wait_type AND m.name = 'wait_types'"""),
+    "wait_type_names": with_views(["requests", "wait_map"], """AND names AS (
+            SELECT map_key AS wait_type, map_value FROM wait_map WHERE name = 'wait_types')
+        SELECT session_id, request_id, wait_type, last_wait_type, wait_time, map_value,
+               if(map_value IN ('UNKNOWN', last_wait_type), last_wait_type, map_value) AS wait_type_name
+        FROM requests LEFT JOIN names USING (wait_type)"""),
     "statements_matching": with_views(["query_stats", "sql_text"], f"""
         SELECT {cut_statement('zero_based')} AS statement, r.sql_handle, r.plan_handle, r.statement_start_offset, r.statement_end_offset,
                r.{_MEASURES}, t.dbid, t.objectid, t.text
@@ -322,7 +309,7 @@ ORACLES: dict[str, str] = {
              JOIN statement_plan p ON p.plan_handle = r.plan_handle AND p.statement_start_offset = r.statement_start_offset
                   AND p.statement_end_offset = r.statement_end_offset"""),
     "procedure_plans": _procedures("true"),
-    "procedure_plans_of_database": _procedures("p.database_id = 12"),
+    "procedure_plans_of_database": _procedures("database_id = 12"),
     "query_averages": with_views(["query_stats", "sql_text"], """
         SELECT r.sql_handle, r.plan_handle, r.statement_start_offset, r.statement_end_offset, r.total_logical_reads, r.total_worker_time,
                r.execution_count, r.total_logical_reads // r.execution_count AS avg_reads,
@@ -340,29 +327,26 @@ ORACLES: dict[str, str] = {
                '[' || schema_name || '].[' || table_name || ']' AS schema_and_table
         FROM sized GROUP BY database_name, schema_name, table_name"""),
     "database_sizes": with_views(["databases", "master_files"], f"""
-        SELECT d.name,
-               (SELECT {half_up('sum(f.size)', '131072', 20, 6)} FROM master_files f WHERE f.type = 0 AND f.database_id = d.database_id) AS data_file_size_gb,
-               (SELECT {half_up('sum(f.size)', '131072', 20, 6)} FROM master_files f WHERE f.type = 1 AND f.database_id = d.database_id) AS log_file_size_gb
-        FROM databases d"""),
+        SELECT d.name, {half_up('sum(size) FILTER (type = 0)', '131072', 20, 6)} AS data_file_size_gb,
+               {half_up('sum(size) FILTER (type = 1)', '131072', 20, 6)} AS log_file_size_gb
+        FROM databases d LEFT JOIN master_files USING (database_id) GROUP BY database_id, d.name"""),
     "volume_free_space": with_views(["master_files", "volumes"], f"""
-        SELECT DISTINCT v.volume_mount_point AS volume_letter, v.logical_volume_name AS volume_label,
-               v.total_bytes // 1024 // 1024 // 1024 AS volume_capacity_gb, v.available_bytes // 1024 // 1024 // 1024 AS volume_free_space_gb,
-               {half_up('v.available_bytes * 100', 'v.total_bytes', 5, 2)} AS percentage_free_space
-        FROM master_files f JOIN volumes v ON v.database_id = f.database_id AND v.file_id = f.file_id"""),
+        SELECT volume_mount_point AS volume_letter, logical_volume_name AS volume_label, total_bytes // 1073741824 AS volume_capacity_gb,
+               available_bytes // 1073741824 AS volume_free_space_gb, {half_up('available_bytes * 100', 'total_bytes', 5, 2)} AS percentage_free_space
+        FROM volumes SEMI JOIN master_files USING (database_id, file_id) GROUP BY ALL"""),
     "drive_space": with_views(["drives"], """
         SELECT server_name, drive_letter, label, free_space AS free_space_mb, total_space - free_space AS used_space_mb,
                total_space AS total_space_mb,
                CAST(CAST(CAST(free_space AS HUGEINT) * 10000000000 // total_space AS DECIMAL(20,0)) * 0.00000001 AS DECIMAL(22,10)) AS percentage_free
         FROM drives"""),
     "file_space": with_views(["master_files", "file_io_stats", "file_space_used", "databases"], f"""
-        SELECT (SELECT d.name FROM databases d WHERE d.database_id = f.database_id) AS database_name, f.database_id, f.file_id, f.type_desc,
-               upper(left(f.physical_name, 1)) AS disk_drive, f.physical_name,
-               {half_up('s.size_on_disk_bytes', '1048576', 18, 2)} AS size_on_disk_mb, u.space_used_mb, u.free_space_perc,
-               CASE WHEN f.is_percent_growth THEN CAST(f.growth AS VARCHAR) || '%' ELSE CAST(f.growth * 8 // 1024 AS VARCHAR) || ' MB' END AS growth,
-               CASE WHEN f.is_percent_growth THEN {half_up('f.size * f.growth * 8', '102400', 18, 2)} ELSE {half_up('f.growth * 8', '1024', 18, 2)} END AS next_growth_mb,
-               s.num_of_reads, s.num_of_bytes_read, s.io_stall_read_ms, s.num_of_writes, s.num_of_bytes_written, s.io_stall_write_ms
-        FROM master_files f LEFT JOIN file_io_stats s ON s.database_id = f.database_id AND s.file_id = f.file_id
-             LEFT JOIN file_space_used u ON u.database_id = f.database_id AND u.file_id = f.file_id"""),
+        SELECT d.name AS database_name, database_id, file_id, type_desc, upper(physical_name[1]) AS disk_drive, physical_name,
+               {half_up('size_on_disk_bytes', '1048576', 18, 2)} AS size_on_disk_mb, space_used_mb, free_space_perc,
+               if(is_percent_growth, concat(growth, '%'), concat(growth // 128, ' MB')) AS growth,
+               {half_up('if(is_percent_growth, size * growth, growth * 100)', '12800', 18, 2)} AS next_growth_mb,
+               num_of_reads, num_of_bytes_read, io_stall_read_ms, num_of_writes, num_of_bytes_written, io_stall_write_ms
+        FROM master_files LEFT JOIN file_io_stats USING (database_id, file_id) LEFT JOIN file_space_used USING (database_id, file_id)
+             LEFT JOIN databases d USING (database_id)"""),
     "file_space_usage": with_views(["database_files"], f"""
         SELECT database_id, file_id, {half_up('space_used_pages', '128', 18, 2)} AS space_used_mb,
                {half_up('(10000 * size - 12800 * ((200 * space_used_pages + 128) // 256))', '100 * size', 18, 2)} AS free_space_perc
@@ -371,39 +355,32 @@ ORACLES: dict[str, str] = {
     "newest_rows": "SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1000",
     "job_names": with_views(["jobs"], "SELECT * FROM jobs"),
     "append_permission": with_views(["truncate_permission"], "SELECT * FROM truncate_permission"),
-    "unused_indexes": with_views(["index_usage", "indexes", "partition_stats", "partitions", "objects", "schemas"], f"""
-        SELECT * EXCLUDE (n) FROM (
-            SELECT u.database_name, s.name AS schema_name, o.name AS table_name, i.name AS index_name, u.user_seeks, u.user_scans,
-                   u.user_lookups, u.user_updates, p.table_rows, {half_up('ps.used_page_count', '128', 10, 3)} AS index_size_mb,
-                   u.last_user_scan, u.last_user_seek, u.last_user_update,
-                   row_number() OVER (PARTITION BY u.database_name ORDER BY u.last_user_seek NULLS FIRST, u.last_user_scan NULLS FIRST,
-                                      ps.used_page_count DESC, u.object_id, u.index_id) AS n
-            FROM index_usage u
-                 JOIN indexes i ON i.database_name = u.database_name AND i.object_id = u.object_id AND i.index_id = u.index_id
-                 JOIN partition_stats ps ON ps.database_name = u.database_name AND ps.object_id = u.object_id AND ps.index_id = u.index_id
-                 JOIN objects o ON o.database_name = u.database_name AND o.object_id = u.object_id
-                 JOIN schemas s ON s.database_name = o.database_name AND s.schema_id = o.schema_id
-                 JOIN (SELECT database_name, object_id, index_id, CAST(sum(rows) AS BIGINT) AS table_rows FROM partitions
-                       GROUP BY database_name, object_id, index_id) p
-                      ON p.database_name = u.database_name AND p.object_id = u.object_id AND p.index_id = u.index_id
-            WHERE o.is_user_table AND i.type_desc = 'NONCLUSTERED' AND NOT i.is_primary_key AND NOT i.is_unique_constraint
-                  AND NOT i.is_unique AND u.database_name NOT IN ('master', 'model', 'msdb', 'tempdb')) WHERE n <= 100"""),
-    "index_scripts": with_views(["indexes", "index_columns", "all_columns", "tables", "schemas"], """AND scripts AS (
-            SELECT i.database_name, s.name AS schema_name, t.name AS table_name, i.name AS index_name, i.index_id,
-                   (SELECT string_agg(a.name, ', ' ORDER BY c.key_ordinal, c.column_id) FROM index_columns c
-                    JOIN all_columns a ON a.database_name = c.database_name AND a.object_id = c.object_id AND a.column_id = c.column_id
-                    WHERE c.database_name = i.database_name AND c.object_id = i.object_id AND c.index_id = i.index_id
-                          AND NOT c.is_included_column) AS key_columns,
-                   (SELECT string_agg(a.name, ', ' ORDER BY c.key_ordinal, c.column_id) FROM index_columns c
-                    JOIN all_columns a ON a.database_name = c.database_name AND a.object_id = c.object_id AND a.column_id = c.column_id
-                    WHERE c.database_name = i.database_name AND c.object_id = i.object_id AND c.index_id = i.index_id
-                          AND c.is_included_column) AS included_columns
-            FROM indexes i JOIN tables t ON t.database_name = i.database_name AND t.object_id = i.object_id
-                 JOIN schemas s ON s.database_name = t.database_name AND s.schema_id = t.schema_id)
-        SELECT *, 'CREATE INDEX ' || index_name || ' ON [' || schema_name || '].[' || table_name || '] ( ' || key_columns || ' ) '
-                  || CASE WHEN included_columns IS NOT NULL THEN ' INCLUDE ( ' || included_columns || ' )' ELSE '' END AS create_statement,
-               'DROP INDEX [' || index_name || '] ON [' || schema_name || '].[' || table_name || ']' AS drop_statement
-        FROM scripts"""),
+    "unused_indexes": with_views(["index_usage", "indexes", "partition_stats", "partitions", "objects", "schemas"], f"""AND plain AS (
+            SELECT database_name, object_id, index_id, name AS index_name FROM indexes
+            WHERE type_desc = 'NONCLUSTERED' AND NOT (is_primary_key OR is_unique OR is_unique_constraint) AND starts_with(database_name, 'DB_')),
+        named AS (
+            SELECT o.database_name, object_id, s.name AS schema_name, o.name AS table_name
+            FROM objects o JOIN schemas s USING (database_name, schema_id) WHERE is_user_table),
+        counted AS (SELECT database_name, object_id, index_id, CAST(sum(rows) AS BIGINT) AS table_rows FROM partitions GROUP BY ALL)
+        SELECT database_name, schema_name, table_name, index_name, user_seeks, user_scans, user_lookups, user_updates, table_rows,
+               {half_up('used_page_count', '128', 10, 3)} AS index_size_mb, last_user_scan, last_user_seek, last_user_update
+        FROM plain JOIN named USING (database_name, object_id) JOIN counted USING (database_name, object_id, index_id)
+             JOIN partition_stats USING (database_name, object_id, index_id) JOIN index_usage USING (database_name, object_id, index_id)
+        QUALIFY row_number() OVER (PARTITION BY database_name ORDER BY last_user_seek NULLS FIRST, last_user_scan NULLS FIRST,
+                                   used_page_count DESC, object_id, index_id) <= 100"""),
+    "index_scripts": with_views(["indexes", "index_columns", "all_columns", "tables", "schemas"], """AND lists AS (
+            SELECT database_name, object_id, index_id,
+                   string_agg(name, ', ' ORDER BY key_ordinal, column_id) FILTER (NOT is_included_column) AS key_columns,
+                   string_agg(name, ', ' ORDER BY key_ordinal, column_id) FILTER (is_included_column) AS included_columns
+            FROM index_columns JOIN all_columns USING (database_name, object_id, column_id) GROUP BY database_name, object_id, index_id),
+        named AS (
+            SELECT t.database_name, object_id, s.name AS schema_name, t.name AS table_name, format('[{}].[{}]', s.name, t.name) AS place
+            FROM tables t JOIN schemas s USING (database_name, schema_id))
+        SELECT database_name, schema_name, table_name, indexes.name AS index_name, index_id, key_columns, included_columns,
+               'CREATE INDEX ' || indexes.name || ' ON ' || place || ' ( ' || key_columns || ' ) '
+               || coalesce(' INCLUDE ( ' || included_columns || ' )', '') AS create_statement,
+               'DROP INDEX [' || indexes.name || '] ON ' || place AS drop_statement
+        FROM indexes JOIN named USING (database_name, object_id) LEFT JOIN lists USING (database_name, object_id, index_id)"""),
     "last_backup_history": with_views(["backupset"], """
         SELECT database_name, max(backup_finish_date) FILTER (type = 'D') AS last_full_backup,
                max(backup_finish_date) FILTER (type = 'I') AS last_differential, max(backup_finish_date) FILTER (type = 'L') AS last_log
@@ -427,12 +404,12 @@ ORACLES: dict[str, str] = {
     "snapshot_query_counts": _snapshots(f"""
         SELECT left(query_text, 100) AS query_text, count(1) AS rows FROM tempdb_snapshots WHERE {_AT} GROUP BY 1"""),
     "snapshot_query_pages": _snapshots(f"SELECT query_text, internal_pages + user_pages AS pages FROM tempdb_snapshots WHERE {_AT}"),
-    "snapshot_top_offenders": _snapshots(f"""
-        SELECT x.collect_date, x.query_text, x.internal_pages, x.user_pages, y.query_prefix, y.page_count
-        FROM tempdb_snapshots x RIGHT JOIN (
+    "snapshot_top_offenders": _snapshots(f"""AND heavy AS (
             SELECT left(query_text, 100) AS query_prefix, CAST(sum(internal_pages + user_pages) AS BIGINT) AS page_count
-            FROM tempdb_snapshots WHERE {_AT} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) y
-        ON left(x.query_text, 100) = y.query_prefix AND x.{_AT}"""),
+            FROM tempdb_snapshots WHERE {_AT} GROUP BY ALL ORDER BY page_count DESC, query_prefix LIMIT 10),
+        detail AS (SELECT *, left(query_text, 100) AS query_prefix FROM tempdb_snapshots WHERE {_AT})
+        SELECT collect_date, query_text, internal_pages, user_pages, query_prefix, page_count
+        FROM heavy LEFT JOIN detail USING (query_prefix)"""),
     "snapshot_timeline": _snapshots("""
         SELECT collect_date, count(1) AS rows FROM tempdb_snapshots
         WHERE collect_date > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL '168' HOUR GROUP BY collect_date"""),
