@@ -402,7 +402,7 @@ ORACLES: dict[str, str] = {
         FROM file_space WHERE database_id = 2"""),
     "task_space_sample": with_views(["task_space"], "SELECT * FROM task_space ORDER BY session_id, task_address LIMIT 100"),
     "snapshot_query_counts": _snapshots(f"""
-        SELECT left(query_text, 100) AS query_text, count(1) AS rows FROM tempdb_snapshots WHERE {_AT} GROUP BY 1"""),
+        SELECT left(query_text, 100) AS query_text, count(1) AS row_count FROM tempdb_snapshots WHERE {_AT} GROUP BY 1"""),
     "snapshot_query_pages": _snapshots(f"SELECT query_text, internal_pages + user_pages AS pages FROM tempdb_snapshots WHERE {_AT}"),
     "snapshot_top_offenders": _snapshots(f"""AND heavy AS (
             SELECT left(query_text, 100) AS query_prefix, CAST(sum(internal_pages + user_pages) AS BIGINT) AS page_count
@@ -411,7 +411,7 @@ ORACLES: dict[str, str] = {
         SELECT collect_date, query_text, internal_pages, user_pages, query_prefix, page_count
         FROM heavy LEFT JOIN detail USING (query_prefix)"""),
     "snapshot_timeline": _snapshots("""
-        SELECT collect_date, count(1) AS rows FROM tempdb_snapshots
+        SELECT collect_date, count(1) AS row_count FROM tempdb_snapshots
         WHERE collect_date > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL '168' HOUR GROUP BY collect_date"""),
 }
 ORACLES["drive_space_from_bytes"] = ORACLES["drive_space"]

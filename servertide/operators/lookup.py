@@ -13,7 +13,7 @@ ROWS_PER_TASK = 2_000_000
 # under a thousandth of all rows.
 MAX_HOT_KEYS = 1_000
 # Parts into which one key is split at most.
-MAX_PARTS = 4_096
+MAX_PARTS = 65_536
 
 _PART, _PARTS = "__part", "__parts"
 

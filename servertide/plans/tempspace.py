@@ -77,7 +77,7 @@ def snapshot_query_counts(snapshots: DataFrame, at, chars: int = PREFIX_CHARS, s
     """Rows per query text in one snapshot."""
     return (
         _snapshot(snapshots, at).groupBy(*scope, truncate(F.col("query_text"), chars).alias("query_text"))
-        .agg(F.count("*").alias("rows"))
+        .agg(F.count("*").alias("row_count"))
     )
 
 
@@ -117,5 +117,5 @@ def snapshot_timeline(snapshots: DataFrame, as_of, hours: int = 24, scope: Seque
     rows = snapshots.where(F.col("collect_date") > since)
     if "collect_day" in snapshots.columns:
         rows = rows.where(F.col("collect_day") >= F.to_date(since))
-    counts = rows.groupBy(*scope, "collect_date").agg(F.count("*").alias("rows"))
+    counts = rows.groupBy(*scope, "collect_date").agg(F.count("*").alias("row_count"))
     return counts.orderBy(*scope, "collect_date")

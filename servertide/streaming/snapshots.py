@@ -19,10 +19,10 @@ def stream_snapshots(spark: SparkSession, root: str, late: str = "1 hour") -> Da
 
 def timeline(snapshots: DataFrame) -> DataFrame:
     """Rows per collection time."""
-    return snapshots.groupBy("collect_date").agg(F.count("*").alias("rows"))
+    return snapshots.groupBy("collect_date").agg(F.count("*").alias("row_count"))
 
 
 def query_counts(snapshots: DataFrame, chars: int = PREFIX_CHARS) -> DataFrame:
     """Rows per query text in each snapshot."""
     prefix = truncate(F.col("query_text"), chars).alias("query_text")
-    return snapshots.groupBy("collect_date", prefix).agg(F.count("*").alias("rows"))
+    return snapshots.groupBy("collect_date", prefix).agg(F.count("*").alias("row_count"))

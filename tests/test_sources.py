@@ -47,7 +47,7 @@ def test_snapshot_reports_read_one_day(spark, rows):
     assert sorted(tuple(r) for r in one_day.collect()) == [("q0", 2), ("q1", 2)]
     plan = one_day._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(collect_day" in plan and "= 2024-01-01)" in plan
-    assert [r["rows"] for r in tempspace.snapshot_timeline(table, T0 + timedelta(hours=31)).collect()] == [4]
+    assert [r.row_count for r in tempspace.snapshot_timeline(table, T0 + timedelta(hours=31)).collect()] == [4]
     assert tempspace.snapshot_query_pages(table, T0).columns == ["query_text", "pages"]
 
 
@@ -61,7 +61,7 @@ def test_snapshots_as_a_stream(spark, rows):
             .option("path", f"{root}/{name}").option("checkpointLocation", f"{root}/{name}_progress").trigger(availableNow=True).start()
         )
         query.awaitTermination(120)
-        return sorted(tuple(r)[:-1] + (r["rows"],) for r in spark.read.parquet(f"{root}/{name}").collect())
+        return sorted(tuple(r)[:-1] + (r.row_count,) for r in spark.read.parquet(f"{root}/{name}").collect())
 
     assert run(timeline, "timeline") == []  # the hour may still grow
     append_snapshot(collection(rows, 5, 2), root)
