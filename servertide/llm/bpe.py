@@ -165,12 +165,12 @@ class Vocabulary:
             found[chunk] = (" ".join([self.id_text[i] for i in own]), " ".join([self.tokens[i] for i in own]))
         return found
 
-    def chunks_of(self, text: str) -> list[str]:
-        """Chunks between white space, and special tokens. No word of the pattern holds white space."""
-        found: list[str] = []
+    def chunks_of(self, text: str) -> list[str | tuple[str]]:
+        """Chunks between white space, and special tokens as tuples. No word of the pattern holds white space."""
+        found: list[str | tuple[str]] = []
         for piece in self.cut.split(text) if self.cut else [text]:
             if piece in self.special:
-                found.append(piece)
+                found.append((piece,))
             elif piece:
                 piece = self.normal(piece)
                 found += self.chunks.findall(piece) if SEPARATORS.search(piece) else piece.split()
@@ -179,7 +179,7 @@ class Vocabulary:
     def encoded(self, texts: list[str]) -> list[list[tuple[str, str]]]:
         """(ids, tokens) of the chunks of each text."""
         chunks = [self.chunks_of(t) for t in texts]
-        known = {c: (str(i), c) for c, i in self.special.items()}
+        known: dict[str | tuple[str], tuple[str, str]] = {(c,): (str(i), c) for c, i in self.special.items()}
         new = set()
         for chunk in set().union(*chunks) - known.keys():
             entry = self.recent.get(chunk) or self.older.get(chunk)
@@ -190,7 +190,7 @@ class Vocabulary:
         known |= self.learn(new)
         if len(self.recent) >= MEMORY:
             self.older, self.recent = self.recent, {}
-        self.recent |= {c: e for c, e in known.items() if len(c) <= LONG and c not in self.special}
+        self.recent |= {c: e for c, e in known.items() if isinstance(c, str) and len(c) <= LONG}
         return [[known[c] for c in own] for own in chunks]
 
     def decode(self, ids: list[int]) -> str:
