@@ -1,0 +1,50 @@
+"""Line dedup against plain Python."""
+
+from servertide.llm.lines import dedup_lines
+
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def key(line):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(BLANK))
+
+
+def expected(pairs, least):
+    holders = {}
+    for i, t in pairs:
+        for line in (t or "").split("\n"):
+            holders.setdefault(key(line), set()).add(("none", t) if i is None else i)
+    out = []
+    for i, t in pairs:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not key(x) or len(holders[key(x)]) < least]
+        out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return sorted(out, key=repr)
+
+
+def found(df, least):
+    return sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in dedup_lines(df, least).collect()), key=repr)
+
+
+def test_lines(docs):
+    pairs = [
+        (1, "Common line\nonly here\n"), (2, " common LINE\t\nother"), (3, "COMMON LINE"), (4, None), (5, ""), (6, "\n\n"),
+        (7, "É common\nÉ Common"), (8, "é common"), (9, "É COMMON"), (10, "twice\ntwice\ntwice"), (11, "twice"), (3, "COMMON LINE"),
+        (None, "common line\nx"), (None, "common line\nx"), (None, None), (12, "\x0bcommon line\x0c\r\n a b "), (13, " common line"),
+        (14, "x\n" * 5000 + "common line"), (15, "y" * 100_000),
+    ]
+    for least in (1, 2, 3, 5, 100):
+        assert found(docs(pairs), least) == expected(pairs, least)
+
+
+def test_extra_columns_and_empty_table(docs):
+    clash = docs([(1, "a\nb"), (2, "a"), (3, "a")]).selectExpr("*", "5 AS n_lines", "'q' AS key", "'p' AS pos", "'r' AS row", "'l' AS line")
+    result = dedup_lines(clash, 3)
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped, r.key, r.row) for r in result.collect()) == [
+        (1, "b", 2, 1, "q", "r"), (2, "", 1, 1, "q", "r"), (3, "", 1, 1, "q", "r")]
+    assert dedup_lines(docs([])).collect() == []
+
+
+def test_no_python_in_the_plan(docs):
+    plan = dedup_lines(docs([(1, "a")]))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan

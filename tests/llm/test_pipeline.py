@@ -1,0 +1,48 @@
+"""The pipeline's stages one by one against the operators' own results, and as a whole."""
+
+import corpus_pipeline
+from servertide.llm import decontam, langid, simhash
+from servertide.llm.bpe import encode
+from servertide.llm.lines import dedup_lines
+from servertide.llm.queries import VOCABULARY
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["language_id", "line_dedup", "near_dedup", "decontamination", "tokens"]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        before = {r.doc_id: r for r in docs.collect()}
+        after = out.collect()
+        ids = [r.doc_id for r in after]
+        assert len(ids) == len(set(ids))
+        if name == "tokens":
+            assert set(ids) == set(before)
+            assert {r.doc_id: r.ids for r in after} == {r.doc_id: r.ids for r in encode(docs, VOCABULARY).collect()}
+            break
+        assert out.columns == COLUMNS
+        if name == "line_dedup":
+            assert {r.doc_id: r.text for r in after} == {r.doc_id: r.text for r in dedup_lines(docs).collect()}
+            assert all(r.n_chars == len(r.text) for r in after)
+        else:
+            if name == "language_id":
+                keep = {r.doc_id for r in langid.identify(docs).collect() if r.lang_pred != "und" and r.score >= langid.SURE}
+            elif name == "near_dedup":
+                keep = {r.component_id for r in simhash.simhash_components(docs).collect()}
+            else:
+                keep = set(before) - {r.doc_id for r in decontam.contaminations(docs, benchmark).collect()}
+            assert set(ids) == keep and all(before[r.doc_id] == r for r in after)
+        docs = spark.createDataFrame(after, out.schema)
+    whole = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sorted((r.doc_id, r.ids_sha256) for r in whole) == sorted((r.doc_id, r.ids_sha256) for r in after)
+
+
+def test_nothing_in(spark, sf_dir, docs):
+    empty, odd = docs([]), docs([(None, None), (1, None), (2, ""), (None, None)])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).collect() == []
+        stage(spark, odd, sf_dir).collect()
