@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from registered import AS_OF, NO_LOAD_WAITS, SINCE, SNAPSHOT
 from servertide.plans.backups import FLAG_TEXTS
+from servertide.plans.storage import SYSTEM_DATABASES
 from servertide.plans.waits import WAIT_HELP_PREFIX
 from servertide.sources.derived import with_views
 
+_SYSTEM = ", ".join(f"'{name}'" for name in SYSTEM_DATABASES)
 _WAITS = ", ".join(f"'{w}'" for w in NO_LOAD_WAITS)
 
 
@@ -25,7 +27,7 @@ def cut_statement(variant: str, text: str = "t.text", start: str = "r.statement_
     until = {
         "inclusive": f"CASE WHEN {end} = -1 THEN length(rtrim({text}, ' ')) * 2 ELSE {end} END",
         "exclusive": f"CASE WHEN {end} = -1 THEN length(rtrim({text}, ' ')) * 2 ELSE {end} END",
-        "zero_based": f"CASE WHEN {end} < 0 THEN 100000 ELSE {end} END",
+        "zero_based": f"CASE WHEN {end} < 0 THEN (length({text}) + 1) * 2 ELSE {end} END",
         "zero_based_bytes": f"CASE WHEN {end} = -1 THEN length({text}) * 2 ELSE {end} END",
     }[variant]
     chars = f"(({until}) - {start}) // 2"
@@ -48,7 +50,7 @@ def _session_inventory(condition: str) -> str:
 
 def _top_waiting(condition: str) -> str:
     return with_views(["requests", "sql_text", "query_plan", "statement_plan", "databases", "object_names"], f"""AND r AS (
-            SELECT * FROM requests WHERE status IN ('running', 'suspended') AND command = 'SELECT' AND {condition}
+            SELECT * FROM requests WHERE lower(status) <> 'background' AND lower(command) <> 'task manager' AND {condition}
             ORDER BY wait_time DESC, session_id, request_id LIMIT 20),
         named AS (
             SELECT t.sql_handle, t.text, d.name AS database_name, o.name AS object_name
@@ -57,7 +59,8 @@ def _top_waiting(condition: str) -> str:
         statements AS (SELECT * RENAME (query_plan AS statement_plan) FROM statement_plan)
         SELECT wait_time, database_name, object_name, percent_complete, wait_resource, last_wait_type, blocking_session_id,
                session_id, request_id, status, command, t.text AS sql_text, {cut_statement('inclusive')} AS sql_statement,
-               query_plan, statement_plan, statement_plan AS statement_plan_xml
+               query_plan, statement_plan,
+               CASE WHEN statement_plan LIKE '%</size></plan>' THEN statement_plan END AS statement_plan_xml
         FROM r LEFT JOIN named t USING (sql_handle) LEFT JOIN query_plan USING (plan_handle)
              LEFT JOIN statements USING (plan_handle, statement_start_offset, statement_end_offset)""")
 
@@ -71,45 +74,65 @@ def _activity(condition: str) -> str:
         waiters AS (SELECT blocking_session_id AS session_id, session_id AS waiter FROM requests),
         active AS (
             SELECT session_id, task_address, task_state, command, open_transaction_count, blocking_session_id AS waits_for
-            FROM tasks JOIN requests USING (session_id, request_id) WHERE task_state IN ('RUNNABLE', 'RUNNING', 'SUSPENDED')),
+            FROM tasks JOIN requests USING (session_id, request_id) WHERE lower(task_state) IN ('runnable', 'running', 'suspended')),
         placed AS (SELECT p.spid AS session_id, d.name FROM processes p LEFT JOIN databases d ON d.database_id = p.dbid)
         SELECT concat('Kill ', session_id) AS kill_command, session_id, CAST(CAST(is_user_process AS INTEGER) AS VARCHAR) AS user_process,
                login_name AS login, coalesce(placed.name, '') AS database, task_state, command, program_name AS application,
                coalesce(wait_duration_ms, 0) AS wait_time_ms, coalesce(wait_type, '') AS wait_type,
                coalesce(resource_description, '') AS wait_resource, coalesce(CAST(longest.blocking_session_id AS VARCHAR), '') AS blocked_by,
-               if(waiter IS NOT NULL AND waits_for = 0, '1', '') AS head_blocker, cpu_time AS total_cpu_ms,
-               (reads + writes) // 128 AS total_physical_io_mb, memory_usage * 8 AS memory_use_kb, open_transaction_count AS open_transactions,
+               CASE WHEN waiter IS NOT NULL AND waits_for = 0 THEN '1' ELSE '' END AS head_blocker, cpu_time AS total_cpu_ms,
+               (reads + writes) * 8 // 1024 AS total_physical_io_mb, memory_usage * 8192 // 1024 AS memory_use_kb,
+               open_transaction_count AS open_transactions,
                login_time, last_request_start_time, coalesce(host_name, '') AS host_name, workload_groups.name AS workload_group
         FROM active JOIN sessions USING (session_id) JOIN workload_groups USING (group_id)
              LEFT JOIN connections USING (session_id) LEFT JOIN placed USING (session_id) LEFT JOIN waiters USING (session_id)
              LEFT JOIN longest USING (task_address)
-        WHERE workload_groups.name <> 'internal' AND session_id >= 51 AND {condition}""")
+        WHERE workload_groups.name <> 'internal' AND session_id > 50 AND {condition}""")
 
 
-def _blocking_tree(margin: str, indent: str, head: str, blocked: str) -> str:
+def _blocking_tree(margin: str, indent: str, head: str, blocked: str, view: str = "processes") -> str:
     """Each session climbs to its head; those that arrive at one that blocks somebody are the forest."""
-    return with_views(["processes", "sql_text"], f"""AND known AS (
-            SELECT spid, blocked, nullif(if(blocked = spid, 0, blocked), 0) AS blocker, translate(text, chr(10) || chr(13), '  ') AS batch
-            FROM processes JOIN sql_text USING (sql_handle)),
+    return with_views([view, "sql_text"], f"""AND known AS (
+            SELECT DISTINCT spid, blocked, CASE WHEN blocked NOT IN (0, spid) THEN blocked END AS blocker,
+                   replace(replace(text, chr(10), ' '), chr(13), ' ') AS batch
+            FROM {view} JOIN sql_text USING (sql_handle)),
         climb AS (
             SELECT spid, spid AS reached, blocker AS next, 0 AS depth FROM known
             UNION ALL
-            SELECT c.spid, k.spid, k.blocker, c.depth + 1 FROM climb c JOIN known k ON k.spid = c.next),
+            SELECT c.spid, k.spid, k.blocker, c.depth + 1 FROM climb c JOIN known k ON k.spid = c.next WHERE c.depth < 200),
         arrived AS (
             SELECT spid, reached AS root_spid, depth FROM climb
             WHERE next IS NULL AND reached IN (SELECT blocker FROM known WHERE blocker IS NOT NULL))
         SELECT spid, blocked, root_spid, depth,
-               concat('{margin}', repeat('{indent}', depth), if(depth = 0, '{head}', '{blocked}'), spid, ' ', batch) AS blocking_tree
+               concat('{margin}', repeat('{indent}', depth), CASE depth WHEN 0 THEN '{head}' ELSE '{blocked}' END, spid, ' ', batch) AS blocking_tree
         FROM arrived JOIN known USING (spid)""", recursive=True)
 
 
+def _root_blockers(view: str) -> str:
+    return with_views([view], f"""AND links AS (
+            SELECT spid, max(CASE WHEN blocked NOT IN (0, spid) THEN blocked END) AS direct_blocker FROM {view} GROUP BY spid),
+        climb AS (
+            SELECT spid, spid AS reached, direct_blocker AS next, CAST(0 AS BIGINT) AS steps FROM links
+            UNION ALL
+            SELECT c.spid, l.spid, l.direct_blocker, c.steps + 1 FROM climb c JOIN links l ON l.spid = c.next WHERE c.steps < 200),
+        heads AS (SELECT spid, reached AS root_blocker, steps AS chain_length FROM climb WHERE next IS NULL),
+        behind AS (SELECT reached AS spid, count(*) - 1 AS passed FROM climb GROUP BY reached)
+        SELECT spid, direct_blocker, root_blocker, chain_length, CASE WHEN root_blocker IS NOT NULL THEN passed END AS blocked_descendants
+        FROM links LEFT JOIN heads USING (spid) JOIN behind USING (spid)""", recursive=True)
+
+
 def _wait_pareto(view: str, threshold: int, server: bool) -> str:
     scope = "server_name" if server else "1"
     column = "server_name, " if server else ""
     return with_views([view], f"""AND loads AS (
-            SELECT *, wait_time_ms - signal_wait_time_ms AS resource_ms, sum(wait_time_ms) OVER (PARTITION BY {scope}) AS total,
-                   sum(wait_time_ms) OVER (PARTITION BY {scope} ORDER BY wait_time_ms DESC, wait_type ROWS UNBOUNDED PRECEDING) AS upto
-            FROM {view} WHERE NOT wait_type IN ({_WAITS}) AND waiting_tasks_count > 0)
+            SELECT *, wait_time_ms - signal_wait_time_ms AS resource_ms, {scope} AS of
+            FROM {view} WHERE wait_type NOT IN ({_WAITS}) AND waiting_tasks_count > 0),
+        totals AS (SELECT of, sum(wait_time_ms) AS total FROM loads GROUP BY of),
+        heavier AS (
+            SELECT a.of, a.wait_type, sum(b.wait_time_ms) AS before
+            FROM loads a JOIN loads b ON a.of = b.of
+                 AND (b.wait_time_ms > a.wait_time_ms OR (b.wait_time_ms = a.wait_time_ms AND b.wait_type < a.wait_type))
+            GROUP BY a.of, a.wait_type)
         SELECT {column}wait_type, {half_up('wait_time_ms', '1000', 16, 2)} AS wait_s,
                {half_up('resource_ms', '1000', 16, 2)} AS resource_s, {half_up('signal_wait_time_ms', '1000', 16, 2)} AS signal_s,
                waiting_tasks_count AS wait_count, {half_up('wait_time_ms * 100', 'total', 5, 2)} AS percentage,
@@ -117,7 +140,8 @@ def _wait_pareto(view: str, threshold: int, server: bool) -> str:
                {half_up('resource_ms', 'waiting_tasks_count * 1000', 16, 4)} AS avg_res_s,
                {half_up('signal_wait_time_ms', 'waiting_tasks_count * 1000', 16, 4)} AS avg_sig_s,
                concat('{WAIT_HELP_PREFIX}', wait_type) AS help_url
-        FROM loads WHERE (upto - wait_time_ms) * 100 < total * {threshold}""")
+        FROM loads JOIN totals USING (of) LEFT JOIN heavier USING (of, wait_type)
+        WHERE coalesce(before, 0) * 100 < total * {threshold}""")
 
 
 _MEASURES = """creation_time, r.last_execution_time, r.execution_count, r.total_worker_time, r.last_worker_time, r.total_logical_reads,
@@ -169,19 +193,19 @@ def _index_sizes(condition: str) -> str:
         tables_of_users AS (
             SELECT o.database_name, object_id, s.name AS schema_name, o.name AS table_name
             FROM objects o JOIN schemas s USING (database_name, schema_id)
-            WHERE s.name <> 'sys' AND starts_with(database_name, 'DB_') AND {condition}),
+            WHERE s.name <> 'sys' AND database_name NOT IN ({_SYSTEM}) AND {condition}),
         sized AS (
             SELECT DISTINCT database_name, schema_name, table_name, number_of_rows, total_space_mb
             FROM indexes JOIN tables_of_users USING (database_name, object_id) LEFT JOIN index_totals USING (database_name, object_id, index_id))"""
 
 
 def _database_overview() -> str:
-    flags = ", ".join(f"if({flag}, '{text}', '') AS {name}" for flag, name, text in FLAG_TEXTS)
+    flags = ", ".join(f"CASE WHEN {flag} THEN '{text}' ELSE '' END AS {name}" for flag, name, text in FLAG_TEXTS)
     day = "'%d/%m/%Y %H:%M:%S'"
     return with_views(["databases", "master_files", "backupset"], f"""AND files AS (
             SELECT database_id, count(*) FILTER (type_desc = 'ROWS') AS data_files, count(*) FILTER (type_desc = 'LOG') AS log_files,
-                   CAST(sum(size // 128) FILTER (type_desc = 'ROWS') AS BIGINT) AS data_mb,
-                   CAST(sum(size // 128) FILTER (type_desc = 'LOG') AS BIGINT) AS log_mb
+                   CAST(sum(size * 8 // 1024) FILTER (type_desc = 'ROWS') AS BIGINT) AS data_mb,
+                   CAST(sum(size * 8 // 1024) FILTER (type_desc = 'LOG') AS BIGINT) AS log_mb
             FROM master_files GROUP BY database_id),
         latest AS (
             SELECT database_name AS name, type, backup_start_date AS begun, backup_finish_date AS done
@@ -195,7 +219,8 @@ def _database_overview() -> str:
                coalesce(log_files, 0) AS log_files, log_mb, user_access_desc AS user_access, recovery_model_desc AS recovery_model,
                MAP {{80: '80 (SQL Server 2000)', 90: '90 (SQL Server 2005)', 100: '100 (SQL Server 2008)'}}[compatibility_level] AS compatibility_level,
                strftime(create_date, {day}) AS creation_date, coalesce(last_backup, '-') AS last_backup, type AS last_backup_type,
-               begun AS last_backup_start, done AS last_backup_finish, page_verify_option_desc AS page_verify_option, {flags}
+               begun AS last_backup_start, done AS last_backup_finish, page_verify_option_desc AS page_verify_option, {flags},
+               name AS full_name, status AS full_status
         FROM databases LEFT JOIN files USING (database_id) LEFT JOIN told USING (name)""")
 
 
@@ -219,21 +244,26 @@ ORACLES: dict[str, str] = {
     "session_inventory": _session_inventory("session_id <> 5 AND login_name = 'login_4'"),
     "session_inventory_all": _session_inventory("true"),
     "top_waiting_requests": _top_waiting("session_id <> 101"),
+    "top_waiting_requests_of_text_database": _top_waiting(
+        "sql_handle IN (SELECT s.sql_handle FROM sql_text s JOIN databases b ON b.database_id = s.dbid WHERE b.name = 'DB_7')"
+    ),
     "top_waiting_requests_blocked": _top_waiting("blocking_session_id <> 0 AND database_id = 7"),
     "activity_monitor": _activity("true"),
-    "activity_monitor_head_blockers": _activity(
+    "activity_monitor_head_blockers": _activity("waiter IS NOT NULL AND waits_for = 0"),
+    "activity_monitor_waiting": _activity("longest.wait_type IS NOT NULL AND resource_description LIKE '%1%'"),
+    "activity_monitor_of_program": _activity(
         "last_request_start_time < TIMESTAMP '2024-01-01 00:20:00' AND program_name ILIKE 'BUILD%'"
     ),
     "workload_group_sessions": with_views(["sessions", "workload_groups"], """
         SELECT concat('Kill ', session_id) AS kill_command, session_id, login_name, host_name, group_id, name AS group_name
-        FROM workload_groups JOIN sessions USING (group_id) WHERE session_id >= 51 AND group_id IN (0, 3, 4)"""),
+        FROM workload_groups JOIN sessions USING (group_id) WHERE session_id > 50 AND group_id NOT IN (1, 2)"""),
     "workload_group_counts": with_views(["sessions", "workload_groups"], """
         SELECT group_id, any_value(name) AS group_name, count(*) AS sessions
-        FROM workload_groups JOIN sessions USING (group_id) WHERE session_id >= 51 GROUP BY group_id"""),
+        FROM workload_groups JOIN sessions USING (group_id) WHERE session_id > 50 GROUP BY group_id"""),
     "top_cpu_requests": with_views(["requests", "sql_text"], f"""
         SELECT r.session_id, r.request_id, r.status, r.command, r.wait_time, r.wait_type, r.blocking_session_id, r.cpu_time,
                r.logical_reads, r.database_id, {cut_statement('zero_based_bytes')} AS sql_statement
-        FROM requests r JOIN sql_text t ON t.sql_handle = r.sql_handle WHERE r.session_id > 50 AND r.status = 'running'"""),
+        FROM requests r JOIN sql_text t ON t.sql_handle = r.sql_handle WHERE r.session_id > 50 AND lower(r.status) = 'running'"""),
     "running_statement": with_views(["requests", "sql_text"], f"""
         SELECT r.session_id, r.request_id, r.percent_complete, r.estimated_completion_time,
                (SELECT {cut_statement('zero_based')} FROM sql_text t WHERE t.sql_handle = r.sql_handle) AS statement
@@ -262,7 +292,7 @@ ORACLES: dict[str, str] = {
         SELECT query_plan, session_id, request_id, database_id, database_name, text, wait_time, wait_type, blocking_session_id,
                placed.cpu_time, placed.logical_reads, placed.status, command, login_name, host_name, program_name
         FROM placed JOIN sessions USING (session_id) JOIN query_plan USING (plan_handle) JOIN sql_text USING (sql_handle)
-        WHERE placed.status IN ('running', 'suspended') ORDER BY placed.logical_reads DESC, session_id, request_id LIMIT 20"""),
+        WHERE lower(placed.status) IN ('running', 'suspended') ORDER BY placed.logical_reads DESC, session_id, request_id LIMIT 20"""),
     "requests_with_plan": with_views(["requests", "query_plan", "sql_text"], """
         SELECT r.session_id, r.request_id, r.status, r.command, r.wait_time, r.wait_type, r.blocking_session_id, r.cpu_time,
                r.logical_reads, r.database_id, t.text, p.query_plan
@@ -276,16 +306,9 @@ ORACLES: dict[str, str] = {
     "text_by_handle": with_views(["sql_text"], "SELECT * FROM sql_text WHERE sql_handle = 42"),
     "blocking_tree": _blocking_tree("    ", "|         ", "HEAD -  ", "|------  "),
     "blocking_tree_narrow": _blocking_tree(" ", "| ", "HEAD - ", "|------ "),
-    "root_blockers": with_views(["processes"], """AND links AS (
-            SELECT spid, max(if(blocked IN (0, spid), NULL, blocked)) AS direct_blocker FROM processes GROUP BY spid),
-        climb AS (
-            SELECT spid, spid AS reached, direct_blocker AS next, CAST(0 AS BIGINT) AS steps FROM links
-            UNION ALL
-            SELECT c.spid, l.spid, l.direct_blocker, c.steps + 1 FROM climb c JOIN links l ON l.spid = c.next),
-        heads AS (SELECT spid, reached AS root_blocker, steps AS chain_length FROM climb WHERE next IS NULL),
-        behind AS (SELECT reached AS spid, count(*) - 1 AS passed FROM climb GROUP BY reached)
-        SELECT spid, direct_blocker, root_blocker, chain_length, if(root_blocker IS NULL, NULL, passed) AS blocked_descendants
-        FROM links LEFT JOIN heads USING (spid) JOIN behind USING (spid)""", recursive=True),
+    "root_blockers": _root_blockers("processes"),
+    "root_blockers_chains": _root_blockers("chained_processes"),
+    "blocking_tree_chains": _blocking_tree(" ", "| ", "HEAD - ", "|------ ", "chained_processes"),
     "top_waits": with_views(["wait_stats"], f"""
         SELECT * FROM wait_stats WHERE wait_type NOT IN ({_WAITS}) ORDER BY wait_time_ms DESC, wait_type LIMIT 10"""),
     "wait_pareto": _wait_pareto("wait_stats", 95, False),
@@ -313,8 +336,8 @@ ORACLES: dict[str, str] = {
     "query_averages": with_views(["query_stats", "sql_text"], """
         SELECT r.sql_handle, r.plan_handle, r.statement_start_offset, r.statement_end_offset, r.total_logical_reads, r.total_worker_time,
                r.execution_count, r.total_logical_reads // r.execution_count AS avg_reads,
-               r.total_worker_time // r.execution_count AS avg_cpu, t.text
-        FROM query_stats r JOIN sql_text t ON t.sql_handle = r.sql_handle"""),
+               r.total_worker_time // r.execution_count AS avg_cpu
+        FROM query_stats r WHERE r.sql_handle IN (SELECT t.sql_handle FROM sql_text t)"""),
     "top_queries": _top_queries(),
     "heap_tables": with_views(_TABLE_VIEWS, f"""AND {_index_sizes('o.is_user_table AND NOT o.has_clustered_index')}
         SELECT * EXCLUDE (n) FROM (
@@ -342,8 +365,8 @@ ORACLES: dict[str, str] = {
     "file_space": with_views(["master_files", "file_io_stats", "file_space_used", "databases"], f"""
         SELECT d.name AS database_name, database_id, file_id, type_desc, upper(physical_name[1]) AS disk_drive, physical_name,
                {half_up('size_on_disk_bytes', '1048576', 18, 2)} AS size_on_disk_mb, space_used_mb, free_space_perc,
-               if(is_percent_growth, concat(growth, '%'), concat(growth // 128, ' MB')) AS growth,
-               {half_up('if(is_percent_growth, size * growth, growth * 100)', '12800', 18, 2)} AS next_growth_mb,
+               CASE WHEN is_percent_growth THEN concat(growth, '%') ELSE concat(growth * 8 // 1024, ' MB') END AS growth,
+               {half_up('CASE WHEN is_percent_growth THEN size * growth ELSE growth * 100 END', '12800', 18, 2)} AS next_growth_mb,
                num_of_reads, num_of_bytes_read, io_stall_read_ms, num_of_writes, num_of_bytes_written, io_stall_write_ms
         FROM master_files LEFT JOIN file_io_stats USING (database_id, file_id) LEFT JOIN file_space_used USING (database_id, file_id)
              LEFT JOIN databases d USING (database_id)"""),
@@ -357,13 +380,14 @@ ORACLES: dict[str, str] = {
     "append_permission": with_views(["truncate_permission"], "SELECT * FROM truncate_permission"),
     "unused_indexes": with_views(["index_usage", "indexes", "partition_stats", "partitions", "objects", "schemas"], f"""AND plain AS (
             SELECT database_name, object_id, index_id, name AS index_name FROM indexes
-            WHERE type_desc = 'NONCLUSTERED' AND NOT (is_primary_key OR is_unique OR is_unique_constraint) AND starts_with(database_name, 'DB_')),
+            WHERE type_desc = 'NONCLUSTERED' AND NOT is_primary_key AND NOT is_unique_constraint AND NOT is_unique
+                  AND database_name NOT IN ({_SYSTEM})),
         named AS (
             SELECT o.database_name, object_id, s.name AS schema_name, o.name AS table_name
             FROM objects o JOIN schemas s USING (database_name, schema_id) WHERE is_user_table),
         counted AS (SELECT database_name, object_id, index_id, CAST(sum(rows) AS BIGINT) AS table_rows FROM partitions GROUP BY ALL)
         SELECT database_name, schema_name, table_name, index_name, user_seeks, user_scans, user_lookups, user_updates, table_rows,
-               {half_up('used_page_count', '128', 10, 3)} AS index_size_mb, last_user_scan, last_user_seek, last_user_update
+               {half_up('used_page_count', '128', 36, 3)} AS index_size_mb, last_user_scan, last_user_seek, last_user_update
         FROM plain JOIN named USING (database_name, object_id) JOIN counted USING (database_name, object_id, index_id)
              JOIN partition_stats USING (database_name, object_id, index_id) JOIN index_usage USING (database_name, object_id, index_id)
         QUALIFY row_number() OVER (PARTITION BY database_name ORDER BY last_user_seek NULLS FIRST, last_user_scan NULLS FIRST,
@@ -379,7 +403,7 @@ ORACLES: dict[str, str] = {
         SELECT database_name, schema_name, table_name, indexes.name AS index_name, index_id, key_columns, included_columns,
                'CREATE INDEX ' || indexes.name || ' ON ' || place || ' ( ' || key_columns || ' ) '
                || coalesce(' INCLUDE ( ' || included_columns || ' )', '') AS create_statement,
-               'DROP INDEX [' || indexes.name || '] ON ' || place AS drop_statement
+               'DROP INDEX [' || replace(indexes.name, ']', ']]') || '] ON ' || place AS drop_statement
         FROM indexes JOIN named USING (database_name, object_id) LEFT JOIN lists USING (database_name, object_id, index_id)"""),
     "last_backup_history": with_views(["backupset"], """
         SELECT database_name, max(backup_finish_date) FILTER (type = 'D') AS last_full_backup,
@@ -403,6 +427,8 @@ ORACLES: dict[str, str] = {
     "task_space_sample": with_views(["task_space"], "SELECT * FROM task_space ORDER BY session_id, task_address LIMIT 100"),
     "snapshot_query_counts": _snapshots(f"""
         SELECT left(query_text, 100) AS query_text, count(1) AS row_count FROM tempdb_snapshots WHERE {_AT} GROUP BY 1"""),
+    "snapshot_text_counts": _snapshots(f"""
+        SELECT query_text, count(1) AS row_count FROM tempdb_snapshots WHERE {_AT} GROUP BY query_text"""),
     "snapshot_query_pages": _snapshots(f"SELECT query_text, internal_pages + user_pages AS pages FROM tempdb_snapshots WHERE {_AT}"),
     "snapshot_top_offenders": _snapshots(f"""AND heavy AS (
             SELECT left(query_text, 100) AS query_prefix, CAST(sum(internal_pages + user_pages) AS BIGINT) AS page_count

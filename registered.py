@@ -41,7 +41,7 @@ def _append_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append two parts of the permission rows and read the table back."""
     rows = view(spark, sf_dir, "truncate_permission")
     path = scratch_path(spark, "permission")
-    first = F.col("table_name") < "db.dbo.table_5"
+    first = F.coalesce(F.col("table_name") < "db.dbo.table_5", F.lit(False))
     storage.append_permission(rows.where(first), path)
     storage.append_permission(rows.where(~first), path)
     return storage.read_table(spark, path)
@@ -73,13 +73,25 @@ QUERIES: dict[str, Query] = {
         sessions.top_waiting_requests, "requests", "sql_text", "query_plan", "statement_plan", "databases", "object_names",
         blocked_only=True, request_database_id=7,
     ),
+    "top_waiting_requests_of_text_database": over(
+        sessions.top_waiting_requests, "requests", "sql_text", "query_plan", "statement_plan", "databases", "object_names",
+        text_database="DB_7",
+    ),
     "activity_monitor": over(
         sessions.activity_monitor, "sessions", "connections", "requests", "tasks", "waiting_tasks", "workload_groups", "processes", "databases"
     ),
     "activity_monitor_head_blockers": over(
+        sessions.activity_monitor, "sessions", "connections", "requests", "tasks", "waiting_tasks", "workload_groups", "processes",
+        "databases", sort="cpu", head_blockers_only=True,
+    ),
+    "activity_monitor_of_program": over(
         sessions.activity_monitor, "sessions", "connections", "requests", "tasks", "waiting_tasks", "workload_groups", "processes",
         "databases", sort="cpu", started_before="2024-01-01 00:20:00", program_like="BUILD%",
     ),
+    "activity_monitor_waiting": over(
+        sessions.activity_monitor, "sessions", "connections", "requests", "tasks", "waiting_tasks", "workload_groups", "processes",
+        "databases", sort="wait", waiting_only=True, resource_like="%1%",
+    ),
     "workload_group_sessions": over(sessions.workload_group_sessions, "sessions", "workload_groups"),
     "workload_group_counts": over(sessions.workload_group_counts, "sessions", "workload_groups"),
     "top_cpu_requests": over(sessions.top_cpu_requests, "requests", "sql_text"),
@@ -99,6 +111,8 @@ QUERIES: dict[str, Query] = {
     "blocking_tree": over(blocking.blocking_tree, "processes", "sql_text"),
     "blocking_tree_narrow": over(blocking.blocking_tree, "processes", "sql_text", indent_style="narrow", dedup=True),
     "root_blockers": over(blocking.root_blockers, "processes"),
+    "blocking_tree_chains": over(blocking.blocking_tree, "chained_processes", "sql_text", indent_style="narrow"),
+    "root_blockers_chains": over(blocking.root_blockers, "chained_processes"),
     # waits
     "top_waits": over(waits.top_waits, "wait_stats", excluded=NO_LOAD_WAITS),
     "wait_pareto": over(waits.wait_pareto, "wait_stats", excluded=NO_LOAD_WAITS),
@@ -146,6 +160,7 @@ QUERIES: dict[str, Query] = {
     "space_summary": over(tempspace.space_summary, "file_space"),
     "task_space_sample": over(tempspace.task_space_sample, "task_space"),
     "snapshot_query_counts": over(tempspace.snapshot_query_counts, "tempdb_snapshots", at=SNAPSHOT),
+    "snapshot_text_counts": over(tempspace.snapshot_query_counts, "tempdb_snapshots", at=SNAPSHOT, chars=None),
     "snapshot_query_pages": over(tempspace.snapshot_query_pages, "tempdb_snapshots", at=SNAPSHOT),
     "snapshot_top_offenders": over(tempspace.snapshot_top_offenders, "tempdb_snapshots", at=SNAPSHOT),
     "snapshot_timeline": over(tempspace.snapshot_timeline, "tempdb_snapshots", as_of="2024-01-20 12:00:00", hours=168),

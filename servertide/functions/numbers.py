@@ -25,12 +25,12 @@ def pages_to_whole_mb(pages: Column) -> Column:
 
 
 def rounded_ratio(numerator: Column, denominator: Column | int, precision: int, scale: int) -> Column:
-    """``numerator / denominator`` of integers, rounded half up once, as DECIMAL(precision, scale).
+    """``numerator / denominator`` of integers, rounded half up once, as DECIMAL(precision, scale); NULL for a zero denominator.
 
     Plain decimal division would round twice (at Spark's own scale, then at ours).
     """
     bottom = denominator if isinstance(denominator, Column) else F.lit(denominator)
-    bottom = bottom.cast(WIDE)
+    bottom = F.nullif(bottom.cast(WIDE), F.lit(0).cast(WIDE))
     top = numerator.cast(WIDE) * F.lit(10**scale).cast(WIDE) * 2
     half = F.when((numerator < 0) != (bottom < 0), -bottom).otherwise(bottom)
     scaled = F.call_function("div", top + half, bottom * 2)
@@ -38,9 +38,9 @@ def rounded_ratio(numerator: Column, denominator: Column | int, precision: int,
 
 
 def truncated_ratio(numerator: Column, denominator: Column, precision: int, scale: int) -> Column:
-    """``numerator / denominator`` of integers cut off after ``scale`` digits."""
+    """``numerator / denominator`` of integers cut off after ``scale`` digits; NULL for a zero denominator."""
     top = numerator.cast(WIDE) * F.lit(10**scale).cast(WIDE)
-    scaled = F.call_function("div", top, denominator.cast(WIDE))
+    scaled = F.call_function("div", top, F.nullif(denominator.cast(WIDE), F.lit(0).cast(WIDE)))
     return (scaled.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal({precision},{scale})")
 
 

@@ -43,9 +43,8 @@ def truncate(column: Column, chars: int) -> Column:
 
 
 def quotename(column: Column) -> Column:
-    """QUOTENAME; identifiers have 128 characters at most, others give NULL."""
-    quoted = F.concat(F.lit("["), F.replace(column, F.lit("]"), F.lit("]]")), F.lit("]"))
-    return F.when(F.length(column) <= 128, quoted)
+    """QUOTENAME, for names of any length."""
+    return F.concat(F.lit("["), F.replace(column, F.lit("]"), F.lit("]]")), F.lit("]"))
 
 
 def single_line(column: Column) -> Column:
@@ -79,19 +78,21 @@ SLICE_VARIANTS = {
 }
 
 
-def statement_slice(text: Column, start: Column, end: Column, variant: str = "inclusive", open_end: int = 100000) -> Column:
+def statement_slice(text: Column, start: Column, end: Column, variant: str = "inclusive", open_end: int | None = None) -> Column:
     """Cut the running statement out of its batch by UTF-16 byte offsets.
 
     ``inclusive``         1 + start/2, (end - start)/2 + 1 characters, open end at LEN
     ``exclusive``         1 + start/2, (end - start)/2 characters, open end at LEN
-    ``zero_based``        start/2, (end - start)/2 characters, open end at ``open_end`` bytes
+    ``zero_based``        start/2, (end - start)/2 characters, open end at ``open_end`` bytes, by default the end of the text
     ``zero_based_bytes``  start/2, (end - start)/2 characters, open end at DATALENGTH
     """
     one_based, one_more, open_rule = SLICE_VARIANTS[variant]
 
     def cut(batch: Column) -> Column:
         if open_rule == "fixed":
-            until = F.when(end < 0, F.lit(open_end)).otherwise(end)
+            # Positions count from zero, so the last character ends one further.
+            whole = (F.length(batch) + 1) * 2 if open_end is None else F.lit(open_end)
+            until = F.when(end < 0, whole).otherwise(end)
         elif open_rule == "len":
             until = F.when(end == -1, tsql_len(batch) * 2).otherwise(end)
         else:

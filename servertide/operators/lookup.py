@@ -7,81 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# One task should not get more rows of a single key than this.
-ROWS_PER_TASK = 2_000_000
-# Keys that are split at most. Any other key has fewer rows than each of these, so
-# under a thousandth of all rows.
-MAX_HOT_KEYS = 1_000
-# Parts into which one key is split at most.
-MAX_PARTS = 65_536
 
-_PART, _PARTS = "__part", "__parts"
+def lookup_join(left: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join (``inner``, ``left`` or ``left_semi``) in which one key may hold a large share of ``left``.
 
-
-def lookup_join(
-    left: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    split: bool = True,
-    base: DataFrame | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
-    max_hot_keys: int = MAX_HOT_KEYS,
-) -> DataFrame:
-    """Equi-join in which one key may hold a large share of ``left``.
-
-    The heaviest keys (at most ``max_hot_keys``, so they can be broadcast) are spread
-    over several parts: each left row goes to one part by a hash of its values, the
-    few lookup rows of the key are copied to all parts. Other keys and lookups join
-    as usual. The result is that of ``left.join(lookup, on, how)`` for ``inner``,
-    ``left`` and ``left_semi``. ``split=False`` is for a left side that is known to be
-    small enough for any one task. ``base`` is for a left side that earlier lookups have
-    widened: the rows before those, in which keys are counted, so that the earlier joins
-    do not run twice.
+    Each side is read once. Where a partition of ``left`` is far larger than the others,
+    because of a frequent key, equal rows or rows without a key, adaptive execution splits it
+    by the map tasks that wrote it and reads the lookup rows of the partition once for each part.
     """
-    on = list(on)
-    if not split:
-        return left.join(lookup, on, how)
-    base = left if base is None else base
-    counts = base.where(_all_set(on)).groupBy(*on).count().where(F.col("count") > rows_per_task)
-    hot = (
-        counts.orderBy(F.col("count").desc(), *on)
-        .limit(max_hot_keys)
-        .select(*on, F.least(F.ceil(F.col("count") / rows_per_task), F.lit(MAX_PARTS)).cast("int").alias(_PARTS))
-    )
-    # Rows without a key never match; they are spread over all parts.
-    parts = F.when(_all_set(on), F.coalesce(F.col(_PARTS), F.lit(1))).otherwise(F.lit(MAX_PARTS))
-    spread = (
-        left.join(F.broadcast(hot), on, "left")
-        .withColumn(_PART, F.pmod(F.xxhash64(*base.columns), parts).cast("int"))
-        .drop(_PARTS)
-    )
-    copied = (
-        lookup.join(F.broadcast(hot), on, "left")
-        .withColumn(_PART, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_PARTS), F.lit(1)) - 1)))
-        .drop(_PARTS)
-    )
-    return spread.join(copied, [*on, _PART], how).drop(_PART)
-
+    return left.join(lookup, list(on), how)
 
-def may_be_hot(table: DataFrame) -> bool:
-    """Whether a written table has enough rows for a key to overload a task (reads file footers)."""
-    return table.count() > ROWS_PER_TASK
 
-
-def attach(few: DataFrame, lookup: DataFrame, on: Sequence[str], bounded: bool = True) -> DataFrame:
-    """Inner join of the rows left by a top-k with a big table, without shuffling that table.
-
-    ``bounded`` says that ``few`` has at most k rows, whatever the data; only then it
-    is broadcast. Otherwise the planner decides by size.
-    """
-    return lookup.join(F.broadcast(few) if bounded else few, list(on))
+def attach(few: DataFrame, lookup: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join of the rows left by a top-k with a big table; the planner sees that they are few."""
+    return lookup.join(few, list(on))
 
 
-def found_for(few: DataFrame, lookup: DataFrame, on: Sequence[str], bounded: bool = True) -> DataFrame:
+def found_for(few: DataFrame, lookup: DataFrame, on: Sequence[str]) -> DataFrame:
     """The lookup rows that ``few`` refers to: what remains to be outer-joined to it."""
     keys = few.select(*on).where(_all_set(on)).distinct()
-    return attach(keys, lookup, on, bounded)
+    return attach(keys, lookup, on)
 
 
 def _all_set(columns: Sequence[str]):

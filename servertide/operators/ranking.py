@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,12 +27,18 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], scope: Sequence[str] =
 
 
 def rankings(
-    df: DataFrame, k: int, orders: Mapping[str, Sequence[Column]], scope: Sequence[str] = (),
+    df: DataFrame, k: int, measures: Mapping[str, Column], ties: Sequence[str], scope: Sequence[str] = (),
     name: str = "report_name", row_number: str = "row_no",
 ) -> DataFrame:
-    """Several top-k lists of one table under each other."""
-    lists = [
-        top_k(df, k, order, scope, row_number).withColumn(name, F.lit(report))
-        for report, order in orders.items()
-    ]
-    return reduce(DataFrame.unionByName, lists)
+    """Several top-k lists of one table under each other: largest measure first, then by ``ties``.
+
+    The table is read once. Each row stands once for each list with that list's measure, and
+    the rank filter lets Spark drop all but k rows of a list in each task before the shuffle.
+    """
+    entries = F.array(*(F.struct(F.lit(report).alias("name"), measure.alias("measure")) for report, measure in measures.items()))
+    listed = df.withColumn("__entry", F.explode(entries))
+    order = Window.partitionBy(*scope, "__entry.name").orderBy(F.col("__entry.measure").desc(), *ties)
+    return (
+        listed.withColumn(row_number, F.row_number().over(order)).where(F.col(row_number) <= k)
+        .withColumn(name, F.col("__entry.name")).drop("__entry")
+    )

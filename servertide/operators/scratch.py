@@ -22,7 +22,9 @@ def scratch_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own_roots.setdefault(context.applicationId, tempfile.mkdtemp(prefix="servertide-"))
+    if context.applicationId not in _own_roots:
+        _own_roots[context.applicationId] = tempfile.mkdtemp(prefix="servertide-")
+    return _own_roots[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -97,8 +97,8 @@ def database_overview(databases: DataFrame, master_files: DataFrame, backupset:
             _named(F.col("compatibility_level"), COMPATIBILITY_LEVELS).alias("compatibility_level"),
             day_first(F.col("create_date")).alias("creation_date"), F.coalesce(text, F.lit("-")).alias("last_backup"),
             F.col("backup.type").alias("last_backup_type"), start.alias("last_backup_start"), finish.alias("last_backup_finish"),
-            F.col("page_verify_option_desc").alias("page_verify_option"), *flags, "name",
+            F.col("page_verify_option_desc").alias("page_verify_option"), *flags,
+            F.col("name").alias("full_name"), F.col("status").alias("full_status"),
         )
-        .orderBy(*scope, "database_name", F.col("last_backup").desc(), "name", "database_id")
-        .drop("name")
+        .orderBy(*scope, "database_name", F.col("last_backup").desc(), "full_name", "database_id")
     )

@@ -39,7 +39,7 @@ def unused_indexes(
         .join(uses, index)
         .join(partition_stats.select(*index, "used_page_count"), index)
         .join(named, [*scope, "object_id"])
-        .withColumn("index_size_mb", pages_to_mb(F.col("used_page_count"), 10, 3))
+        .withColumn("index_size_mb", pages_to_mb(F.col("used_page_count"), 36, 3))
     )
     if "database_name" in scope:
         rows = rows.where(~fold(F.col("database_name")).isin(*[d.lower() for d in excluded_databases]))

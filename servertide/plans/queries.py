@@ -40,7 +40,7 @@ def cached_statements_with_plan(query_stats: DataFrame, sql_text: DataFrame, sta
     plan_key = [*scope, "plan_handle", *OFFSETS]
     rows = query_stats.select(*scope, *HANDLES, *OFFSETS)
     planned = lookup_join(rows, statement_plan.select(*plan_key, "query_plan"), plan_key)
-    full = lookup_join(planned, sql_text.select(*scope, "sql_handle", "text"), [*scope, "sql_handle"], base=rows)
+    full = lookup_join(planned, sql_text.select(*scope, "sql_handle", "text"), [*scope, "sql_handle"])
     return full.select(*scope, *HANDLES, *OFFSETS, _statement("inclusive").alias("statement"), "query_plan")
 
 
@@ -63,21 +63,21 @@ def procedure_plans(
         F.col("execution_count").alias("executions_of_current_plan"),
     )
     joined = lookup_join(statements, procedures, plan)
-    return lookup_join(joined, query_plan.select(*plan, "query_plan"), plan, base=statements).select(
+    return lookup_join(joined, query_plan.select(*plan, "query_plan"), plan).select(
         *scope, F.col("object_name").alias("procedure_name"), "procedure_executes", "version_of_plan",
         "executions_of_current_plan", "query_plan",
     )
 
 
 def query_averages(query_stats: DataFrame, sql_text: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Totals and whole-number averages per statement with its batch, by total CPU."""
+    """Totals and whole-number averages of each statement whose batch is known, by total CPU."""
     rows = query_stats.select(
         *scope, *HANDLES, *OFFSETS, "total_logical_reads", "total_worker_time", "execution_count",
         div(F.col("total_logical_reads"), F.col("execution_count")).alias("avg_reads"),
         div(F.col("total_worker_time"), F.col("execution_count")).alias("avg_cpu"),
     )
-    full = lookup_join(rows, sql_text.select(*scope, "sql_handle", "text"), [*scope, "sql_handle"])
-    return full.orderBy(F.col("total_worker_time").desc(), *scope, *HANDLES, *OFFSETS).select(*rows.columns, "text")
+    known = lookup_join(rows, sql_text.select(*scope, "sql_handle"), [*scope, "sql_handle"], "left_semi")
+    return known.orderBy(F.col("total_worker_time").desc(), *scope, *HANDLES, *OFFSETS).select(*rows.columns)
 
 
 def text_of(sql_text: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -99,20 +99,18 @@ def top_queries(
         (F.col("last_execution_time") > instant(since)) & (F.col("execution_count") > min_executions)
     )
     executions = F.col("execution_count")
-    ties = [F.col(c) for c in [*HANDLES, *OFFSETS]]
     lists = rankings(
         recent, k,
         {
-            "TotalCPU": [F.col("total_worker_time").desc(), *ties],
-            "AvgCPU": [div(F.col("total_worker_time"), executions).desc(), *ties],
-            "TotalIO": [F.col("total_logical_reads").desc(), *ties],
-            "AVGIO": [div(F.col("total_logical_reads"), executions).desc(), *ties],
+            "TotalCPU": F.col("total_worker_time"),
+            "AvgCPU": div(F.col("total_worker_time"), executions),
+            "TotalIO": F.col("total_logical_reads"),
+            "AVGIO": div(F.col("total_logical_reads"), executions),
         },
-        scope,
+        [*HANDLES, *OFFSETS], scope,
     )
-    bounded = not scope
-    full = attach(lists, text_of(sql_text, scope), [*scope, "sql_handle"], bounded=bounded)
-    full = attach(full, query_plan.select(*scope, "plan_handle", "query_plan"), [*scope, "plan_handle"], bounded=bounded)
+    full = attach(lists, text_of(sql_text, scope), [*scope, "sql_handle"])
+    full = attach(full, query_plan.select(*scope, "plan_handle", "query_plan"), [*scope, "plan_handle"])
     named = (
         full.join(database_names(databases, scope, "dbid"), [*scope, "dbid"], "left")
         .where(~F.coalesce("database_name", F.lit("")).isin("", *excluded_databases))

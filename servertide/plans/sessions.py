@@ -88,7 +88,7 @@ def session_inventory(
     linked = connections.select(*scope, "session_id", F.col("most_recent_sql_handle").alias("sql_handle"), *of_connection)
     batch = lookup_join(
         linked.join(mine.select(*scope, *of_session), [*scope, "session_id"]),
-        sql_text.select(*scope, "sql_handle", "dbid", "objectid", "text"), [*scope, "sql_handle"], base=linked,
+        sql_text.select(*scope, "sql_handle", "dbid", "objectid", "text"), [*scope, "sql_handle"],
     )
     named = (
         batch.join(database_names(databases, scope, "dbid"), [*scope, "dbid"], "left")
@@ -143,14 +143,13 @@ def top_waiting_requests(
     order = [F.col("wait_time").desc(), F.col("session_id"), F.col("request_id")]
     # Written, because three outer lookups start from it.
     top = written(top_k(rows, k, order, scope), "top")
-    bounded = not scope
     texts = sql_text.select(*handle, "dbid", "objectid", "text")
     statement_plans = statement_plan.select(*plan, *offsets, F.col("query_plan").alias("statement_plan"))
     full = top
     for lookup, key in [
         (texts, handle), (query_plan.select(*plan, "query_plan"), plan), (statement_plans, [*plan, *offsets]),
     ]:
-        full = full.join(found_for(top, lookup, key, bounded), key, "left")
+        full = full.join(found_for(top, lookup, key), key, "left")
     named = (
         full.join(database_names(databases, scope, "dbid"), [*scope, "dbid"], "left")
         .join(object_names(objects, scope), [*scope, "dbid", "objectid"], "left")
@@ -304,8 +303,9 @@ def top_cpu_requests(requests: DataFrame, sql_text: DataFrame, scope: Sequence[s
     )
     batch = lookup_join(running, sql_text.select(*scope, "sql_handle", "text"), [*scope, "sql_handle"])
     statement = statement_slice(F.col("text"), F.col("statement_start_offset"), F.col("statement_end_offset"), "zero_based_bytes")
-    return batch.orderBy(F.col("cpu_time").desc(), *scope, "session_id", "request_id").select(
-        *scope, *_REQUEST, statement.alias("sql_statement")
+    # Cut first, so that statements are sorted and not whole batches.
+    return batch.select(*scope, *_REQUEST, statement.alias("sql_statement")).orderBy(
+        F.col("cpu_time").desc(), *scope, "session_id", "request_id"
     )
 
 
@@ -350,9 +350,9 @@ def locked_objects(lock_info: DataFrame, processes: DataFrame, objects: DataFram
         *scope, F.col("object_id").alias("rsc_objid"), F.col("name").alias("object_name")
     ).distinct()
     logins = processes.select(*scope, "spid", "loginame").distinct()
-    named = lookup_join(locks.distinct(), names, [*scope, "rsc_objid"], base=locks)
+    named = lookup_join(locks.distinct(), names, [*scope, "rsc_objid"])
     return (
-        lookup_join(named, logins, [*scope, "spid"], base=locks)
+        lookup_join(named, logins, [*scope, "spid"])
         .select(*scope, "object_name", F.col("spid").alias("req_spid"), "loginame").distinct()
     )
 
@@ -373,13 +373,12 @@ def busy_requests(
         "logical_reads", "status", "command", "sql_handle", "plan_handle",
     )
     known = lookup_join(rows, sql_text.select(*handle), handle, "left_semi")
-    known = lookup_join(known, query_plan.select(*plan), plan, "left_semi", base=rows)
+    known = lookup_join(known, query_plan.select(*plan), plan, "left_semi")
     order = [F.col("logical_reads").desc(), F.col("session_id"), F.col("request_id")]
     of_session = sessions.select(*scope, "session_id", "login_name", "host_name", "program_name")
     top = top_k(known.join(of_session, [*scope, "session_id"]), k, order, scope)
-    bounded = not scope
-    full = attach(top, sql_text.select(*handle, "text"), handle, bounded=bounded)
-    full = attach(full, query_plan.select(*plan, "query_plan"), plan, bounded=bounded)
+    full = attach(top, sql_text.select(*handle, "text"), handle)
+    full = attach(full, query_plan.select(*plan, "query_plan"), plan)
     return (
         full.join(database_names(databases, scope), [*scope, "database_id"], "left")
         .orderBy(*scope, *order)
@@ -399,7 +398,7 @@ def requests_with_plan(
     rows = requests.select(*scope, *_REQUEST, "sql_handle", "plan_handle")
     texts = sql_text.select(*scope, F.col("sql_handle").alias(text_key), "text")
     planned = lookup_join(rows, query_plan.select(*scope, "plan_handle", "query_plan"), [*scope, "plan_handle"])
-    return lookup_join(planned, texts, [*scope, text_key], base=rows).select(*scope, *_REQUEST, "text", "query_plan")
+    return lookup_join(planned, texts, [*scope, text_key]).select(*scope, *_REQUEST, "text", "query_plan")
 
 
 def connections_by_handle(connections: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

@@ -73,10 +73,15 @@ def _pages():
     return F.col("internal_pages") + F.col("user_pages")
 
 
-def snapshot_query_counts(snapshots: DataFrame, at, chars: int = PREFIX_CHARS, scope: Sequence[str] = ()) -> DataFrame:
-    """Rows per query text in one snapshot."""
+def _begin(chars: int | None):
+    text = F.col("query_text")
+    return text if chars is None else truncate(text, chars)
+
+
+def snapshot_query_counts(snapshots: DataFrame, at, chars: int | None = PREFIX_CHARS, scope: Sequence[str] = ()) -> DataFrame:
+    """Rows per query text in one snapshot; texts count as equal if their first ``chars`` are (None: all)."""
     return (
-        _snapshot(snapshots, at).groupBy(*scope, truncate(F.col("query_text"), chars).alias("query_text"))
+        _snapshot(snapshots, at).groupBy(*scope, _begin(chars).alias("query_text"))
         .agg(F.count("*").alias("row_count"))
     )
 
@@ -87,7 +92,7 @@ def snapshot_query_pages(snapshots: DataFrame, at, scope: Sequence[str] = ()) ->
     return rows.orderBy(F.col("pages").desc(), *scope, "query_text")
 
 
-def snapshot_top_offenders(snapshots: DataFrame, at, k: int = 10, chars: int = PREFIX_CHARS, scope: Sequence[str] = ()) -> DataFrame:
+def snapshot_top_offenders(snapshots: DataFrame, at, k: int = 10, chars: int | None = PREFIX_CHARS, scope: Sequence[str] = ()) -> DataFrame:
     """Detail rows of the k queries that hold most pages in one snapshot.
 
     Every such query has detail rows, except the NULL text, which equals nothing and
@@ -96,12 +101,11 @@ def snapshot_top_offenders(snapshots: DataFrame, at, k: int = 10, chars: int = P
     """
     scope = list(scope)
     key = [*scope, "query_prefix"]
-    rows = _snapshot(snapshots, at).withColumn("query_prefix", truncate(F.col("query_text"), chars))
+    rows = _snapshot(snapshots, at).withColumn("query_prefix", _begin(chars))
     sums = rows.groupBy(*key).agg(F.sum(_pages()).alias("page_count"))
     order = [F.col("page_count").desc(), F.col("query_prefix")]
     top = top_k(sums, k, order, scope)
-    few = top if scope else F.broadcast(top)
-    known = rows.join(few, key)
+    known = rows.join(top, key)
     unknown = top.where(F.col("query_prefix").isNull())
     for field in rows.schema:
         if field.name not in key:

@@ -97,9 +97,12 @@ def wait_type_names(requests: DataFrame, wait_map: DataFrame, map_name: str = "w
     The name is the last wait type where the map says UNKNOWN or the same, and NULL
     where the map does not know the type.
     """
-    key = F.col("map_key")
-    if isinstance(requests.schema["wait_type"].dataType, T.BinaryType):
-        key = F.unhex(F.lpad(F.hex(F.pmod(key.cast("long"), F.lit(65536))), 4, "0"))
+    kind = requests.schema["wait_type"].dataType
+    if isinstance(kind, T.BinaryType):
+        # The number of the wait type in two bytes.
+        key = F.unhex(F.lpad(F.hex(F.pmod(F.col("map_key").cast("long"), F.lit(65536))), 4, "0"))
+    else:
+        key = F.col("map_key").cast(kind)
     names = wait_map.where(F.col("name") == map_name).select(*scope, key.alias("wait_type"), "map_value")
     columns = [*scope, "session_id", "request_id", "wait_type", "last_wait_type", "wait_time"]
     named = lookup_join(requests.select(*columns), names, [*scope, "wait_type"], "left")

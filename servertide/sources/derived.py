@@ -29,6 +29,9 @@ def _database_of(object_id: str) -> str:
     return f"CASE {object_id} % 5 WHEN 0 THEN 'master' ELSE concat('DB_', {_text(object_id + ' % 5')}) END"
 
 
+# Who blocks session c_custkey + 1: sessions 51 to 56 are heads of trees with seven sessions below each.
+_BLOCKER = f"CASE WHEN c_custkey < 56 THEN 0 ELSE 50 + {_whole('(c_custkey - 49) / 7')} END"
+
 _START = "TIMESTAMP '2024-01-01 00:00:00'"
 
 # Columns of the supplied tables that the views read.
@@ -51,10 +54,17 @@ TABLES = {
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "processes": (("customer", "documents"), f"""
         SELECT c_custkey + 1 AS spid,
-               CASE WHEN (c_custkey + 1) % 101 = 0 THEN c_custkey + 1 ELSE {_whole('(c_custkey + 1) / 7')} END AS blocked,
+               CASE WHEN (c_custkey + 1) % 101 = 0 THEN c_custkey + 1 ELSE {_BLOCKER} END AS blocked,
                CAST(c_nationkey AS BIGINT) AS dbid, concat('login_', {_text('c_custkey % 20')}) AS loginame,
                c_custkey % {_DOCS} AS sql_handle
         FROM customer"""),
+    # Chains of 150 sessions, of which every tenth is a cycle; some sessions have two equal rows.
+    "chained_processes": (("orders", "documents"), f"""
+        SELECT o_orderkey + 1 AS spid,
+               CASE WHEN o_orderkey % 150 <> 0 THEN o_orderkey WHEN o_orderkey % 1500 = 1350 THEN o_orderkey + 150 ELSE 0 END AS blocked,
+               o_custkey % 5 AS dbid, concat('login_', {_text('o_custkey % 20')}) AS loginame, o_custkey % {_DOCS} AS sql_handle
+        FROM (SELECT o_orderkey, o_custkey FROM orders UNION ALL
+              SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 40 = 0) AS listed"""),
     "who": (("customer",), f"""
         SELECT {_text('c_custkey + 1')} AS spid,
                CASE c_mktsegment WHEN 'FURNITURE' THEN 'SUSPENDED' ELSE 'RUNNABLE' END AS status,
@@ -75,16 +85,16 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                'ODBC' AS client_interface_name, 'CORP' AS nt_domain, c_name AS nt_user_name,
                {_whole('c_acctbal + 1000')} AS cpu_time, c_custkey % 1000 AS memory_usage, c_custkey % 5 AS group_id
         FROM customer"""),
-    "connections": (("orders",), f"""
+    "connections": (("orders", "documents"), f"""
         SELECT o_custkey + 1 AS session_id, count(*) AS num_reads, count(DISTINCT o_orderstatus) AS num_writes,
                max(o_orderdate) AS last_read, min(o_orderdate) AS last_write,
                concat('10.0.0.', {_text('o_custkey % 250')}) AS client_net_address, '10.0.0.1' AS local_net_address,
-               {_whole('o_custkey / 40')} AS most_recent_sql_handle
-        FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey"""),
-    "requests": (("customer",), f"""
+               o_custkey % ({_DOCS} + 7) AS most_recent_sql_handle
+        FROM orders GROUP BY o_custkey"""),
+    "requests": (("customer", "documents"), f"""
         SELECT c_custkey + 1 AS session_id, CAST(0 AS BIGINT) AS request_id,
-               {_whole('(c_custkey + 1) / 7')} AS blocking_session_id,
-               CASE c_mktsegment WHEN 'FURNITURE' THEN 'suspended' WHEN 'MACHINERY' THEN 'background' ELSE 'running' END AS status,
+               {_BLOCKER} AS blocking_session_id,
+               CASE c_mktsegment WHEN 'FURNITURE' THEN 'Suspended' WHEN 'MACHINERY' THEN 'Background' ELSE 'running' END AS status,
                CASE c_nationkey WHEN 0 THEN 'TASK MANAGER' ELSE 'SELECT' END AS command,
                (c_custkey * 7919) % 100003 AS wait_time, {_text('c_nationkey')} AS wait_type,
                concat('NATION_', {_text('c_custkey % 7')}) AS last_wait_type, concat('page ', {_text('c_custkey')}) AS wait_resource,
@@ -93,13 +103,13 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                {_whole('c_acctbal + 1000')} AS cpu_time, {_whole('c_acctbal * 3 + 4000')} AS logical_reads,
                CAST(c_nationkey AS BIGINT) AS database_id, 2 * (c_custkey % 10) AS statement_start_offset,
                CASE c_custkey % 4 WHEN 0 THEN -1 ELSE 2 * (c_custkey % 10) + 40 END AS statement_end_offset,
-               c_custkey AS sql_handle, {_whole('c_custkey / 4')} AS plan_handle
-        FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'"""),
+               c_custkey AS sql_handle, c_custkey % {_DOCS} AS plan_handle
+        FROM customer"""),
     "tasks": (("customer",), """
         SELECT c_custkey + 1 AS session_id, CAST(0 AS BIGINT) AS request_id, c_custkey AS task_address,
                CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'RUNNABLE' WHEN 'BUILDING' THEN 'RUNNING'
-                    WHEN 'FURNITURE' THEN 'SUSPENDED' ELSE 'DONE' END AS task_state
-        FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'"""),
+                    WHEN 'FURNITURE' THEN 'Suspended' ELSE 'DONE' END AS task_state
+        FROM customer"""),
     "waiting_tasks": (("events",), f"""
         SELECT user_id AS waiting_task_address, {_whole('value * 100')} AS wait_duration_ms, event_type AS wait_type,
                props AS resource_description, user_id % 7 AS blocking_session_id, event_id AS waiting_task_id
@@ -118,12 +128,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                concat('<plan source="', source, '" lang="', lang, '"><cost>', {_text('n_chars')}, '</cost></plan>') AS query_plan
         FROM documents"""),
     "statement_plan": (("part",), f"""
-        SELECT {_whole('p_partkey / 4')} AS plan_handle, 2 * (p_partkey % 10) AS statement_start_offset,
+        SELECT {_whole('p_partkey / 2')} AS plan_handle, 2 * (p_partkey % 10) AS statement_start_offset,
                CASE p_partkey % 4 WHEN 0 THEN -1 ELSE 2 * (p_partkey % 10) + 40 END AS statement_end_offset,
-               concat('<plan type="', p_type, '"><size>', {_text('p_size')}, '</size></plan>') AS query_plan
+               concat('<plan type="', p_type, '"><size>', {_text('p_size')}, CASE p_size % 7 WHEN 0 THEN '<size>' ELSE '</size></plan>' END) AS query_plan
         FROM part"""),
     "query_stats": (("lineitem", "documents"), f"""
-        SELECT l_partkey % {_DOCS} AS sql_handle, {_whole('l_partkey / 4')} AS plan_handle,
+        SELECT l_partkey % {_DOCS} AS sql_handle, {_whole('l_partkey / 2')} AS plan_handle,
                2 * (l_partkey % 10) AS statement_start_offset,
                CASE l_partkey % 4 WHEN 0 THEN -1 ELSE 2 * (l_partkey % 10) + 40 END AS statement_end_offset, creation_time,
                last_execution_time, execution_count, total_worker_time, last_worker_time, total_logical_reads,
@@ -141,8 +151,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
               FROM lineitem GROUP BY l_partkey) AS statements"""),
     "procedure_stats": (("part",), f"""
         SELECT plan_handle, {_whole('first_part / 10')} AS database_id, first_part % 10 AS object_id, execution_count
-        FROM (SELECT {_whole('p_partkey / 4')} AS plan_handle, min(p_partkey) AS first_part, CAST(sum(p_size) AS BIGINT) AS execution_count
-              FROM part GROUP BY {_whole('p_partkey / 4')}) AS procedures"""),
+        FROM (SELECT {_whole('p_partkey / 2')} AS plan_handle, min(p_partkey) AS first_part, CAST(sum(p_size) AS BIGINT) AS execution_count
+              FROM part GROUP BY {_whole('p_partkey / 2')}) AS procedures"""),
     "wait_stats": (("lineitem",), f"""
         SELECT concat('WAIT_', {_text('l_suppkey')}) AS wait_type, count(*) AS waiting_tasks_count,
                CAST(sum({_whole('l_quantity')} * (1 + (l_suppkey % 10) * (l_suppkey % 10) * (l_suppkey % 10))) AS BIGINT) AS wait_time_ms,
@@ -185,11 +195,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CAST(sum({_whole('l_quantity')}) AS BIGINT) AS num_of_bytes_read, CAST(sum(l_linenumber) AS BIGINT) AS io_stall_read_ms,
                count(DISTINCT l_suppkey) AS num_of_writes, CAST(max({_whole('l_quantity')}) AS BIGINT) AS num_of_bytes_written,
                CAST(min(l_linenumber) AS BIGINT) AS io_stall_write_ms
-        FROM lineitem WHERE l_quantity > 48 GROUP BY l_partkey"""),
+        FROM lineitem GROUP BY l_partkey"""),
     "file_space_used": (("part",), f"""
         SELECT {_whole('p_partkey / 10')} AS database_id, p_partkey AS file_id,
                CAST({_whole('p_retailprice')} AS DECIMAL(18,2)) AS space_used_mb, CAST(p_size AS DECIMAL(18,2)) AS free_space_perc
-        FROM part WHERE p_size > 5"""),
+        FROM part"""),
     "database_files": (("part",), f"""
         SELECT {_whole('p_partkey / 10')} AS database_id, p_partkey AS file_id, {_whole('p_retailprice * 10')} AS size,
                {_whole('p_retailprice * 10 * p_size / 50')} AS space_used_pages
@@ -204,7 +214,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                concat('disk ', s_name) AS label, 100003 + s_suppkey * 37 AS total_space, 7919 + s_suppkey * 11 AS free_space
         FROM supplier"""),
     "backupset": (("orders",), f"""
-        SELECT o_orderkey AS backup_set_id, concat('DB_', {_text(_whole('o_custkey / 8'))}) AS database_name,
+        SELECT o_orderkey AS backup_set_id, concat('DB_', {_text(_whole('o_custkey / 8') + ' + 5')}) AS database_name,
                CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'I' ELSE 'L' END AS type,
                o_orderdate AS backup_start_date, o_orderdate + INTERVAL '1' SECOND * (o_orderkey % 120000) AS backup_finish_date
         FROM orders"""),
@@ -221,10 +231,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM customer JOIN nation ON c_nationkey = n_nationkey"""),
     "tables": (("customer",), f"""
         SELECT {_database_of('c_custkey')} AS database_name, c_custkey AS object_id, c_nationkey AS schema_id, c_name AS name
-        FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'"""),
+        FROM customer"""),
     "indexes": (("orders",), f"""
         SELECT {_database_of('object_id')} AS database_name, object_id, index_id,
-               CASE index_id WHEN 0 THEN NULL ELSE concat('ix_', {_text('object_id % 900')}, '_', {_text('index_id')}) END AS name,
+               CASE index_id WHEN 0 THEN NULL ELSE concat('ix_', {_text('object_id % 900')}, CASE index_id WHEN 3 THEN ']_' ELSE '_' END, {_text('index_id')}) END AS name,
                CASE index_id WHEN 0 THEN 'HEAP' WHEN 1 THEN 'CLUSTERED' ELSE 'NONCLUSTERED' END AS type_desc,
                index_id = 1 AS is_primary_key, object_id % 6 = 0 AS is_unique, object_id % 7 = 0 AS is_unique_constraint
         FROM (SELECT DISTINCT o_custkey AS object_id, o_orderkey % 5 AS index_id FROM orders) AS i"""),
@@ -247,15 +257,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                max(CASE WHEN l_returnflag = 'A' AND l_quantity > 25 THEN l_shipdate END) AS last_user_scan,
                max(CASE WHEN l_returnflag = 'N' THEN l_shipdate END) AS last_user_update
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_linenumber % 5"""),
-    "index_columns": (("part",), f"""
-        SELECT {_database_of(_whole('p_partkey / 9'))} AS database_name, {_whole('p_partkey / 9')} AS object_id, 2 + p_partkey % 3 AS index_id,
-               1 + p_partkey % 9 AS column_id, CASE WHEN p_size > 35 THEN 0 ELSE p_size END AS key_ordinal,
-               p_size > 35 AS is_included_column
-        FROM part"""),
-    "all_columns": (("part",), f"""
-        SELECT {_database_of(_whole('p_partkey / 9'))} AS database_name, {_whole('p_partkey / 9')} AS object_id,
-               1 + p_partkey % 9 AS column_id, concat('col_', {_text('p_partkey')}) AS name
-        FROM part"""),
+    "index_columns": (("orders",), f"""
+        SELECT DISTINCT {_database_of('o_custkey')} AS database_name, o_custkey AS object_id, o_orderkey % 5 AS index_id,
+               1 + o_orderkey % 9 AS column_id, CASE WHEN o_orderkey % 9 > 6 THEN 0 ELSE 1 + o_orderkey % 9 END AS key_ordinal,
+               o_orderkey % 9 > 6 AS is_included_column
+        FROM orders"""),
+    "all_columns": (("orders",), f"""
+        SELECT DISTINCT {_database_of('o_custkey')} AS database_name, o_custkey AS object_id, 1 + o_orderkey % 9 AS column_id,
+               concat('col_', {_text('o_custkey')}, '_', {_text('1 + o_orderkey % 9')}) AS name
+        FROM orders"""),
     "session_space": (("events",), f"""
         SELECT user_id AS session_id, count(*) AS user_objects_alloc_page_count,
                CAST(sum({_whole('value')}) AS BIGINT) AS internal_objects_alloc_page_count

@@ -33,7 +33,7 @@ def test_lengths(spark):
 
 def test_names_and_lines(spark):
     assert value(spark, text.quotename(F.lit("a]b"))) == "[a]]b]"
-    assert value(spark, text.quotename(F.lit("x" * 129))) is None
+    assert value(spark, text.quotename(F.lit("x" * 130))) == "[" + "x" * 130 + "]"
     assert value(spark, text.single_line(F.lit("a\r\nb\nc"))) == "a  b c"
 
 

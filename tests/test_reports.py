@@ -78,11 +78,39 @@ def test_wait_names(rows):
     mapped = rows("wait_map", [
         {"name": "wait_types", "map_key": 1, "map_value": "UNKNOWN"}, {"name": "wait_types", "map_key": 2, "map_value": "LAST"},
         {"name": "wait_types", "map_key": 3, "map_value": "OTHER"}, {"name": "lock_mode", "map_key": 4, "map_value": "X"},
-    ]).withColumn("map_key", F.col("map_key").cast("string"))
+    ])
     names = {r.session_id: r.wait_type_name for r in waits.wait_type_names(requests, mapped).collect()}
     assert names == {1: "LAST", 2: "LAST", 3: "OTHER", 4: None}
 
 
+def test_wait_names_of_texts_without_a_number(rows):
+    requests = rows("requests", [{"session_id": 1, "wait_type": "PAGELATCH_UP"}, {"session_id": 2}])
+    mapped = rows("wait_map", [{"name": "wait_types", "map_key": 1, "map_value": "X"}])
+    assert [r.wait_type_name for r in waits.wait_type_names(requests, mapped).collect()] == [None, None]
+
+
+def test_zero_sizes_leave_the_report_whole(rows):
+    drives = rows("drives", [{"drive_letter": "C", "label": "a", "total_space": 100, "free_space": 25}, {"drive_letter": "D", "label": "b", "total_space": 0, "free_space": 0}])
+    assert [r.percentage_free for r in storage.drive_space(drives).collect()] == [25, None]
+    files = rows("database_files", [{"database_id": 1, "file_id": 1, "size": 0, "space_used_pages": 0}])
+    assert listed(storage.file_space_usage(files))[0][-1] is None
+
+
+def test_statement_slices_of_long_texts(rows):
+    long = "x" * 200_000
+    requests = rows("requests", [{"session_id": 1, "sql_handle": b"a", "statement_start_offset": 2, "statement_end_offset": -1}])
+    texts = rows("sql_text", [{"sql_handle": b"a", "text": long}])
+    assert sessions.running_statement(requests, texts).first().statement == long
+
+
+def test_full_names_in_the_overview(rows):
+    name = "n" * 40
+    databases = rows("databases", [{"database_id": 1, "name": name, "status": "RECOVERY_PENDING"}])
+    files, backups_ = rows("master_files", []), rows("backupset", [])
+    got = backups.database_overview(databases, files, backups_, T0).first()
+    assert (got.full_name, got.full_status, got.database_name, got.last_backup) == (name, "RECOVERY_PENDING", "n" * 25, "-")
+
+
 def test_wait_names_by_two_byte_key(rows):
     requests = rows("requests", [{"session_id": 1}]).withColumn("wait_type", F.unhex(F.lit("0103")))
     mapped = rows("wait_map", [{"name": "wait_types", "map_key": 259, "map_value": "X"}])

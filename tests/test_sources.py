@@ -1,4 +1,4 @@
-"""Reading, appending and streaming collected tables."""
+"""Reading and appending collected tables."""
 
 from datetime import datetime, timedelta
 
@@ -6,7 +6,6 @@ from servertide.operators.scratch import scratch_path
 from servertide.plans import storage, tempspace
 from servertide.sources.collected import append_collected, append_snapshot, read_collected, read_snapshots
 from servertide.sources.schemas import schema, tables
-from servertide.streaming.snapshots import query_counts, stream_snapshots, timeline
 
 T0 = datetime(2024, 1, 1, 10)
 
@@ -49,23 +48,3 @@ def test_snapshot_reports_read_one_day(spark, rows):
     assert "PartitionFilters: [isnotnull(collect_day" in plan and "= 2024-01-01)" in plan
     assert [r.row_count for r in tempspace.snapshot_timeline(table, T0 + timedelta(hours=31)).collect()] == [4]
     assert tempspace.snapshot_query_pages(table, T0).columns == ["query_text", "pages"]
-
-
-def test_snapshots_as_a_stream(spark, rows):
-    root = scratch_path(spark, "snapshots")
-    append_snapshot(collection(rows, 0, 3), root)
-
-    def run(report, name):
-        query = (
-            report(stream_snapshots(spark, root)).writeStream.outputMode("append").format("parquet")
-            .option("path", f"{root}/{name}").option("checkpointLocation", f"{root}/{name}_progress").trigger(availableNow=True).start()
-        )
-        query.awaitTermination(120)
-        return sorted(tuple(r)[:-1] + (r.row_count,) for r in spark.read.parquet(f"{root}/{name}").collect())
-
-    assert run(timeline, "timeline") == []  # the hour may still grow
-    append_snapshot(collection(rows, 5, 2), root)
-    assert run(timeline, "timeline") == [(T0, 3)]
-    append_snapshot(collection(rows, 9, 1), root)
-    assert run(timeline, "timeline") == [(T0, 3), (T0 + timedelta(hours=5), 2)]
-    assert run(query_counts, "counts") == [(T0, "q0", 2), (T0, "q1", 1), (T0 + timedelta(hours=5), "q0", 1), (T0 + timedelta(hours=5), "q1", 1)]
