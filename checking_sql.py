@@ -231,6 +231,41 @@ def _snapshots(query: str) -> str:
     return with_views(["tempdb_snapshots"], query)
 
 
+_USAGE_VIEWS = ["index_usage", "indexes", "partition_stats", "partitions", "objects", "schemas"]
+_SCRIPT_VIEWS = ["indexes", "index_columns", "all_columns", "tables", "schemas"]
+
+_UNUSED_PARTS = f"""plain AS (
+            SELECT database_name, object_id, index_id, name AS index_name FROM indexes
+            WHERE type_desc = 'NONCLUSTERED' AND NOT is_primary_key AND NOT is_unique_constraint AND NOT is_unique
+                  AND database_name NOT IN ({_SYSTEM})),
+        named AS (
+            SELECT o.database_name, object_id, s.name AS schema_name, o.name AS table_name
+            FROM objects o JOIN schemas s USING (database_name, schema_id) WHERE is_user_table),
+        counted AS (SELECT database_name, object_id, index_id, CAST(sum(rows) AS BIGINT) AS table_rows FROM partitions GROUP BY ALL)"""
+
+_UNUSED = f"""SELECT database_name, schema_name, table_name, index_name, user_seeks, user_scans, user_lookups, user_updates, table_rows,
+               {half_up('used_page_count', '128', 36, 3)} AS index_size_mb, last_user_scan, last_user_seek, last_user_update
+        FROM plain JOIN named USING (database_name, object_id) JOIN counted USING (database_name, object_id, index_id)
+             JOIN partition_stats USING (database_name, object_id, index_id) JOIN index_usage USING (database_name, object_id, index_id)
+        QUALIFY row_number() OVER (PARTITION BY database_name ORDER BY last_user_seek NULLS FIRST, last_user_scan NULLS FIRST,
+                                   used_page_count DESC, object_id, index_id) <= 100"""
+
+_SCRIPT_PARTS = """lists AS (
+            SELECT database_name, object_id, index_id,
+                   string_agg(name, ', ' ORDER BY key_ordinal, column_id) FILTER (NOT is_included_column) AS key_columns,
+                   string_agg(name, ', ' ORDER BY key_ordinal, column_id) FILTER (is_included_column) AS included_columns
+            FROM index_columns JOIN all_columns USING (database_name, object_id, column_id) GROUP BY database_name, object_id, index_id),
+        places AS (
+            SELECT t.database_name, object_id, s.name AS schema_name, t.name AS table_name, format('[{}].[{}]', s.name, t.name) AS place
+            FROM tables t JOIN schemas s USING (database_name, schema_id))"""
+
+_SCRIPTS = """SELECT database_name, schema_name, table_name, indexes.name AS index_name, index_id, key_columns, included_columns,
+               'CREATE INDEX ' || indexes.name || ' ON ' || place || ' ( ' || key_columns || ' ) '
+               || coalesce(' INCLUDE ( ' || included_columns || ' )', '') AS create_statement,
+               'DROP INDEX [' || replace(indexes.name, ']', ']]') || '] ON ' || place AS drop_statement
+        FROM indexes JOIN places USING (database_name, object_id) LEFT JOIN lists USING (database_name, object_id, index_id)"""
+
+
 ORACLES: dict[str, str] = {
     "connections_by_login": with_views(["processes", "databases"], """
         SELECT p.dbid, (SELECT d.name FROM databases d WHERE d.database_id = p.dbid) AS database_name, p.loginame, p.connections
@@ -378,33 +413,14 @@ ORACLES: dict[str, str] = {
     "newest_rows": "SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1000",
     "job_names": with_views(["jobs"], "SELECT * FROM jobs"),
     "append_permission": with_views(["truncate_permission"], "SELECT * FROM truncate_permission"),
-    "unused_indexes": with_views(["index_usage", "indexes", "partition_stats", "partitions", "objects", "schemas"], f"""AND plain AS (
-            SELECT database_name, object_id, index_id, name AS index_name FROM indexes
-            WHERE type_desc = 'NONCLUSTERED' AND NOT is_primary_key AND NOT is_unique_constraint AND NOT is_unique
-                  AND database_name NOT IN ({_SYSTEM})),
-        named AS (
-            SELECT o.database_name, object_id, s.name AS schema_name, o.name AS table_name
-            FROM objects o JOIN schemas s USING (database_name, schema_id) WHERE is_user_table),
-        counted AS (SELECT database_name, object_id, index_id, CAST(sum(rows) AS BIGINT) AS table_rows FROM partitions GROUP BY ALL)
-        SELECT database_name, schema_name, table_name, index_name, user_seeks, user_scans, user_lookups, user_updates, table_rows,
-               {half_up('used_page_count', '128', 36, 3)} AS index_size_mb, last_user_scan, last_user_seek, last_user_update
-        FROM plain JOIN named USING (database_name, object_id) JOIN counted USING (database_name, object_id, index_id)
-             JOIN partition_stats USING (database_name, object_id, index_id) JOIN index_usage USING (database_name, object_id, index_id)
-        QUALIFY row_number() OVER (PARTITION BY database_name ORDER BY last_user_seek NULLS FIRST, last_user_scan NULLS FIRST,
-                                   used_page_count DESC, object_id, index_id) <= 100"""),
-    "index_scripts": with_views(["indexes", "index_columns", "all_columns", "tables", "schemas"], """AND lists AS (
-            SELECT database_name, object_id, index_id,
-                   string_agg(name, ', ' ORDER BY key_ordinal, column_id) FILTER (NOT is_included_column) AS key_columns,
-                   string_agg(name, ', ' ORDER BY key_ordinal, column_id) FILTER (is_included_column) AS included_columns
-            FROM index_columns JOIN all_columns USING (database_name, object_id, column_id) GROUP BY database_name, object_id, index_id),
-        named AS (
-            SELECT t.database_name, object_id, s.name AS schema_name, t.name AS table_name, format('[{}].[{}]', s.name, t.name) AS place
-            FROM tables t JOIN schemas s USING (database_name, schema_id))
-        SELECT database_name, schema_name, table_name, indexes.name AS index_name, index_id, key_columns, included_columns,
-               'CREATE INDEX ' || indexes.name || ' ON ' || place || ' ( ' || key_columns || ' ) '
-               || coalesce(' INCLUDE ( ' || included_columns || ' )', '') AS create_statement,
-               'DROP INDEX [' || replace(indexes.name, ']', ']]') || '] ON ' || place AS drop_statement
-        FROM indexes JOIN named USING (database_name, object_id) LEFT JOIN lists USING (database_name, object_id, index_id)"""),
+    "unused_indexes": with_views(_USAGE_VIEWS, f"AND {_UNUSED_PARTS} {_UNUSED}"),
+    "index_scripts": with_views(_SCRIPT_VIEWS, f"AND {_SCRIPT_PARTS} {_SCRIPTS}"),
+    "unused_index_scripts": with_views(
+        [*_USAGE_VIEWS, *(v for v in _SCRIPT_VIEWS if v not in _USAGE_VIEWS)],
+        f"""AND {_UNUSED_PARTS}, {_SCRIPT_PARTS}, unused AS ({_UNUSED}), scripts AS ({_SCRIPTS})
+        SELECT u.*, s.key_columns, s.included_columns, s.create_statement, s.drop_statement
+        FROM unused u LEFT JOIN scripts s USING (database_name, schema_name, table_name, index_name)""",
+    ),
     "last_backup_history": with_views(["backupset"], """
         SELECT database_name, max(backup_finish_date) FILTER (type = 'D') AS last_full_backup,
                max(backup_finish_date) FILTER (type = 'I') AS last_differential, max(backup_finish_date) FILTER (type = 'L') AS last_log

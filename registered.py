@@ -149,6 +149,10 @@ QUERIES: dict[str, Query] = {
         indexes.unused_indexes, "index_usage", "indexes", "partition_stats", "partitions", "objects", "schemas"
     ),
     "index_scripts": over(indexes.index_scripts, "indexes", "index_columns", "all_columns", "tables", "schemas"),
+    "unused_index_scripts": over(
+        indexes.unused_index_scripts, "index_usage", "indexes", "partition_stats", "partitions", "objects", "schemas",
+        "index_columns", "all_columns", "tables",
+    ),
     # backups
     "last_backup_history": over(backups.last_backup_history, "backupset"),
     "database_overview": over(backups.database_overview, "databases", "master_files", "backupset", as_of=AS_OF),

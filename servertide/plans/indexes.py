@@ -96,3 +96,15 @@ def index_scripts(
         *scope, "schema_name", "table_name", "index_name", "index_id", "key_columns", "included_columns",
         create.alias("create_statement"), drop.alias("drop_statement"),
     )
+
+
+def unused_index_scripts(
+    index_usage: DataFrame, indexes: DataFrame, partition_stats: DataFrame, partitions: DataFrame, objects: DataFrame,
+    schemas: DataFrame, index_columns: DataFrame, all_columns: DataFrame, tables: DataFrame, k: int = 100,
+    excluded_databases: Sequence[str] = SYSTEM_DATABASES, scope: Sequence[str] = ("database_name",),
+) -> DataFrame:
+    """The unused indexes, each with the texts that would create and drop it."""
+    unused = unused_indexes(index_usage, indexes, partition_stats, partitions, objects, schemas, k, excluded_databases, scope)
+    name = [*scope, "schema_name", "table_name", "index_name"]
+    scripts = index_scripts(indexes, index_columns, all_columns, tables, schemas, scope=scope)
+    return unused.join(scripts.select(*name, "key_columns", "included_columns", "create_statement", "drop_statement"), name, "left")
