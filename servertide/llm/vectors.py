@@ -101,7 +101,7 @@ def _bits(pivots: np.ndarray) -> np.ndarray:
 def _judge(threshold: float):
     def judge(table: pa.Table):
         units = _rows(table.column("unit"), 0.0)
-        pair, ids, weights = (np.asarray(table.column(n)) for n in ("pair", "class_id", "weight"))
+        pair, ids, weights, label, size = (np.asarray(table.column(n)) for n in ("pair", "class_id", "weight", "label", "size"))
         low, high = np.divmod(pair, PIVOTS)
         near = _bits(_rows(table.column("nearest"), -1))
         first = _bits(low[:, None])
@@ -111,6 +111,8 @@ def _judge(threshold: float):
         def links(left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
             # The pair counts in the list of the two smallest pivots it shares.
             own = ((near[left] & near[right] & before[left]) == first[left]).all(1)
+            # The lists' keys are hashes, which may coincide.
+            own &= (pair[left] == pair[right]) & (size[left] == size[right]) & (label[left] == label[right])
             left, right = left[own], right[own]
             hit = np.einsum("ij,ij->i", units[left], units[right]) >= threshold
             left, right = left[hit], right[hit]
@@ -176,7 +178,7 @@ def near_duplicates(
         F.explode(F.when(F.size("nearest") > 1, low_high).otherwise(F.transform("nearest", lambda p: p * (PIVOTS + 1)))).alias("pair"),
     ).withColumn(KEY, F.xxhash64("label", "size", "pair"))
     found = written(
-        compare(postings.drop("label"), "class_id", LIST_CAP, PAIRS_AT_A_TIME, _judge(threshold), "a long, n long, b long"), "found"
+        compare(postings, "class_id", LIST_CAP, PAIRS_AT_A_TIME, _judge(threshold), "a long, n long, b long"), "found"
     )
     counts = found.groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
     roots = components(found.select("a", "b")).withColumnRenamed("node", "class_id")
