@@ -66,8 +66,60 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, lengt
 FROM shaped
 """
 
+_ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in (
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+))
+#: Twelve rounds, each a step of both rankings from the one before.
+_ROUNDS = ", ".join(
+    f"""s{k} AS MATERIALIZED (
+        SELECT kind, host, sum(score) AS score FROM (
+            SELECT * FROM s0 UNION ALL
+            SELECT e.kind, e.dst, s.score * e.part * 0.85 FROM s{k - 1} s JOIN edges e ON e.kind = s.kind AND e.src = s.host) GROUP BY ALL)"""
+    for k in range(1, 13)
+)
+
+_URL_FILTERS = f"""
+WITH RECURSIVE cut AS (
+    SELECT page_id, coalesce(html, '') AS html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), parts AS (
+    SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), {_ASCII}), '') AS host,
+           coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+    FROM cut
+), rules(domain, prefix, verdict) AS (VALUES {_RULES}),
+fits AS (
+    SELECT page_id, domain || prefix AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(domain || prefix) DESC) AS n
+    FROM parts JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, prefix)
+), ruled AS (
+    SELECT p.page_id, host, path, rule, verdict AS said FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.n = 1
+), found AS (
+    SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?[a-z][a-z0-9+.-]*://([^/?#"''\\s>]+)', 1)) AS link FROM parts WHERE host <> ''
+), climb(host) AS (
+    SELECT host FROM parts WHERE host <> '' UNION SELECT translate(link, {_ASCII}) FROM found
+    UNION SELECT substr(host, strpos(host, '.') + 1) FROM climb WHERE len(string_split(host, '.')) > 2
+), kin AS (
+    SELECT DISTINCT host AS a, substr(host, strpos(host, '.') + 1) AS b FROM climb WHERE len(string_split(host, '.')) > 2
+), links AS (
+    SELECT src, dst, count(*) AS n FROM (
+        SELECT src, translate(link, {_ASCII}) AS dst FROM found UNION ALL SELECT a, b FROM kin UNION ALL SELECT b, a FROM kin)
+    WHERE src <> dst GROUP BY ALL
+), edges AS MATERIALIZED (
+    SELECT 'trust' AS kind, src, dst, n / sum(n) OVER (PARTITION BY src) AS part FROM links
+    UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM links
+), s0 AS MATERIALIZED (
+    SELECT kind, host, 0.15 * n / sum(n) OVER (PARTITION BY kind) AS score
+    FROM (SELECT CASE said WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM ruled WHERE said IS NOT NULL GROUP BY ALL)
+), {_ROUNDS}, scores AS (
+    SELECT host, round(sum(CASE kind WHEN 'distrust' THEN score ELSE 0 END), 12) > round(sum(CASE kind WHEN 'trust' THEN score ELSE 0 END), 12) AS bad
+    FROM s12 GROUP BY host
+)
+SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r LEFT JOIN scores s ON s.host = r.host
+"""
+
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": _EMBEDDING_NEAR_DEDUP,
     "op4_line_dedup": _LINE_DEDUP,
     "op5_chat_format": _CHAT_FORMAT,
+    "op10_url_filters": _URL_FILTERS,
 }

@@ -93,7 +93,7 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hosts.judge_urls(table(spark, sf_dir, "pages"), RULES)
+    return hosts.judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,4 +74,4 @@ def test_long_texts_equal_their_windows(spark):
     text = "abc déf " * 40_000
     rows = windows(normal(text))
     found = predict_texts(model, pd.Series([text, "x", text]))
-    assert abs(found.score[0] - model.predict(rows).astype(float).mean(0).max()) < 1e-6 and found.score[0] == found.score[2]
+    assert abs(found.score[0] - model.predict(rows).astype(float).mean(0).max()) < 1e-6 and abs(found.score[0] - found.score[2]) < 1e-9
