@@ -48,6 +48,11 @@ def _session_inventory(condition: str) -> str:
         WHERE {condition}""")
 
 
+_REQUEST = """r.session_id, r.request_id, r.status, r.command, r.wait_time, r.wait_type, r.last_wait_type, r.wait_resource,
+    r.blocking_session_id, r.cpu_time, r.logical_reads, r.database_id, r.percent_complete, r.start_time, r.estimated_completion_time,
+    r.open_transaction_count, r.statement_start_offset, r.statement_end_offset, r.sql_handle, r.plan_handle"""
+
+
 def _top_waiting(condition: str) -> str:
     return with_views(["requests", "sql_text", "query_plan", "statement_plan", "databases", "object_names"], f"""AND r AS (
             SELECT * FROM requests WHERE lower(status) <> 'background' AND lower(command) <> 'task manager' AND {condition}
@@ -57,8 +62,7 @@ def _top_waiting(condition: str) -> str:
             FROM sql_text t LEFT JOIN databases d ON d.database_id = t.dbid
                  LEFT JOIN object_names o ON o.database_id = t.dbid AND o.object_id = t.objectid),
         statements AS (SELECT * RENAME (query_plan AS statement_plan) FROM statement_plan)
-        SELECT wait_time, database_name, object_name, percent_complete, wait_resource, last_wait_type, blocking_session_id,
-               session_id, request_id, status, command, t.text AS sql_text, {cut_statement('inclusive')} AS sql_statement,
+        SELECT {_REQUEST}, database_name, object_name, t.text AS sql_text, {cut_statement('inclusive')} AS sql_statement,
                query_plan, statement_plan,
                CASE WHEN statement_plan LIKE '%</size></plan>' THEN statement_plan END AS statement_plan_xml
         FROM r LEFT JOIN named t USING (sql_handle) LEFT JOIN query_plan USING (plan_handle)
@@ -277,6 +281,7 @@ ORACLES: dict[str, str] = {
     "active_sessions": with_views(["who"], "SELECT * FROM who WHERE login = 'login_7'"),
     "counter_values": with_views(["perf_counters"], "SELECT * FROM perf_counters WHERE counter_name = 'error'"),
     "session_inventory": _session_inventory("session_id <> 5 AND login_name = 'login_4'"),
+    "session_inventory_of_database": _session_inventory("database_name = 'DB_7'"),
     "session_inventory_all": _session_inventory("true"),
     "top_waiting_requests": _top_waiting("session_id <> 101"),
     "top_waiting_requests_of_text_database": _top_waiting(
@@ -285,7 +290,8 @@ ORACLES: dict[str, str] = {
     "top_waiting_requests_blocked": _top_waiting("blocking_session_id <> 0 AND database_id = 7"),
     "activity_monitor": _activity("true"),
     "activity_monitor_head_blockers": _activity("waiter IS NOT NULL AND waits_for = 0"),
-    "activity_monitor_waiting": _activity("longest.wait_type IS NOT NULL AND resource_description LIKE '%1%'"),
+    "activity_monitor_of_database": _activity("placed.name = 'DB_7'"),
+    "activity_monitor_waiting": _activity("longest.wait_type IS NOT NULL AND resource_description ILIKE '%1%'"),
     "activity_monitor_of_program": _activity(
         "last_request_start_time < TIMESTAMP '2024-01-01 00:20:00' AND program_name ILIKE 'BUILD%'"
     ),
@@ -296,8 +302,7 @@ ORACLES: dict[str, str] = {
         SELECT group_id, any_value(name) AS group_name, count(*) AS sessions
         FROM workload_groups JOIN sessions USING (group_id) WHERE session_id > 50 GROUP BY group_id"""),
     "top_cpu_requests": with_views(["requests", "sql_text"], f"""
-        SELECT r.session_id, r.request_id, r.status, r.command, r.wait_time, r.wait_type, r.blocking_session_id, r.cpu_time,
-               r.logical_reads, r.database_id, {cut_statement('zero_based_bytes')} AS sql_statement
+        SELECT {_REQUEST}, {cut_statement('zero_based_bytes')} AS sql_statement
         FROM requests r JOIN sql_text t ON t.sql_handle = r.sql_handle WHERE r.session_id > 50 AND lower(r.status) = 'running'"""),
     "running_statement": with_views(["requests", "sql_text"], f"""
         SELECT r.session_id, r.request_id, r.percent_complete, r.estimated_completion_time,
@@ -321,16 +326,14 @@ ORACLES: dict[str, str] = {
         FROM lock_info l JOIN processes p ON l.req_spid = p.spid JOIN objects o ON o.object_id = l.rsc_objid WHERE o.name IS NOT NULL"""),
     "replica_undo_backlog": with_views(["perf_counters"], """
         SELECT object_name, counter_name, instance_name, cntr_value FROM perf_counters
-        WHERE object_name LIKE '%Database Replica%' AND counter_name = 'error' AND cntr_value <> 0"""),
-    "busy_requests": with_views(["sessions", "requests", "sql_text", "query_plan", "databases"], """AND placed AS (
-            SELECT * EXCLUDE (name), name AS database_name FROM requests LEFT JOIN (SELECT database_id, name FROM databases) USING (database_id))
-        SELECT query_plan, session_id, request_id, database_id, database_name, text, wait_time, wait_type, blocking_session_id,
-               placed.cpu_time, placed.logical_reads, placed.status, command, login_name, host_name, program_name
-        FROM placed JOIN sessions USING (session_id) JOIN query_plan USING (plan_handle) JOIN sql_text USING (sql_handle)
-        WHERE lower(placed.status) IN ('running', 'suspended') ORDER BY placed.logical_reads DESC, session_id, request_id LIMIT 20"""),
-    "requests_with_plan": with_views(["requests", "query_plan", "sql_text"], """
-        SELECT r.session_id, r.request_id, r.status, r.command, r.wait_time, r.wait_type, r.blocking_session_id, r.cpu_time,
-               r.logical_reads, r.database_id, t.text, p.query_plan
+        WHERE object_name ILIKE '%Database Replica%' AND counter_name = 'error' AND cntr_value <> 0"""),
+    "busy_requests": with_views(["sessions", "requests", "sql_text", "query_plan", "databases"], f"""
+        SELECT {_REQUEST}, p.query_plan, d.name AS database_name, t.text, s.login_name, s.host_name, s.program_name
+        FROM requests r JOIN sessions s ON s.session_id = r.session_id JOIN query_plan p ON p.plan_handle = r.plan_handle
+             JOIN sql_text t ON t.sql_handle = r.sql_handle LEFT JOIN databases d ON d.database_id = r.database_id
+        WHERE lower(r.status) IN ('running', 'suspended') ORDER BY r.logical_reads DESC, r.session_id, r.request_id LIMIT 20"""),
+    "requests_with_plan": with_views(["requests", "query_plan", "sql_text"], f"""
+        SELECT {_REQUEST}, t.text, p.query_plan
         FROM requests r JOIN query_plan p ON p.plan_handle = r.plan_handle JOIN sql_text t ON t.sql_handle = r.plan_handle"""),
     "connections_by_handle": with_views(["connections"], """
         SELECT most_recent_sql_handle, count(*) AS connections FROM connections GROUP BY most_recent_sql_handle"""),

@@ -63,6 +63,9 @@ QUERIES: dict[str, Query] = {
     "session_inventory": over(
         sessions.session_inventory, "sessions", "connections", "sql_text", "databases", "object_names", login="login_4", self_id=5
     ),
+    "session_inventory_of_database": over(
+        sessions.session_inventory, "sessions", "connections", "sql_text", "databases", "object_names", database="DB_7"
+    ),
     "session_inventory_all": over(
         sessions.session_inventory, "sessions", "connections", "sql_text", "databases", "object_names"
     ),
@@ -88,6 +91,10 @@ QUERIES: dict[str, Query] = {
         sessions.activity_monitor, "sessions", "connections", "requests", "tasks", "waiting_tasks", "workload_groups", "processes",
         "databases", sort="cpu", started_before="2024-01-01 00:20:00", program_like="BUILD%",
     ),
+    "activity_monitor_of_database": over(
+        sessions.activity_monitor, "sessions", "connections", "requests", "tasks", "waiting_tasks", "workload_groups", "processes",
+        "databases", database="DB_7",
+    ),
     "activity_monitor_waiting": over(
         sessions.activity_monitor, "sessions", "connections", "requests", "tasks", "waiting_tasks", "workload_groups", "processes",
         "databases", sort="wait", waiting_only=True, resource_like="%1%",

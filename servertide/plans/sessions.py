@@ -64,13 +64,13 @@ def counter_values(perf_counters: DataFrame, counter: str) -> DataFrame:
 def replica_undo_backlog(perf_counters: DataFrame, counter: str = "Log remaining for undo", object_like: str = "%Database Replica%") -> DataFrame:
     """Replicas that still have log to undo."""
     return perf_counters.where(
-        F.col("object_name").like(object_like) & (F.col("counter_name") == counter) & (F.col("cntr_value") != 0)
+        F.col("object_name").ilike(object_like) & (F.col("counter_name") == counter) & (F.col("cntr_value") != 0)
     ).select("object_name", "counter_name", "instance_name", "cntr_value")
 
 
 def session_inventory(
     sessions: DataFrame, connections: DataFrame, sql_text: DataFrame, databases: DataFrame, objects: DataFrame,
-    login: str | None = None, self_id: int | None = None, scope: Sequence[str] = (),
+    login: str | None = None, self_id: int | None = None, database: str | None = None, scope: Sequence[str] = (),
 ) -> DataFrame:
     """Sessions with their connection and the batch it ran last, latest request first."""
     scope = list(scope)
@@ -94,6 +94,8 @@ def session_inventory(
         batch.join(database_names(databases, scope, "dbid"), [*scope, "dbid"], "left")
         .join(object_names(objects, scope), [*scope, "dbid", "objectid"], "left")
     )
+    if database is not None:
+        named = named.where(F.col("database_name") == database)
     return (
         named.orderBy(F.col("last_request_start_time").desc(), *scope, "session_id")
         .select(
@@ -118,10 +120,7 @@ def top_waiting_requests(
     scope = list(scope)
     handle, plan = [*scope, "sql_handle"], [*scope, "plan_handle"]
     offsets = ["statement_start_offset", "statement_end_offset"]
-    rows = requests.select(
-        *scope, "session_id", "request_id", "status", "command", "wait_time", "wait_resource", "last_wait_type",
-        "percent_complete", "blocking_session_id", "database_id", "sql_handle", "plan_handle", *offsets,
-    ).where((fold(F.col("status")) != "background") & (fold(F.col("command")) != "task manager"))
+    rows = requests.select(*scope, *_REQUEST).where((fold(F.col("status")) != "background") & (fold(F.col("command")) != "task manager"))
     if self_id is not None:
         rows = rows.where(F.col("session_id") != self_id)
     if session_ids is not None:
@@ -155,8 +154,7 @@ def top_waiting_requests(
         .join(object_names(objects, scope), [*scope, "dbid", "objectid"], "left")
     )
     return named.orderBy(*scope, *order).select(
-        *scope, "wait_time", "database_name", "object_name", "percent_complete", "wait_resource", "last_wait_type",
-        "blocking_session_id", "session_id", "request_id", "status", "command", F.col("text").alias("sql_text"),
+        *scope, "database_name", "object_name", *_REQUEST, F.col("text").alias("sql_text"),
         statement_slice(F.col("text"), *[F.col(c) for c in offsets], "inclusive").alias("sql_statement"),
         "query_plan", "statement_plan", well_formed_xml(F.col("statement_plan")).alias("statement_plan_xml"),
     )
@@ -174,7 +172,7 @@ def activity_monitor(
     sessions: DataFrame, connections: DataFrame, requests: DataFrame, tasks: DataFrame, waiting_tasks: DataFrame,
     workload_groups: DataFrame, processes: DataFrame, databases: DataFrame, started_before=None,
     host_like: str | None = None, login: str | None = None, program_like: str | None = None,
-    session_id: int | None = None, database_id: int | None = None, wait_type: str | None = None,
+    session_id: int | None = None, database_id: int | None = None, database: str | None = None, wait_type: str | None = None,
     waiting_only: bool = False, resource_like: str | None = None, head_blockers_only: bool = False,
     sort: str = "oldest", wait_key: str = "waiting_task_id", scope: Sequence[str] = (),
 ) -> DataFrame:
@@ -233,12 +231,14 @@ def activity_monitor(
     head = F.col("blocked_requests").isNotNull() & (F.col("request_blocked_by") == 0)
     if database_id is not None:
         rows = rows.where(F.col("database_id") == database_id)
+    if database is not None:
+        rows = rows.where(F.col("database_name") == database)
     if wait_type is not None:
         rows = rows.where(F.col("wait_type") == wait_type)
     if waiting_only:
         rows = rows.where(F.col("wait_type").isNotNull())
     if resource_like is not None:
-        rows = rows.where(F.col("resource_description").like(resource_like))
+        rows = rows.where(F.col("resource_description").ilike(resource_like))
     if head_blockers_only:
         rows = rows.where(head)
 
@@ -292,14 +292,19 @@ def workload_group_counts(sessions: DataFrame, workload_groups: DataFrame, scope
     ).select(*scope, "group_id", "group_name", "sessions")
 
 
-_REQUEST = ["session_id", "request_id", "status", "command", "wait_time", "wait_type", "blocking_session_id", "cpu_time", "logical_reads", "database_id"]
+# Every column of a request.
+_REQUEST = [
+    "session_id", "request_id", "status", "command", "wait_time", "wait_type", "last_wait_type", "wait_resource", "blocking_session_id",
+    "cpu_time", "logical_reads", "database_id", "percent_complete", "start_time", "estimated_completion_time",
+    "open_transaction_count", "statement_start_offset", "statement_end_offset", "sql_handle", "plan_handle",
+]
 
 
 def top_cpu_requests(requests: DataFrame, sql_text: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Running requests of user sessions with their statement, by CPU time."""
     scope = list(scope)
     running = requests.where((F.col("session_id") > LAST_SYSTEM_SESSION) & (fold(F.col("status")) == "running")).select(
-        *scope, *_REQUEST, "sql_handle", "statement_start_offset", "statement_end_offset"
+        *scope, *_REQUEST
     )
     batch = lookup_join(running, sql_text.select(*scope, "sql_handle", "text"), [*scope, "sql_handle"])
     statement = statement_slice(F.col("text"), F.col("statement_start_offset"), F.col("statement_end_offset"), "zero_based_bytes")
@@ -368,10 +373,7 @@ def busy_requests(
     """
     scope = list(scope)
     handle, plan = [*scope, "sql_handle"], [*scope, "plan_handle"]
-    rows = requests.where(fold(F.col("status")).isin("running", "suspended")).select(
-        *scope, "session_id", "request_id", "database_id", "wait_time", "wait_type", "blocking_session_id", "cpu_time",
-        "logical_reads", "status", "command", "sql_handle", "plan_handle",
-    )
+    rows = requests.where(fold(F.col("status")).isin("running", "suspended")).select(*scope, *_REQUEST)
     known = lookup_join(rows, sql_text.select(*handle), handle, "left_semi")
     known = lookup_join(known, query_plan.select(*plan), plan, "left_semi")
     order = [F.col("logical_reads").desc(), F.col("session_id"), F.col("request_id")]
@@ -383,9 +385,7 @@ def busy_requests(
         full.join(database_names(databases, scope), [*scope, "database_id"], "left")
         .orderBy(*scope, *order)
         .select(
-            *scope, "query_plan", "session_id", "request_id", "database_id", "database_name", "text", "wait_time",
-            "wait_type", "blocking_session_id", "cpu_time", "logical_reads", "status", "command", "login_name",
-            "host_name", "program_name",
+            *scope, "query_plan", "database_name", "text", *_REQUEST, "login_name", "host_name", "program_name",
         )
     )
 
@@ -395,7 +395,7 @@ def requests_with_plan(
 ) -> DataFrame:
     """Requests with plan and batch; ``text_key`` is the request's handle that names the batch."""
     scope = list(scope)
-    rows = requests.select(*scope, *_REQUEST, "sql_handle", "plan_handle")
+    rows = requests.select(*scope, *_REQUEST)
     texts = sql_text.select(*scope, F.col("sql_handle").alias(text_key), "text")
     planned = lookup_join(rows, query_plan.select(*scope, "plan_handle", "query_plan"), [*scope, "plan_handle"])
     return lookup_join(planned, texts, [*scope, text_key]).select(*scope, *_REQUEST, "text", "query_plan")
