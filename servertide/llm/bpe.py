@@ -8,7 +8,7 @@ symbols of the vocabulary, the last one with the word-end mark.
 A word is then a contiguous array of parts with an array of the ranks of adjacent pairs
 beside it: find the smallest rank (the leftmost if equal), delete the boundary, refresh the
 ranks on both sides; all new words of one length do a step together. That is quadratic in the word, so words over ``LONG`` symbols take a
-heap over the same parts, which merges in the same order. Each worker remembers the chunks
+heap over the same parts, which merges in the same order. Each task remembers the chunks
 between white space that it met lately; forgetting them changes no result.
 
 The vocabulary is read on the driver from a path that is a parameter and sent to the
@@ -34,10 +34,10 @@ from pyspark.sql import types as T
 
 #: Words with more symbols are merged with a heap.
 LONG = 48
-#: White-space separated chunks that a worker remembers at most, twice.
-MEMORY = 250_000
+#: White-space separated chunks that a task remembers at most, twice.
+MEMORY = 60_000
 #: Letters whose words are merged together.
-LETTERS = 2_000_000
+LETTERS = 1_000_000
 #: Vocabulary files are broadcast; a larger one is refused.
 MAX_VOCABULARY_MB = 64
 
@@ -270,32 +270,34 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
+    def digest(value: str) -> str:
+        return hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(content.value)
         gc.disable()  # millions of short-lived strings and no cycles
-
-        def digest(value: str) -> str:
-            return hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()
-
-        for batch in batches:
-            counts, arrays, id_digests, text_digests = [], [], [], []
-            for texts in some_at_a_time(batch.column("text")):
-                for chunks in vocabulary.encoded(texts):
-                    joined = " ".join([c[0] for c in chunks])
-                    counts.append(joined.count(" ") + 1 if joined else 0)
-                    id_digests.append(digest(joined))
-                    text_digests.append(digest(" ".join([c[1] for c in chunks])))
+        try:
+            for batch in batches:
+                at = 0
+                for texts in some_at_a_time(batch.column("text")):
+                    counts, arrays, id_digests, text_digests = [], [], [], []
+                    for chunks in vocabulary.encoded(texts):
+                        joined = " ".join([c[0] for c in chunks])
+                        counts.append(joined.count(" ") + 1 if joined else 0)
+                        id_digests.append(digest(joined))
+                        text_digests.append(digest(" ".join([c[1] for c in chunks])))
+                        if ids:
+                            arrays.append(np.array(joined.split(), np.int32))
+                    columns = [batch.column("doc_id").slice(at, len(texts)), pa.array(counts, pa.int64())]
                     if ids:
-                        arrays.append(np.array(joined.split(), np.int32))
-            columns = [batch.column("doc_id"), pa.array(counts, pa.int64())]
-            names = ["doc_id", "n_tokens"]
-            if ids:
-                columns.append(pa.array(arrays, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())],
-                names=[*names, "ids_sha256", "decoded_sha256"],
-            )
+                        columns.append(pa.array(arrays, pa.list_(pa.int32())))
+                    columns += [pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
+                    at += len(texts)
+                    yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        finally:
+            # The worker may live on for other work.
+            vocabulary.recent, vocabulary.older = {}, {}
+            gc.enable()
 
     return kept.mapInArrow(work, T.StructType(fields))
 
