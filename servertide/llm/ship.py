@@ -1,4 +1,7 @@
-"""Python workers get this package with the job, so that it need not be installed on the executors."""
+"""Python workers get this package with the job, so that it need not be installed on the executors.
+
+They also get whole texts, so batches are bounded in bytes and not only in rows.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +16,14 @@ import servertide
 _sent: set[str] = set()
 
 
+#: Bytes and rows of the batches that workers get.
+BATCH_BYTES, BATCH_ROWS = "4m", "2000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to the workers of ``spark``'s application, once."""
+    """Send the package to the workers of ``spark``'s application, once, and bound the session's batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if context.applicationId in _sent:
         return
