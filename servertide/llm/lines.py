@@ -54,6 +54,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id
         lines.select("key", "document").distinct()
         .groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("key")
     )
+    # A table of its own, so that both sides of the join are shuffled for it and a frequent key's partition can be split.
+    common = written(common, "common")
     lost = lines.join(common, "key").groupBy("row").agg(F.collect_set("pos").alias("__lost"))
     parts = split_lines(F.col(text_col))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__lost"))
