@@ -130,6 +130,12 @@ class Index:
         for k in np.unique(item[count >= self.least[item]]):
             chosen = band[(item == k) & (count >= self.least[item])]
             e, pattern = int(self.budget[k]), self.items[k][1]
+            # A verbatim copy needs no alignment, and nothing beats it.
+            low = max(0, int(chosen.min()) * (e + 1) - self.reach + begin)
+            same = verbatim(pattern, points[low: int(chosen.max() + 2) * (e + 1) - self.reach + begin + len(pattern)])
+            if same >= 0:
+                best[int(k)] = (0, low + same, low + same + len(pattern))
+                continue
             starts = chosen * (e + 1) - self.reach + begin - e
             edits, ends = align(pattern, points, starts, 2 * (e + 1) + 2 * e + 1, False)
             top = int(edits.argmin())
@@ -169,6 +175,15 @@ def align(pattern: np.ndarray, text: np.ndarray, starts: np.ndarray, width: int,
     return cost[every, top], place[every, top]
 
 
+def verbatim(pattern: np.ndarray, text: np.ndarray) -> int:
+    """Where the pattern first stands in the text as it is, or -1."""
+    inner, outer = pattern.tobytes(), text.tobytes()
+    at = outer.find(inner)
+    while at >= 0 and at % pattern.itemsize:
+        at = outer.find(inner, at + 1)
+    return at // pattern.itemsize
+
+
 def trimmed(points: np.ndarray) -> np.ndarray:
     """Without blanks at both ends."""
     inner = np.flatnonzero(points != 32)
