@@ -56,13 +56,13 @@ def choose_pivots(sample: list[list[float]]) -> list[np.ndarray]:
 
 
 def _described(pivots: list[np.ndarray]):
-    """Adds to each vector the numbers of its nearest pivots, in order."""
+    """Unit vectors with the numbers of their nearest pivots, in order, and the pairs of those that name their lists."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column("vector")
             sizes = np.asarray(vectors.value_lengths())
-            nearest: list = [None] * batch.num_rows
+            units, nearest, pairs = ([None] * batch.num_rows for _ in range(3))
             flat, offsets = np.asarray(vectors.flatten()), np.concatenate([[0], np.cumsum(sizes)])
             for size in np.unique(sizes):
                 which = np.flatnonzero(sizes == size)
@@ -72,10 +72,17 @@ def _described(pivots: list[np.ndarray]):
                 # A size that the sample lacks has one list for all its vectors.
                 near = -(rows @ np.array([p for _, p in own]).T) if own else np.zeros((len(rows), 1))
                 ranked = numbers[np.argsort(near, axis=1, kind="stable")[:, :NEAREST]]
-                for at, row in zip(which, ranked):
-                    nearest[at] = row
+                ordered = np.sort(ranked, axis=1)
+                first, second = np.triu_indices(ordered.shape[1], int(ordered.shape[1] > 1))
+                named = ordered[:, first] * PIVOTS + ordered[:, second]
+                for k, at in enumerate(which):
+                    units[at], nearest[at], pairs[at] = rows[k], ranked[k], named[k]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(nearest, pa.list_(pa.int32()))], names=[*batch.schema.names, "nearest"]
+                [
+                    *(batch.column(n) for n in ("class_id", "weight", "label")), pa.array(sizes, pa.int32()),
+                    pa.array(units, pa.list_(pa.float64())), pa.array(nearest, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.int32())),
+                ],
+                names=["class_id", "weight", "label", "size", "unit", "nearest", "pairs"],
             )
 
     return work
@@ -163,20 +170,19 @@ def near_duplicates(
     )
     sample = [r[0] for r in classes.select("vector", "hash", "label").orderBy("hash", "label").limit(SAMPLE).select("vector").toLocalIterator()]
     pivots = spark.sparkContext.broadcast(choose_pivots(sample))
+
     def describe(batches):
         return _described(pivots.value)(batches)
 
-    described = classes.mapInArrow(describe, "".join([*(f"`{f.name}` {f.dataType.simpleString()}, " for f in classes.schema), "nearest array<int>"]))
-    low_high = F.flatten(F.transform(
-        F.array_sort("nearest"),
-        lambda p: F.transform(F.filter("nearest", lambda q: q > p), lambda q: p * PIVOTS + q),
-    ))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    postings = described.select(
-        "class_id", "weight", "nearest", F.size("vector").alias("size"),
-        F.transform("vector", lambda x: x / norm).alias("unit"), "label",
-        F.explode(F.when(F.size("nearest") > 1, low_high).otherwise(F.transform("nearest", lambda p: p * (PIVOTS + 1)))).alias("pair"),
-    ).withColumn(KEY, F.xxhash64("label", "size", "pair"))
+    kind = classes.schema["label"].dataType.simpleString()
+    # A table, so that the lists' sizes are counted without describing the vectors again.
+    described = written(
+        classes.select("class_id", "weight", "label", "vector").mapInArrow(
+            describe, f"class_id long, weight long, label {kind}, size int, unit array<double>, nearest array<int>, pairs array<int>"
+        ),
+        "described",
+    )
+    postings = described.withColumn("pair", F.explode("pairs")).drop("pairs").withColumn(KEY, F.xxhash64("label", "size", "pair"))
     found = written(
         compare(postings, "class_id", LIST_CAP, PAIRS_AT_A_TIME, _judge(threshold), "a long, n long, b long"), "found"
     )
