@@ -120,13 +120,14 @@ class Index:
             self._verify(points, begin, item, np.concatenate([band, band - 1]), spot, best)
 
     def _verify(self, points, begin, item, bands, spot, best) -> None:
+        # Numbered anew, and fields as wide as these hits need: the items of a block share its characters, so a key stays below 2**60.
+        own, item = np.unique(item, return_inverse=True)
         item, spot = np.tile(item, 2), np.tile(spot, 2)
         # Each place of the item counts once in a band.
-        stride = np.int64(1) << 21
-        key = (item * (np.int64(1) << 30) + (bands + 1)) * stride + spot
-        key = np.unique(key) // stride
+        wide, stride = bands.max() + 2, spot.max() + 1
+        key = np.unique((item * wide + (bands + 1)) * stride + spot) // stride
         key, count = np.unique(key, return_counts=True)
-        item, band = key >> 30, (key & ((1 << 30) - 1)) - 1
+        item, band = own[key // wide], key % wide - 1
         for k in np.unique(item[count >= self.least[item]]):
             chosen = band[(item == k) & (count >= self.least[item])]
             e, pattern = int(self.budget[k]), self.items[k][1]

@@ -56,6 +56,19 @@ def test_finds_all_within_the_budget_and_no_more():
                 assert (i in found) == within and (not within or found[i] == edits), (i, other, text)
 
 
+def test_many_short_items_in_one_block():
+    random.seed(8)
+    items = [(k, "".join(random.choice("abcdefghij klmnop") for _ in range(40))) for k in range(9_500)]
+    assert sum(len(t) for _, t in items) < decontam.BLOCK
+    index = Index(items)
+    wanted = [0, 4_095, 4_096, 5_000, 8_191, 8_192, 9_499]
+    text = " ".join(f"zz {items[k][1]} yy" for k in wanted)
+    assert [(i, e) for i, e, _, _ in index.matches(text)] == [(k, 0) for k in wanted]
+    for k in wanted:
+        edited = items[k][1][:20] + "q" + items[k][1][21:]
+        assert [(i, e) for i, e, _, _ in index.matches(f"zz {edited} yy")] == [(k, 1)]
+
+
 def test_places_and_stretches(monkeypatch):
     random.seed(7)
     item = "What is the capital of Freedonia, and who lives there today?"
