@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 #: Control strings that a text must not smuggle in: of a bracket or an angle the rest decides.
 CONTROL = r"(\[)(?=/?INST\])|(<)(?=/?s>|</?SYS>>|\|)"
+#: Texts may have any length: the parser's own limit is 20,000,000 characters. A record that cannot be read keeps its text here.
+UNREAD = "__unread"
+READ = {"maxStringLen": "2147483647", "columnNameOfCorruptRecord": UNREAD}
 OPEN, MIDDLE, END = "[INST] ", " [/INST]", "</s>"
 LEARNT = "assistant"
 
@@ -81,7 +84,10 @@ def field_paths(record: Column, mappings=MAPPINGS) -> Column:
     known = sorted({p for m in mappings for p in m.paths()})
     parts = [F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))]
     for name in sorted(_item_fields(mappings)):
-        keys = F.json_object_keys(F.get_json_object(record, f"$.{name}[0]"))
+        # get_json_object gives null for an item with a text beyond its limit, which cannot be set.
+        long = F.from_json(record, f"`{name}` array<string>, `{UNREAD}` string", READ)[name]
+        item = F.coalesce(F.get_json_object(record, f"$.{name}[0]"), F.when(F.array_contains(parts[0], name), F.get(long, F.lit(0))))
+        keys = F.json_object_keys(item)
         parts.append(F.coalesce(F.transform(keys, _below(name)), F.array().cast("array<string>")))
     return F.array_sort(F.array_intersect(F.concat(*parts), F.array(*map(F.lit, known))))
 
@@ -93,12 +99,15 @@ def fingerprint(paths: Column) -> Column:
 def canonical(records: DataFrame, record_col: str = "record", mappings=MAPPINGS) -> DataFrame:
     """``records`` with layout, fingerprint and turns (an array of role and text) in place of the JSON column.
 
-    A null text is empty, a null role stays null. No layout: turns is empty.
+    A null text is empty, a null role stays null. No layout: turns is empty. A record whose
+    fingerprint has a mapping but which cannot be read has no layout either; its fingerprint
+    tells it from one that no mapping fits.
     """
     singles = sorted({f for m in mappings for _, f in m.fields})
     lists = _item_fields(mappings)
     schema = ", ".join(
-        [*(f"`{f}` string" for f in singles), *(f"`{n}` array<struct<{', '.join(f'`{x}`:string' for x in sorted(fs))}>>" for n, fs in lists.items())]
+        [*(f"`{f}` string" for f in singles), *(f"`{n}` array<struct<{', '.join(f'`{x}`:string' for x in sorted(fs))}>>" for n, fs in lists.items()),
+         f"`{UNREAD}` string"]
     )
 
     def turn(role: Column, text: Column) -> Column:
@@ -111,12 +120,13 @@ def canonical(records: DataFrame, record_col: str = "record", mappings=MAPPINGS)
         renamed = lambda r: reduce(lambda c, pair: c.when(r == pair[0], pair[1]), m.roles, F.when(F.lit(False), r)).otherwise(r)
         return F.transform(parsed[m.items], lambda x: turn(renamed(x[m.role]), x[m.text]))
 
-    marked = records.withColumn("__parsed", F.from_json(F.col(record_col), schema)).withColumn(
+    marked = records.withColumn("__parsed", F.from_json(F.col(record_col), schema, READ)).withColumn(
         "fingerprint", fingerprint(field_paths(F.col(record_col), mappings))
     )
-    prints = {m: fingerprint(F.array(*map(F.lit, m.paths()))) for m in mappings}
-    layout = F.coalesce(*(F.when(F.col("fingerprint") == p, m.layout) for m, p in prints.items()))
-    found = F.coalesce(*(F.when(F.col("fingerprint") == p, turns(m)) for m, p in prints.items()), F.array().cast("array<struct<role:string,text:string>>"))
+    read = F.col("__parsed")[UNREAD].isNull()
+    fits = {m: read & (F.col("fingerprint") == fingerprint(F.array(*map(F.lit, m.paths())))) for m in mappings}
+    layout = F.coalesce(*(F.when(fit, m.layout) for m, fit in fits.items()))
+    found = F.coalesce(*(F.when(fit, turns(m)) for m, fit in fits.items()), F.array().cast("array<struct<role:string,text:string>>"))
     return marked.withColumn("layout", layout).withColumn("turns", found).drop("__parsed", record_col)
 
 

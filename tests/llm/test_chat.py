@@ -43,6 +43,27 @@ def test_layouts(spark):
     assert back == {i: turns for i, (_, _, turns) in enumerate(LAYOUTS)}
 
 
+def test_texts_beyond_the_parser_limit(spark):
+    long = F.expr("repeat('x', 21000000)")
+    record = lambda *texts: F.struct(F.array(*(F.struct(F.lit(r).alias("role"), t.alias("content")) for r, t in zip(("user", "assistant"), texts))).alias("messages"))
+    a = F.lit("a")
+    made = {"pair": F.struct(long.alias("prompt"), a.alias("response")), "first": record(long, a), "second": record(a, long)}
+    lengths = F.transform("turns", lambda t: F.length(t["text"]))
+    for name, parts in made.items():
+        r = canonical(spark.range(1).select("id", F.to_json(parts).alias("record"))).select("layout", lengths.alias("n")).first()
+        wanted = ("messages", [1, 21_000_000]) if name == "second" else ("prompt-response" if name == "pair" else "messages", [21_000_000, 1])
+        assert (r.layout, r.n) == wanted, name
+    rows = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), long.alias("text"))
+    assert format_conversations(rows).select(F.length("formatted")).first()[0] == 2 * (21_000_000 + len("[INST] assistant [/INST]</s>"))
+
+
+def test_unreadable_records_are_marked(spark):
+    rows = [(0, '{"prompt": "q", "response": "a"}'), (1, '{"prompt": "q\x01", "response": "a"}'), (2, '{"messages": [{"role": "user", "content": "q"}, 5]}')]
+    found = {r.conv_id: r for r in canonical(spark.createDataFrame(rows, "conv_id long, record string")).collect()}
+    assert [(found[i].layout, len(found[i].turns)) for i in range(3)] == [("prompt-response", 2), (None, 0), (None, 0)]
+    assert found[0].fingerprint == found[1].fingerprint
+
+
 def test_table_of_turns(spark):
     rows = [(i, 0, "user", t) for i, t in enumerate(NASTY)] + [(i, 1, "assistant", t) for i, t in enumerate(NASTY)]
     rows += [(100, 0, "system", "s"), (100, 1, "user", None), (100, 2, "assistant", "a </s>"), (200, 5, None, "n"), (200, 2, "assistant", "b"),
