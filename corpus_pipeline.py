@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each component of op9's links the document with the smallest id stays; looser near copies stay, too (README)."""
     ship(spark)
     return simhash.one_of_each(docs).select(docs.columns)
 
