@@ -3,8 +3,9 @@
 Trust starts at hosts with allowed pages and flows along links (personalised PageRank);
 distrust starts at hosts with blocked pages and flows against links. Links join hosts: those
 in the pages' HTML, weighted by their number, and one in each direction between a host and
-the domain it belongs to (one label less, down to two labels). A host with more distrust
-than trust is blocked, any other is allowed. A rule that fits a URL goes before that.
+the domain it belongs to (one label less, down to two labels). Scores spread until they
+settle, however far a host is from the seeds. A host with more distrust than trust is
+blocked, any other is allowed; how small the two are does not matter. A rule that fits a URL goes before that.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ DAMPING = 0.85
 ROUNDS = 12
 #: Rounds between tables in the shared folder.
 CUT_EVERY = 4
-#: Scores are compared at this many decimals, so that the order of a sum does not matter.
-DECIMALS = 12
+#: Scores have settled when none rises by more than this share of itself between two tables.
+SETTLED = 1e-4
+#: Scores that differ by no more than this share of the larger are equal, so that the order of a sum does not matter.
+TIE = 1e-3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
 
@@ -73,23 +76,40 @@ def host_links(pages: DataFrame) -> DataFrame:
     return linked.unionByName(kin).where("src != dst").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, score): trust along ``links`` and distrust against them, from ``seeds`` (kind, host, share)."""
+def propagate(links: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS) -> DataFrame:
+    """(kind, host, score): trust along ``links`` and distrust against them, from ``seeds`` (kind, host, share).
+
+    After ``rounds`` rounds, or, if that is None, when the scores have settled. Scores only
+    rise, and a host that is first reached counts as a rise, so all that links lead to is reached.
+    """
     both = links.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "n")
     )
     out = both.groupBy("kind", "host").agg(F.sum("n").alias("all"))
     edges = written(both.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("all")).alias("part")), "edges")
     start = written(seeds.select("kind", "host", (F.col("share") * (1 - DAMPING)).alias("score")), "seeds")
-    state = start
-    for turn in range(1, rounds + 1):
+    if start.isEmpty():
+        return start
+    state = before = start
+    turn = 0
+    while turn != rounds:
+        turn += 1
         moved = state.join(edges, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("part") * DAMPING).alias("score"))
         state = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if turn % CUT_EVERY == 0:
             state = written(state, "scores")
+            if rounds is None and not _rises(state, before):
+                break
+            before = state
     return state
 
 
+def _rises(state: DataFrame, before: DataFrame) -> bool:
+    """Whether a score of ``state`` is more than that of ``before``, by more than settled ones are."""
+    old = before.withColumnRenamed("score", "old")
+    return not state.join(old, ["kind", "host"], "left").where(F.col("score") - F.coalesce("old", F.lit(0.0)) > SETTLED * F.col("score")).isEmpty()
+
+
 def judge_urls(
     pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
@@ -113,11 +133,11 @@ def judge_urls(
     ).agg(F.count("*").alias("n"))
     total = seeds.groupBy("kind").agg(F.sum("n").alias("all"))
     seeds = seeds.join(total, "kind").select("kind", "host", (F.col("n") / F.col("all")).alias("share"))
-    scores = propagate(host_links(pages), seeds).groupBy("host").agg(
-        *(F.round(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)), DECIMALS).alias(k) for k in ("trust", "distrust"))
+    scores = propagate(host_links(pages), seeds, None).groupBy("host").agg(
+        *(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust"))
     )
     return ruled.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule",
-        F.coalesce("said", F.when(F.col("distrust") > F.col("trust"), "block").otherwise("allow")).alias("verdict"),
+        F.coalesce("said", F.when(F.col("distrust") - F.col("trust") > TIE * F.greatest("distrust", "trust"), "block").otherwise("allow")).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
     )

@@ -71,6 +71,21 @@ def test_propagation(spark):
             assert got.get((kind, host), 0) == pytest.approx(value)
 
 
+def test_small_scores_and_far_hosts_decide(spark):
+    def link(host, n=1):
+        return f'<a href="http://{host}/">' * n
+
+    rows = [(0, "http://bad.com/de/1", "")]
+    # Six links away, each of which carries a thousandth; and a chain of twenty links.
+    few = ["bad.com"] + [f"few{i}.net" for i in range(1, 7)]
+    far = ["bad.com"] + [f"far{i}.net" for i in range(1, 21)]
+    rows += [(100 + i, f"http://{few[i]}/", link(few[i - 1])) for i in range(1, 7)]
+    rows += [(200 + i, f"http://{far[i]}/", link(far[i - 1])) for i in range(1, 21)]
+    rows += [(1, "http://many.net/", "".join(link(h, 1000) for h in few[:-1])), (2, "http://alone.net/", "")]
+    verdicts = {r.page_id: r.verdict for r in judge_urls(pages(spark, rows), RULES).collect()}
+    assert {i for i, v in verdicts.items() if v == "allow"} == {2}
+
+
 def test_method_decides_without_a_rule(spark):
     link = '<a href="http://bad.com/de/">x</a>'
     rows = [(1, "http://bad.com/de/1", ""), (2, "http://friend.net/", link), (3, "http://good.com/fr/1", '<a href="http://liked.net/">'), (4, "http://liked.net/", ""), (5, "http://alone.net/", "")]
