@@ -126,11 +126,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     take part like others; their component is null only if no member has an id. Repeated
     rows give repeated results. Other columns of ``docs`` are not read, whatever their names.
     """
-    prints = written(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")), "prints")
-    classes = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    roots = components(linked(classes.select("fp")))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "rooted")
+    prints, rooted = _rooted(docs, id_col, text_col)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select(
@@ -138,18 +134,33 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of every row, and (fp, first, root) of every fingerprint: its smallest id, and the same root all over a component."""
+    prints = written(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")), "prints")
+    classes = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
+    roots = components(linked(classes.select("fp")))
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return prints, written(rooted, "rooted")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays.
 
-    Of equal ids one row stays. A component in which no row has an id keeps one row, too.
+    Rows without an id come last. Rows of one id are judged by their texts: those in different
+    components stay apart, of those with equal fingerprints one stays.
     """
-    found = simhash_components(docs)
-    kept = found.select("component_id").where(F.col("component_id").isNotNull()).distinct().withColumnRenamed("component_id", "doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    # Rows without an id and without a named partner: one per fingerprint's component.
-    nameless = found.where(F.col("component_id").isNull() & F.col("doc_id").isNull()).select("fingerprint").distinct()
-    alone = docs.where(F.col("doc_id").isNull()).withColumn(
-        "__fp", F.lower(F.lpad(F.hex(fingerprint(F.col("text"))), 16, "0"))
-    )
-    alone = alone.join(nameless.withColumnRenamed("fingerprint", "__fp"), "__fp", "left_semi").dropDuplicates(["__fp"]).drop("__fp")
-    return named.select(docs.columns).unionByName(alone.select(docs.columns))
+    prints, rooted = _rooted(docs, "doc_id", "text")
+    first = F.min(F.struct(F.col("first").isNull().alias("nameless"), "first", "fp")).alias("row")
+    kept = written(rooted.groupBy("root").agg(first).select(F.col("row.first").alias("id"), F.col("row.fp").alias("fp")), "kept")
+    # An id names a row, unless it is null or its rows differ in their fingerprints.
+    vague = prints.groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("id IS NULL OR low <> high").select("id")
+    vague = written(vague, "vague")
+    same = F.col("k.id").eqNullSafe(F.col("v.id"))
+    clear = kept.alias("k").join(vague.alias("v"), same, "left_anti").select(F.col("id").alias("doc_id")).distinct()
+    named = docs.join(clear, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    if vague.isEmpty():
+        return named
+    rows = docs.alias("d").join(vague.alias("v"), F.col("d.doc_id").eqNullSafe(F.col("v.id")), "left_semi").withColumn("__fp", fingerprint(F.col("text")))
+    chosen = (F.col("d.__fp") == F.col("k.fp")) & F.col("d.doc_id").eqNullSafe(F.col("k.id"))
+    rows = rows.alias("d").join(kept.alias("k"), chosen, "left_semi").dropDuplicates(["doc_id", "__fp"])
+    return named.unionByName(rows.select(docs.columns))

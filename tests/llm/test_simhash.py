@@ -69,6 +69,18 @@ def test_components(spark, docs):
     assert one_of_each(docs([])).collect() == []
 
 
+def test_rows_of_one_id_and_rows_without_an_id(spark, docs):
+    base = " ".join(f"w{i}" for i in range(400))
+    near = next(t for n in range(1, 50) if 0 < (fingerprint_of(t := base + " " + " ".join(f"v{i}" for i in range(n))) ^ fingerprint_of(base)).bit_count() <= 3)
+    other = " ".join(f"x{i}" for i in range(400))
+    # Id 5 has a copy of text 1 and a text of its own; id 6 has two texts of its own.
+    pairs = [(1, base), (5, base), (5, "a text of its own"), (6, "one text"), (6, "quite another text here"), (7, "usual"), (7, "usual")]
+    kept = sorted((r.doc_id, r.text) for r in one_of_each(docs(pairs)).collect())
+    assert kept == [(1, base), (5, "a text of its own"), (6, "one text"), (6, "quite another text here"), (7, "usual")]
+    kept = one_of_each(docs([(None, base), (None, near), (None, other), (None, other)])).collect()
+    assert len(kept) == 2 and {r.text for r in kept} - {base, near} == {other}
+
+
 def test_search_is_exact_for_flipped_bits(spark):
     """All pairs within three bits are connected, wherever the bits lie."""
     random.seed(4)
