@@ -1,0 +1,71 @@
+"""Exact dedup against plain Python, with and without collisions."""
+
+import hashlib
+import re
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from servertide.llm.exact import dedup, exact_groups
+
+
+def expected(pairs):
+    """Rows as (doc_id, keep_id, group_size, text_sha256), and how many rows of each are kept."""
+    normal = [re.sub(r"[\x20\x09-\x0D]+", " ", text or "") for _, text in pairs]
+    rows = []
+    for (i, _), text in zip(pairs, normal):
+        ids = [j for (j, _), other in zip(pairs, normal) if other == text]
+        keep = min((j for j in ids if j is not None), default=None)
+        rows.append((i, keep, len(ids), hashlib.sha256(text.encode()).hexdigest()))
+    return sorted(rows, key=repr)
+
+
+def check(frame, pairs):
+    rows = frame.collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in rows), key=repr) == expected(pairs)
+    kept = [r for r in rows if r.kept]
+    assert len({r.text_sha256 for r in rows}) == len(kept) == len({r.text_sha256 for r in kept})
+    assert all(r.doc_id == r.keep_id for r in kept)
+
+
+CASES = [
+    [(1, "a b"), (2, "a\t\x0b b"), (3, "a  b "), (4, "ab"), (5, None), (6, ""), (7, " "), (8, "\n\n"), (9, "A b"), (10, "a b")],
+    [(None, "x"), (None, "x"), (3, "x"), (None, "y"), (None, "y"), (2, "z"), (2, "z"), (2, "z "), (2, "q")],
+    [(k, "same text") for k in range(300)] + [(k, f"text {k}") for k in range(300, 330)],
+    [(1, "long " * 200_000), (2, "long  " * 200_000), (3, "long " * 200_000 + "x")],
+    [],
+]
+
+
+@pytest.mark.parametrize("pairs", CASES)
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_groups(docs, pairs, broadcast_rows):
+    check(exact_groups(docs(pairs), broadcast_rows=broadcast_rows), pairs)
+
+
+@pytest.mark.parametrize("pairs", CASES[:3])
+def test_colliding_hashes(docs, pairs):
+    """A hash of one byte: groups are told apart by their texts alone."""
+    check(exact_groups(docs(pairs), content_hash=lambda text: F.unhex(F.substring(F.md5(text), 1, 1))), pairs)
+    check(exact_groups(docs(pairs), content_hash=lambda text: F.lit("one")), pairs)
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 5)), st.one_of(st.none(), st.text("a \t\n", max_size=4))), max_size=12))
+def test_any_rows(docs, pairs):
+    check(exact_groups(docs(pairs), content_hash=F.length), pairs)
+
+
+def test_dedup_keeps_rows_whole(docs):
+    frame = docs([(3, "a  b"), (1, "a b"), (2, "c"), (None, "a b"), (None, "d"), (None, "d"), (1, "a b")]).withColumn("n", F.lit(7)).withColumn("first", F.lit("x"))
+    rows = dedup(frame)
+    assert rows.columns == frame.columns
+    assert sorted(((r.doc_id, r.text, r.n, r.first) for r in rows.collect()), key=repr) == [(1, "a b", 7, "x"), (2, "c", 7, "x"), (None, "d", 7, "x")]
+
+
+def test_only_hashes_move_for_groups_of_one(spark, docs):
+    """Texts are joined with the few crowded hashes by broadcast: no exchange above the whole texts."""
+    plan = exact_groups(docs([(1, "a"), (2, "a"), (3, "b")]))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
