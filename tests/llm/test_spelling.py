@@ -1,0 +1,132 @@
+"""Spelling variants against plain Python."""
+
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from servertide.llm import spelling
+from servertide.llm.fm_index import FmIndex
+from servertide.llm.spelling import near_words, roots, spelling_groups, spelling_variants, vocabulary
+
+
+def near(a, b):
+    """Whether b is one inserted, deleted or replaced code point from a."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    short, long = sorted((a, b), key=len)
+    return len(long) - len(short) == 1 and any(long[:k] + long[k + 1:] == short for k in range(len(long)))
+
+
+def words_of(pairs):
+    counts = Counter()
+    for i, text in pairs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 97 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1:]
+            counts[run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+
+
+def groups_of(words):
+    form, result = {}, []
+    for w, n in words.items():
+        others = [v for v in words if near(w, v)]
+        best = min(others, key=lambda v: (-words[v], v), default=None)
+        form[w] = (best if best is not None and words[best] >= 2 * n else None, len(others))
+    for w, n in words.items():
+        root = w
+        while form[root][0] is not None:
+            root = form[root][0]
+        result.append((w, form[w][0], root, n, form[w][1], words.get(form[w][0])))
+    return sorted(result, key=repr)
+
+
+def found(frame):
+    return sorted(map(tuple, frame.select("word", "form", "root", "n", "n_near", "form_n").collect()), key=repr)
+
+
+def table(spark, words):
+    return spark.createDataFrame(list(words.items()), "word string, n long")
+
+
+def many_words(size=1500):
+    """Words over few letters, so that most have near words, of 5 to 9 code points."""
+    import random
+
+    source = random.Random(5)
+    made = {}
+    while len(made) < size:
+        made["".join(source.choice("abé") for _ in range(source.choice([5, 5, 6, 6, 7, 8, 9])))] = source.choice([3, 3, 4, 6, 9, 12, 25, 51])
+    return made
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sets(st.text("abé", min_size=1, max_size=7), min_size=1, max_size=40), st.sets(st.text("abéz", min_size=2, max_size=7), min_size=1, max_size=20))
+def test_index_finds_each_near_word_once(words, queries):
+    words, queries = sorted(words), sorted(queries)
+    exact = [len(q) // 2 for q in queries]
+    query, word = FmIndex(words).near(queries, exact)
+    got = list(zip(query.tolist(), word.tolist()))
+    want = [(k, j) for k, q in enumerate(queries) for j, w in enumerate(words) if near(q, w) and q[: exact[k]] == w[: exact[k]]]
+    assert sorted(got) == sorted(want)
+
+
+def test_index_of_long_words():
+    words = sorted(["a" * 3000, "a" * 3001, "a" * 2999 + "b", "b" * 3000])
+    query, word = FmIndex(words).near(words, [len(w) // 2 for w in words])
+    assert {(words[q], words[w]) for q, w in zip(query, word)} == {(a, b) for a in words for b in words if a != b and near(a, b)}
+
+
+def test_groups(spark):
+    words = many_words()
+    assert found(spelling_groups(table(spark, words))) == groups_of(words)
+
+
+@pytest.mark.parametrize("index_words, questions", [(1, 1), (7, 3), (40, 100_000)])
+def test_blocks_and_batches_change_nothing(spark, index_words, questions):
+    words = many_words(400)
+    want = {w: (n_near, form if form else None) for w, form, _, _, n_near, _ in groups_of(words) if n_near}
+    rows = near_words(table(spark, words), index_words, questions).collect()
+    assert {r.word: r.n_near for r in rows} == {w: n for w, (n, _) in want.items()}
+    assert {r.word: r.form for r in rows if r.form_n >= 2 * words[r.word]} == {w: f for w, (_, f) in want.items() if f}
+
+
+def test_documents(spark, docs):
+    pairs = [
+        (1, "colour Colour COLOUR color, colours; coloür×4 " * 9), (None, "éclair Éclair eclair éclairs " * 4), (3, None), (4, ""),
+        (5, "a " * 50 + "x" * 40_000), (5, "x" * 40_000 + " " + "x" * 40_000), (6, "x" * 39_999 + "\n" + "words " * 3000),
+        *((k, f"worda wordb{'c' * (k % 3)} Sword swords") for k in range(200)),
+    ]
+    want = words_of(pairs)
+    frame = docs(pairs).selectExpr("*", "1 AS n", "2 AS word")
+    assert dict(map(tuple, vocabulary(frame).collect())) == want
+    assert found(spelling_variants(frame)) == groups_of(want)
+
+
+def test_chains(spark):
+    """A chain of eight forms, each with twice the count of the one before."""
+    words = {"bbbbbbbb"[:k] + "aaaaaaaa"[k:]: 3 * 2**k for k in range(9)}
+    rows = {r.word: r.root for r in spelling_groups(table(spark, words)).collect()}
+    assert set(rows.values()) == {"bbbbbbbb"}
+    forms = spark.createDataFrame([(f"w{k}", f"w{k + 1}") for k in range(100)], "word string, form string")
+    assert {r.root for r in roots(forms).collect()} == {"w100"}
+
+
+def test_nothing(spark, docs):
+    assert spelling_variants(docs([])).collect() == []
+    assert spelling_variants(docs([(1, None), (2, ""), (3, "abcd abcd abcd abcd")])).collect() == []
+
+
+def test_questions_grow_with_the_words(spark):
+    """Each word is indexed twice and asks six shards at most, whatever their number."""
+    words = table(spark, many_words())
+    rows = spelling._dealt(words, spelling.INDEX_WORDS)
+    assert rows.where(f"role = {spelling.INDEXED}").count() == 2 * words.count()
+    assert rows.where(f"role = {spelling.ASKING}").count() <= 6 * words.count()
