@@ -117,9 +117,128 @@ SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN bad THEN 'block' EL
 FROM ruled r LEFT JOIN scores s ON s.host = r.host
 """
 
+#: CRC-32 of the UTF-8 bytes of a text, by the table of the polynomial 0xEDB88320; ``crc`` has that table as a list.
+_CRC_TABLE = """crc AS MATERIALIZED (
+    SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+               lambda a, k: CASE WHEN a % 2 = 1 THEN xor(3988292384::BIGINT, a >> 1) ELSE a >> 1 END)) AS tab
+)"""
+
+
+def _crc32(text: str) -> str:
+    digits = f"hex(encode({text}))"
+    digit = "(strpos('0123456789ABCDEF', substr({d}, {at}, 1)) - 1)"
+    octets = f"list_transform(range(1, length({digits}) + 1, 2), lambda k: {digit.format(d=digits, at='k')} * 16 + {digit.format(d=digits, at='k + 1')})"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda a, b: xor(tab[1 + (xor(a, b) & 255)], a >> 8)), 4294967295::BIGINT)"
+
+
+_WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: Row by row from the left: the cheapest way to each state, insertions added after every row (n: rows done; q: the state).
+_REPAIR = f"""
+WITH RECURSIVE {_CRC_TABLE}, spoilt AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS damage
+    FROM conversations, crc
+), rows AS (
+    SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role,
+           CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM (SELECT *, unnest(CASE damage WHEN 3 THEN [0, 1] ELSE [0] END) FROM spoilt WHERE damage <> 0)
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS n, substr(role, 1, 1) AS initial,
+           trim(text, {_WHITE}) AS bare
+    FROM rows
+), judged AS (
+    SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'duplicate'
+                   WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           lag(initial) OVER (PARTITION BY conv_id ORDER BY n) AS earlier
+    FROM placed
+), steps(initial, p, q) AS (VALUES ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)),
+inserts(p, q, cost, audit) AS (
+    VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 2, 3, 'I'), (1, 3, 6, 'II'),
+           (2, 3, 3, 'I'), (2, 2, 6, 'II'), (3, 2, 3, 'I'), (3, 3, 6, 'II')
+), moves AS (
+    SELECT conv_id, n, q.p, q.p AS q, 4 AS cost, 'D' AS letter, NULL AS made FROM judged, (SELECT unnest(range(4)) AS p) q
+    UNION ALL SELECT conv_id, n, p, q, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, 'K', role || ':' || text
+              FROM judged j JOIN steps s ON s.initial = j.initial WHERE fault NOT IN ('blank', 'duplicate')
+    UNION ALL SELECT conv_id, n, p, q, CASE fault WHEN 'truncated' THEN 6 ELSE 3 END, 'R', CASE s.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text
+              FROM judged j JOIN steps s ON s.initial IN ('u', 'a') WHERE fault NOT IN ('blank', 'duplicate')
+), ways AS (
+    SELECT conv_id, n, m.p, i.q, m.cost + i.cost AS cost, letter || i.audit AS audit, m.q AS mid, made
+    FROM moves m JOIN inserts i ON i.p = m.q
+), best(conv_id, n, q, cost, audit, made) AS (
+    SELECT c.conv_id, 0::BIGINT, q, cost::BIGINT, audit, CASE q WHEN 2 THEN ['user:'] WHEN 3 THEN ['user:', 'assistant:'] ELSE []::VARCHAR[] END
+    FROM (SELECT DISTINCT conv_id FROM judged) c, inserts WHERE p = 0
+    UNION ALL
+    SELECT conv_id, n, q, w.cost, w.audit, w.made FROM (
+        SELECT b.conv_id, w.n, w.q, min(struct_pack(cost := b.cost + w.cost, audit := b.audit || w.audit, made := list_concat(b.made,
+            CASE WHEN w.made IS NULL THEN []::VARCHAR[] ELSE [w.made] END,
+            CASE WHEN length(w.audit) = 1 THEN []::VARCHAR[] WHEN length(w.audit) = 2 THEN [CASE w.mid WHEN 2 THEN 'assistant:' ELSE 'user:' END]
+                 ELSE [CASE w.mid WHEN 2 THEN 'assistant:' ELSE 'user:' END, CASE w.mid WHEN 2 THEN 'user:' ELSE 'assistant:' END] END))) AS w
+        FROM best b JOIN ways w ON w.conv_id IS NOT DISTINCT FROM b.conv_id AND w.n = b.n + 1 AND w.p = b.q
+        GROUP BY b.conv_id, w.n, w.q)
+), facts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+           count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+           count(*) FILTER (WHERE n > 1 AND (earlier || initial) NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS n
+    FROM judged GROUP BY conv_id
+), ended AS (
+    SELECT f.*, (SELECT min(struct_pack(cost := cost, audit := audit, made := made)) FROM best b
+                 WHERE b.conv_id IS NOT DISTINCT FROM f.conv_id AND b.n = f.n AND b.q IN (0, 3)) AS w
+    FROM facts f
+)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.cost, 0)::BIGINT AS cost,
+       coalesce(w.audit, '') AS audit, sha256(coalesce(array_to_string(w.made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN ended d ON d.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+_EXACT_DEDUP = r"""
+WITH normal AS (
+    SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER same AS keep_id, count(*) OVER (PARTITION BY text)::BIGINT AS group_size,
+       row_number() OVER same = 1 AS kept, sha256(text) AS text_sha256
+FROM normal WINDOW same AS (PARTITION BY text ORDER BY doc_id NULLS LAST)
+"""
+
+#: Near words meet in the texts that one deletion leaves of both (equal lengths: at the same place) or of the longer one.
+_SPELLING_VARIANTS = f"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS MATERIALIZED (
+    SELECT doc_id, word, count(*) AS n FROM (
+        SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), {_ASCII}) AS word FROM documents)
+    WHERE length(word) >= 5 GROUP BY ALL
+), hashed AS MATERIALIZED (
+    SELECT word, n, {_crc32("coalesce(doc_id::VARCHAR, '') || ':' || word")} AS h FROM runs, crc
+), cut AS (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(word, 1, h % length(word)) || substr(word, h % length(word) + 2) ELSE word END AS word, n FROM hashed
+), words AS MATERIALIZED (
+    SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), shorter AS MATERIALIZED (
+    SELECT word, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM words)
+), near AS MATERIALIZED (
+    SELECT a.word, b.word AS other FROM shorter a JOIN shorter b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT s.word, w.word FROM shorter s JOIN words w ON w.word = s.rest
+    UNION SELECT w.word, s.word FROM shorter s JOIN words w ON w.word = s.rest
+), ranked AS (
+    SELECT p.word, p.other, o.n AS other_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+           row_number() OVER (PARTITION BY p.word ORDER BY o.n DESC, p.other) AS place
+    FROM near p JOIN words o ON o.word = p.other
+), judged AS MATERIALIZED (
+    SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form,
+           CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+    FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.place = 1
+), climb(word, root, further) AS (
+    SELECT word, word, form FROM judged
+    UNION ALL SELECT c.word, c.further, j.form FROM climb c JOIN judged j ON j.word = c.further
+)
+SELECT j.word, j.form, c.root, j.n, j.n_near, j.form_n FROM judged j JOIN climb c ON c.word = j.word AND c.further IS NULL
+"""
+
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": _EMBEDDING_NEAR_DEDUP,
     "op4_line_dedup": _LINE_DEDUP,
     "op5_chat_format": _CHAT_FORMAT,
     "op10_url_filters": _URL_FILTERS,
+    "op11_conversation_repair": _REPAIR,
+    "op12_exact_dedup": _EXACT_DEDUP,
+    "op13_spelling_variants": _SPELLING_VARIANTS,
 }

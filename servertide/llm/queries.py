@@ -1,4 +1,4 @@
-"""The registered queries of the operators for training data: op1 to op10 over their whole tables, and the pipeline."""
+"""The registered queries of the operators for training data: op1 to op13 over their whole tables, and the pipeline."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from servertide.llm import bpe, chat, decontam, hosts, langid, lines, pii, resample, simhash, vectors
+from servertide.llm import bpe, chat, decontam, exact, hosts, langid, lines, pii, repair, resample, simhash, spelling, vectors
 from servertide.llm.ship import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,19 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair_report(repair.damaged(rows), rows)
+
+
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -115,6 +128,9 @@ QUERIES: dict[str, Query] = {
         "op8_bpe_codec": bpe_codec,
         "op9_simhash_near_dedup": simhash_near_dedup,
         "op10_url_filters": url_filters,
+        "op11_conversation_repair": conversation_repair,
+        "op12_exact_dedup": exact_dedup,
+        "op13_spelling_variants": spelling_variants,
         "pipeline": pipeline,
     }.items()
 }
