@@ -110,10 +110,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'RUNNABLE' WHEN 'BUILDING' THEN 'RUNNING'
                     WHEN 'FURNITURE' THEN 'Suspended' ELSE 'DONE' END AS task_state
         FROM customer"""),
-    "waiting_tasks": (("events",), f"""
+    "waiting_tasks": (("events", "customer"), f"""
         SELECT user_id AS waiting_task_address, {_whole('value * 100')} AS wait_duration_ms, event_type AS wait_type,
                props AS resource_description, user_id % 7 AS blocking_session_id, event_id AS waiting_task_id
-        FROM events"""),
+        FROM events
+        UNION ALL
+        SELECT c_custkey, c_custkey % 977 * 10, concat('LCK_M_', {_text('c_custkey % 3')}), concat('page ', {_text('c_custkey')}),
+               51 + c_custkey % 9, -c_custkey
+        FROM customer WHERE c_mktsegment = 'FURNITURE'"""),
     "workload_groups": (("region",), """
         SELECT CAST(r_regionkey AS BIGINT) AS group_id, CASE r_regionkey WHEN 0 THEN 'internal' ELSE r_name END AS name
         FROM region"""),
