@@ -95,17 +95,18 @@ def _activity(condition: str) -> str:
 
 
 def _blocking_tree(margin: str, indent: str, head: str, blocked: str, view: str = "processes") -> str:
-    """Each session climbs to its head; those that arrive at one that blocks somebody are the forest."""
+    """Each session climbs to its head; those that arrive at one that blocks somebody are the forest. UNION ends cycles."""
     return with_views([view, "sql_text"], f"""AND known AS (
             SELECT DISTINCT spid, blocked, CASE WHEN blocked NOT IN (0, spid) THEN blocked END AS blocker,
                    replace(replace(text, chr(10), ' '), chr(13), ' ') AS batch
             FROM {view} JOIN sql_text USING (sql_handle)),
         climb AS (
-            SELECT spid, spid AS reached, blocker AS next, 0 AS depth FROM known
-            UNION ALL
-            SELECT c.spid, k.spid, k.blocker, c.depth + 1 FROM climb c JOIN known k ON k.spid = c.next WHERE c.depth < 200),
+            SELECT spid, spid AS reached, blocker AS next FROM known
+            UNION
+            SELECT c.spid, k.spid, k.blocker FROM climb c JOIN known k ON k.spid = c.next),
+        steps AS (SELECT spid, CAST(count(*) - 1 AS INTEGER) AS depth FROM climb GROUP BY spid),
         arrived AS (
-            SELECT spid, reached AS root_spid, depth FROM climb
+            SELECT spid, reached AS root_spid, depth FROM climb JOIN steps USING (spid)
             WHERE next IS NULL AND reached IN (SELECT blocker FROM known WHERE blocker IS NOT NULL))
         SELECT spid, blocked, root_spid, depth,
                concat('{margin}', repeat('{indent}', depth), CASE depth WHEN 0 THEN '{head}' ELSE '{blocked}' END, spid, ' ', batch) AS blocking_tree
@@ -116,10 +117,11 @@ def _root_blockers(view: str) -> str:
     return with_views([view], f"""AND links AS (
             SELECT spid, max(CASE WHEN blocked NOT IN (0, spid) THEN blocked END) AS direct_blocker FROM {view} GROUP BY spid),
         climb AS (
-            SELECT spid, spid AS reached, direct_blocker AS next, CAST(0 AS BIGINT) AS steps FROM links
-            UNION ALL
-            SELECT c.spid, l.spid, l.direct_blocker, c.steps + 1 FROM climb c JOIN links l ON l.spid = c.next WHERE c.steps < 200),
-        heads AS (SELECT spid, reached AS root_blocker, steps AS chain_length FROM climb WHERE next IS NULL),
+            SELECT spid, spid AS reached, direct_blocker AS next FROM links
+            UNION
+            SELECT c.spid, l.spid, l.direct_blocker FROM climb c JOIN links l ON l.spid = c.next),
+        steps AS (SELECT spid, count(*) - 1 AS chain_length FROM climb GROUP BY spid),
+        heads AS (SELECT spid, reached AS root_blocker, chain_length FROM climb JOIN steps USING (spid) WHERE next IS NULL),
         behind AS (SELECT reached AS spid, count(*) - 1 AS passed FROM climb GROUP BY reached)
         SELECT spid, direct_blocker, root_blocker, chain_length, CASE WHEN root_blocker IS NOT NULL THEN passed END AS blocked_descendants
         FROM links LEFT JOIN heads USING (spid) JOIN behind USING (spid)""", recursive=True)
