@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own_roots: dict[str, str] = {}
 
@@ -41,3 +41,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_with(df: DataFrame, label: str, **facts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``written``, and aggregates over the rows, which are taken while they are written."""
+    observed = Observation()
+    out = written(df.observe(observed, *(fact.alias(name) for name, fact in facts.items())), label)
+    return out, observed.get
