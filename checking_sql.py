@@ -462,3 +462,6 @@ ORACLES: dict[str, str] = {
         WHERE collect_date > TIMESTAMP '2024-01-20 12:00:00' - INTERVAL '168' HOUR GROUP BY collect_date"""),
 }
 ORACLES["drive_space_from_bytes"] = ORACLES["drive_space"]
+ORACLES["running_statements_stored"] = ORACLES["running_statements"]
+ORACLES["requests_with_plan_stored"] = ORACLES["requests_with_plan"]
+ORACLES["cached_statements_stored"] = ORACLES["cached_statements_with_plan"]

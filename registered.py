@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from servertide.operators.scratch import scratch_path
 from servertide.plans import backups, blocking, indexes, queries, sessions, storage, tempspace, waits
 from servertide.sources.derived import view, views
+from servertide.sources.lookups import KEYS, Lookup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,21 @@ class over:
         return self.report(*views(spark, sf_dir, self.names), **self.parameters)
 
 
+class stored(over):
+    """The same, with texts and plans added to lookup tables first, in two overlapping parts, and read from there."""
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = scratch_path(spark, "lookups")
+        tables = dict(zip(self.names, views(spark, sf_dir, self.names)))
+        for name in KEYS.keys() & tables.keys():
+            rows = tables[name]
+            lookup = Lookup(spark, root, name, buckets=32, fields=rows.schema)
+            lookup.add(rows.where(F.pmod(lookup.key[0], F.lit(2)) == 0))
+            lookup.add(rows)
+            tables[name] = lookup.read()
+        return self.report(*tables.values(), **self.parameters)
+
+
 def _table(name: str) -> Query:
     return lambda spark, sf_dir: storage.read_table(spark, f"{sf_dir}/{name}.parquet")
 
@@ -104,6 +120,8 @@ QUERIES: dict[str, Query] = {
     "top_cpu_requests": over(sessions.top_cpu_requests, "requests", "sql_text"),
     "running_statement": over(sessions.running_statement, "requests", "sql_text", session_id=118),
     "running_statements": over(sessions.running_statement, "requests", "sql_text"),
+    "running_statements_stored": stored(sessions.running_statement, "requests", "sql_text"),
+    "requests_with_plan_stored": stored(sessions.requests_with_plan, "requests", "query_plan", "sql_text"),
     "request_progress": over(sessions.request_progress, "requests", as_of=AS_OF),
     "lock_counts": over(sessions.lock_counts, "tran_locks"),
     "locked_objects": over(sessions.locked_objects, "lock_info", "processes", "objects"),
@@ -129,6 +147,7 @@ QUERIES: dict[str, Query] = {
     # cached statements
     "statements_matching": over(queries.statements_matching, "query_stats", "sql_text", pattern="%The th%"),
     "cached_statements_with_plan": over(queries.cached_statements_with_plan, "query_stats", "sql_text", "statement_plan"),
+    "cached_statements_stored": stored(queries.cached_statements_with_plan, "query_stats", "sql_text", "statement_plan"),
     "procedure_plans": over(queries.procedure_plans, "procedure_stats", "query_stats", "query_plan", "object_names"),
     "procedure_plans_of_database": over(
         queries.procedure_plans, "procedure_stats", "query_stats", "query_plan", "object_names", database_id=12

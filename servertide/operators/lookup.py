@@ -7,15 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from servertide.operators.scratch import written
 
-def lookup_join(left: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+
+def lookup_join(left: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", hot_rows: int | None = None) -> DataFrame:
     """Equi-join (``inner``, ``left`` or ``left_semi``) in which one key may hold a large share of ``left``.
 
     Each side is read once. Where a partition of ``left`` is far larger than the others,
     because of a frequent key, equal rows or rows without a key, adaptive execution splits it
     by the map tasks that wrote it and reads the lookup rows of the partition once for each part.
+
+    It cannot do so if ``lookup`` is read in buckets (``sources.lookups``). With ``hot_rows``, keys of more rows than
+    that are counted first (at most one in ``hot_rows`` rows is such a key); their lookup rows are
+    written to a table of their own, and the rows of these keys meet that one.
     """
-    return left.join(lookup, list(on), how)
+    on = list(on)
+    if hot_rows is None:
+        return left.join(lookup, on, how)
+    hot = written(left.groupBy(*on).agg(F.count("*").alias("n")).where((F.col("n") > hot_rows) & _all_set(on)).select(*on), "hot")
+    if hot.isEmpty():
+        return left.join(lookup, on, how)
+    few = written(attach(hot, lookup, on), "few")
+    return left.join(hot, on, "left_anti").join(lookup, on, how).unionByName(left.join(hot, on, "left_semi").join(few, on, how))
 
 
 def attach(few: DataFrame, lookup: DataFrame, on: Sequence[str]) -> DataFrame:
