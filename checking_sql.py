@@ -214,10 +214,10 @@ def _database_overview() -> str:
                    CAST(sum(size * 8 // 1024) FILTER (type_desc = 'LOG') AS BIGINT) AS log_mb
             FROM master_files GROUP BY database_id),
         latest AS (
-            SELECT database_name AS name, type, backup_start_date AS begun, backup_finish_date AS done
-            FROM backupset QUALIFY row_number() OVER (PARTITION BY database_name ORDER BY backup_set_id DESC) = 1),
+            SELECT upper(database_name) AS name, type, backup_start_date AS begun, backup_finish_date AS done
+            FROM backupset QUALIFY row_number() OVER (PARTITION BY upper(database_name) ORDER BY backup_set_id DESC) = 1),
         told AS (
-            SELECT *, concat_ws(' – ', MAP {{'D': 'Full', 'I': 'Differential', 'L': 'Transaction log'}}[type],
+            SELECT * RENAME (name AS backed_up), concat_ws(' – ', MAP {{'D': 'Full', 'I': 'Differential', 'L': 'Transaction log'}}[type],
                                 concat(abs(CAST(done AS DATE) - DATE '{AS_OF[:10]}'), ' days ago'), strftime(begun, {day}),
                                 concat(strftime(done, {day}), ' (', CAST(epoch(done) - epoch(begun) AS BIGINT), ' seconds)')) AS last_backup
             FROM latest)
@@ -227,7 +227,7 @@ def _database_overview() -> str:
                strftime(create_date, {day}) AS creation_date, coalesce(last_backup, '-') AS last_backup, type AS last_backup_type,
                begun AS last_backup_start, done AS last_backup_finish, page_verify_option_desc AS page_verify_option, {flags},
                name AS full_name, status AS full_status
-        FROM databases LEFT JOIN files USING (database_id) LEFT JOIN told USING (name)""")
+        FROM databases LEFT JOIN files USING (database_id) LEFT JOIN told ON backed_up = upper(name)""")
 
 
 _AT = f"collect_date = TIMESTAMP '{SNAPSHOT}'"
@@ -275,14 +275,14 @@ _SCRIPTS = """SELECT database_name, schema_name, table_name, indexes.name AS ind
 ORACLES: dict[str, str] = {
     "connections_by_login": with_views(["processes", "databases"], """
         SELECT p.dbid, (SELECT d.name FROM databases d WHERE d.database_id = p.dbid) AS database_name, p.loginame, p.connections
-        FROM (SELECT dbid, loginame, count(dbid) AS connections FROM processes GROUP BY dbid, loginame) p"""),
+        FROM (SELECT dbid, min(loginame) AS loginame, count(dbid) AS connections FROM processes GROUP BY dbid, lower(rtrim(loginame, ' '))) p"""),
     "connections_staged": with_views(["processes", "databases"], """
-        SELECT d.name AS database_name, count(p.dbid) AS connections, p.loginame
+        SELECT d.name AS database_name, count(p.dbid) AS connections, min(p.loginame) AS loginame
         FROM processes p LEFT JOIN databases d ON d.database_id = p.dbid
-        WHERE p.dbid > 0 GROUP BY p.dbid, d.name, p.loginame HAVING p.loginame = 'login_3'"""),
-    "active_sessions": with_views(["who"], "SELECT * FROM who WHERE login = 'login_7'"),
-    "counter_values": with_views(["perf_counters"], "SELECT * FROM perf_counters WHERE counter_name = 'error'"),
-    "session_inventory": _session_inventory("session_id <> 5 AND login_name = 'login_4'"),
+        WHERE p.dbid > 0 AND trim(upper(p.loginame)) = 'LOGIN_3' GROUP BY p.dbid, d.name"""),
+    "active_sessions": with_views(["who"], "SELECT * FROM who WHERE trim(upper(login)) = 'LOGIN_7'"),
+    "counter_values": with_views(["perf_counters"], "SELECT * FROM perf_counters WHERE upper(counter_name) = 'ERROR'"),
+    "session_inventory": _session_inventory("session_id <> 5 AND trim(upper(login_name)) = 'LOGIN_4'"),
     "session_inventory_of_database": _session_inventory("database_name = 'DB_7'"),
     "session_inventory_all": _session_inventory("true"),
     "top_waiting_requests": _top_waiting("session_id <> 101"),
@@ -328,7 +328,7 @@ ORACLES: dict[str, str] = {
         FROM lock_info l JOIN processes p ON l.req_spid = p.spid JOIN objects o ON o.object_id = l.rsc_objid WHERE o.name IS NOT NULL"""),
     "replica_undo_backlog": with_views(["perf_counters"], """
         SELECT object_name, counter_name, instance_name, cntr_value FROM perf_counters
-        WHERE object_name ILIKE '%Database Replica%' AND counter_name = 'error' AND cntr_value <> 0"""),
+        WHERE object_name ILIKE '%Database Replica%' AND upper(counter_name) = 'ERROR' AND cntr_value <> 0"""),
     "busy_requests": with_views(["sessions", "requests", "sql_text", "query_plan", "databases"], f"""
         SELECT {_REQUEST}, p.query_plan, d.name AS database_name, t.text, s.login_name, s.host_name, s.program_name
         FROM requests r JOIN sessions s ON s.session_id = r.session_id JOIN query_plan p ON p.plan_handle = r.plan_handle
@@ -427,9 +427,9 @@ ORACLES: dict[str, str] = {
         FROM unused u LEFT JOIN scripts s USING (database_name, schema_name, table_name, index_name)""",
     ),
     "last_backup_history": with_views(["backupset"], """
-        SELECT database_name, max(backup_finish_date) FILTER (type = 'D') AS last_full_backup,
+        SELECT min(database_name) AS database_name, max(backup_finish_date) FILTER (type = 'D') AS last_full_backup,
                max(backup_finish_date) FILTER (type = 'I') AS last_differential, max(backup_finish_date) FILTER (type = 'L') AS last_log
-        FROM backupset GROUP BY database_name"""),
+        FROM backupset GROUP BY upper(database_name)"""),
     "database_overview": _database_overview(),
     "temp_table_names": with_views(["temp_tables"], "SELECT name FROM temp_tables"),
     "temp_table_prefixes": with_views(["temp_tables"], """

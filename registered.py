@@ -73,14 +73,14 @@ def _drives_from_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     # connections, sessions, requests, locks, counters
     "connections_by_login": over(sessions.connections_by_login, "processes", "databases"),
-    "connections_staged": over(sessions.connections_staged, "processes", "databases", login="login_3"),
+    "connections_staged": over(sessions.connections_staged, "processes", "databases", login="LOGIN_3"),
     "active_sessions": over(sessions.active_sessions, "who", login="login_7"),
-    "counter_values": over(sessions.counter_values, "perf_counters", counter="error"),
+    "counter_values": over(sessions.counter_values, "perf_counters", counter="Error"),
     "session_inventory": over(
         sessions.session_inventory, "sessions", "connections", "sql_text", "databases", "object_names", login="login_4", self_id=5
     ),
     "session_inventory_of_database": over(
-        sessions.session_inventory, "sessions", "connections", "sql_text", "databases", "object_names", database="DB_7"
+        sessions.session_inventory, "sessions", "connections", "sql_text", "databases", "object_names", database="db_7"
     ),
     "session_inventory_all": over(
         sessions.session_inventory, "sessions", "connections", "sql_text", "databases", "object_names"

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Code points above U+FFFF take two UTF-16 units; offsets in telemetry count units.
 _TWO_UNITS = r"([\x{10000}-\x{10FFFF}])"
 # A noncharacter, which stands for the second unit while positions are counted.
 _FILLER = "\uffff"
+#: Collected tables may hold the key of a name column beside it.
+KEY_SUFFIX = "_key"
 
 
 def fold(column: Column) -> Column:
@@ -16,6 +18,20 @@ def fold(column: Column) -> Column:
     return F.lower(column)
 
 
+def name_key(name: Column | str) -> Column:
+    """Sort key of a name under the server's case-insensitive collation, which also ignores trailing blanks.
+
+    Names are compared, grouped, joined and ordered by it, and shown as they are stored.
+    """
+    return F.lower(F.rtrim(F.lit(name) if isinstance(name, str) else name))
+
+
+def key_of(table: DataFrame, column: str) -> Column:
+    """The key of a name column: the collected ``<column>_key``, on which filters reach the scan, or else computed."""
+    stored = f"{column}{KEY_SUFFIX}"
+    return F.col(stored) if stored in table.columns else name_key(F.col(column))
+
+
 def tsql_len(column: Column) -> Column:
     """LEN: characters without trailing spaces."""
     return F.length(F.rtrim(column))

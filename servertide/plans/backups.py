@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from servertide.functions.numbers import pages_to_whole_mb
-from servertide.functions.text import fold, truncate
+from servertide.functions.text import fold, key_of, truncate
 from servertide.functions.times import day_first, days_between, instant, seconds_between
 
 # Names of compatibility levels.
@@ -46,15 +46,18 @@ def _named(column, names):
 
 
 def last_backup_history(backupset: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Last full, differential and log backup of each database."""
+    """Last full, differential and log backup of each database; spellings of one name are one database."""
 
     def last(code: str):
         return F.max(F.when(F.col("type") == code, F.col("backup_finish_date")))
 
     return (
-        backupset.groupBy(*scope, "database_name")
-        .agg(last("D").alias("last_full_backup"), last("I").alias("last_differential"), last("L").alias("last_log"))
-        .orderBy(*scope, F.col("database_name").desc())
+        backupset.withColumn("name_key", key_of(backupset, "database_name")).groupBy(*scope, "name_key")
+        .agg(
+            F.min("database_name").alias("database_name"),
+            last("D").alias("last_full_backup"), last("I").alias("last_differential"), last("L").alias("last_log"),
+        )
+        .orderBy(*scope, F.col("name_key").desc()).drop("name_key")
     )
 
 
@@ -73,7 +76,7 @@ def database_overview(databases: DataFrame, master_files: DataFrame, backupset:
         F.count(F.when(kind == "log", 1)).alias("log_files"),
         F.sum(F.when(kind == "log", mb)).alias("log_mb"),
     )
-    latest = backupset.groupBy(*scope, F.col("database_name").alias("name")).agg(
+    latest = backupset.groupBy(*scope, key_of(backupset, "database_name").alias("name_key")).agg(
         F.max_by(F.struct("type", "backup_start_date", "backup_finish_date"), "backup_set_id").alias("backup")
     )
     start, finish = F.col("backup.backup_start_date"), F.col("backup.backup_finish_date")
@@ -85,7 +88,7 @@ def database_overview(databases: DataFrame, master_files: DataFrame, backupset:
         day_first(start), dash, day_first(finish),
         F.lit(" ("), seconds_between(start, finish).cast("string"), F.lit(" seconds)"),
     )
-    rows = databases.join(files, [*scope, "database_id"], "left").join(latest, [*scope, "name"], "left")
+    rows = databases.join(files, [*scope, "database_id"], "left").withColumn("name_key", key_of(databases, "name")).join(latest, [*scope, "name_key"], "left")
     flags = [F.when(F.col(flag), F.lit(shown)).otherwise("").alias(name) for flag, name, shown in FLAG_TEXTS]
     return (
         rows.select(

@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from servertide.functions.numbers import pages_to_mb
 from servertide.functions.text import fold, quotename
 from servertide.operators.ranking import top_k
-from servertide.plans.storage import SYSTEM_DATABASES
+from servertide.plans.storage import SYSTEM_DATABASES, without_databases
+
+
+UNUSED = [
+    "schema_name", "table_name", "index_name", "user_seeks", "user_scans", "user_lookups", "user_updates", "table_rows", "index_size_mb",
+    "last_user_scan", "last_user_seek", "last_user_update",
+]
+SCRIPTS = ["key_columns", "included_columns", "create_statement", "drop_statement"]
+_LONGEST_UNUSED = ("last_user_seek", "last_user_scan")
 
 
 def unused_indexes(
@@ -22,6 +30,16 @@ def unused_indexes(
 
     An index with several partitions has a row for the size of each.
     """
+    unused = _unused(index_usage, indexes, partition_stats, partitions, objects, schemas, k, excluded_databases, scope)
+    return unused.orderBy(*scope, *_unused_order()).select(*scope, *UNUSED)
+
+
+def _unused_order():
+    return [*(F.col(c).asc_nulls_first() for c in _LONGEST_UNUSED), F.col("index_size_mb").desc(), F.col("object_id"), F.col("index_id")]
+
+
+def _unused(index_usage, indexes, partition_stats, partitions, objects, schemas, k, excluded_databases, scope) -> DataFrame:
+    """The columns of the report, and object_id and index_id."""
     scope = list(scope)
     index = [*scope, "object_id", "index_id"]
     plain = indexes.where(
@@ -41,16 +59,8 @@ def unused_indexes(
         .join(named, [*scope, "object_id"])
         .withColumn("index_size_mb", pages_to_mb(F.col("used_page_count"), 36, 3))
     )
-    if "database_name" in scope:
-        rows = rows.where(~fold(F.col("database_name")).isin(*[d.lower() for d in excluded_databases]))
-    order = [
-        F.col("last_user_seek").asc_nulls_first(), F.col("last_user_scan").asc_nulls_first(), F.col("index_size_mb").desc(),
-        F.col("object_id"), F.col("index_id"),
-    ]
-    return top_k(rows, k, order, scope).orderBy(*scope, *order).select(
-        *scope, "schema_name", "table_name", "index_name", "user_seeks", "user_scans", "user_lookups", "user_updates",
-        "table_rows", "index_size_mb", "last_user_scan", "last_user_seek", "last_user_update",
-    )
+    rows = without_databases(rows, excluded_databases, scope)
+    return top_k(rows, k, _unused_order(), scope).select(*index, *UNUSED)
 
 
 def index_scripts(
@@ -62,6 +72,12 @@ def index_scripts(
     An index has a bounded number of columns, so its list fits one row. Included
     columns all have ordinal 0 and follow their column id.
     """
+    scripts = _scripts(indexes, index_columns, columns, tables, schemas, scope)
+    return scripts.select(*scope, "schema_name", "table_name", "index_name", "index_id", *SCRIPTS)
+
+
+def _scripts(indexes, index_columns, columns, tables, schemas, scope) -> DataFrame:
+    """The columns of the report, and object_id."""
     scope = list(scope)
     index = [*scope, "object_id", "index_id"]
     parts = (
@@ -93,7 +109,7 @@ def index_scripts(
         quotename(F.col("schema_name")), F.lit("."), quotename(F.col("table_name")),
     )
     return rows.select(
-        *scope, "schema_name", "table_name", "index_name", "index_id", "key_columns", "included_columns",
+        *index, "schema_name", "table_name", "index_name", "key_columns", "included_columns",
         create.alias("create_statement"), drop.alias("drop_statement"),
     )
 
@@ -103,8 +119,8 @@ def unused_index_scripts(
     schemas: DataFrame, index_columns: DataFrame, all_columns: DataFrame, tables: DataFrame, k: int = 100,
     excluded_databases: Sequence[str] = SYSTEM_DATABASES, scope: Sequence[str] = ("database_name",),
 ) -> DataFrame:
-    """The unused indexes, each with the texts that would create and drop it."""
-    unused = unused_indexes(index_usage, indexes, partition_stats, partitions, objects, schemas, k, excluded_databases, scope)
-    name = [*scope, "schema_name", "table_name", "index_name"]
-    scripts = index_scripts(indexes, index_columns, all_columns, tables, schemas, scope=scope)
-    return unused.join(scripts.select(*name, "key_columns", "included_columns", "create_statement", "drop_statement"), name, "left")
+    """The unused indexes, each with the texts that would create and drop it; they meet by the ids of object and index."""
+    index = [*scope, "object_id", "index_id"]
+    unused = _unused(index_usage, indexes, partition_stats, partitions, objects, schemas, k, excluded_databases, scope)
+    scripts = _scripts(indexes, index_columns, all_columns, tables, schemas, scope)
+    return unused.join(scripts.select(*index, *SCRIPTS), index, "left").select(*scope, *UNUSED, *SCRIPTS)

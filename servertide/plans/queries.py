@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from servertide.functions.numbers import div
-from servertide.functions.text import statement_slice
+from servertide.functions.text import name_key, statement_slice
 from servertide.functions.times import instant
 from servertide.operators.lookup import attach, lookup_join
 from servertide.operators.ranking import rankings
@@ -113,7 +113,7 @@ def top_queries(
     full = attach(full, query_plan.select(*scope, "plan_handle", "query_plan"), [*scope, "plan_handle"])
     named = (
         full.join(database_names(databases, scope, "dbid"), [*scope, "dbid"], "left")
-        .where(~F.coalesce("database_name", F.lit("")).isin("", *excluded_databases))
+        .where(~F.coalesce(name_key(F.col("database_name")), F.lit("")).isin("", *map(name_key, excluded_databases)))
         .join(object_names(objects, scope), [*scope, "dbid", "objectid"], "left")
     )
     return named.select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from servertide.functions.numbers import div
-from servertide.functions.text import fold, kill_text, statement_slice, well_formed_xml
+from servertide.functions.text import fold, key_of, kill_text, name_key, statement_slice, well_formed_xml
 from servertide.functions.times import duration_text, instant, plus_seconds, seconds_between
 from servertide.operators.lookup import attach, found_for, lookup_join
 from servertide.operators.ranking import top_k
@@ -23,48 +23,58 @@ def database_names(databases: DataFrame, scope: Sequence[str] = (), key: str = "
     return databases.select(*scope, F.col("database_id").alias(key), F.col("name").alias(name))
 
 
+def _databases_named(databases: DataFrame, database: str, scope: Sequence[str], key: str) -> DataFrame:
+    """Ids of the databases of a name."""
+    return databases.where(key_of(databases, "name") == name_key(database)).select(*scope, F.col("database_id").alias(key))
+
+
 def object_names(objects: DataFrame, scope: Sequence[str] = (), database: str = "dbid", key: str = "objectid") -> DataFrame:
     return objects.select(
         *scope, F.col("database_id").alias(database), F.col("object_id").alias(key), F.col("name").alias("object_name")
     )
 
 
+def _login_counts(processes: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Connections of each database and login; spellings of one login count together, under the first of them."""
+    keyed = processes.withColumn("login_key", key_of(processes, "loginame"))
+    return keyed.groupBy(*scope, "dbid", "login_key").agg(F.count("dbid").alias("connections"), F.min("loginame").alias("loginame"))
+
+
 def connections_by_login(processes: DataFrame, databases: DataFrame, login: str | None = None, scope: Sequence[str] = ()) -> DataFrame:
     """Connections per database and login; processes without a database count as 0."""
-    rows = processes if login is None else processes.where(F.col("loginame") == login)
-    counts = rows.groupBy(*scope, "dbid", "loginame").agg(F.count("dbid").alias("connections"))
-    named = counts.join(database_names(databases, scope, "dbid"), [*scope, "dbid"], "left")
-    return named.select(*scope, "dbid", "database_name", "loginame", "connections").orderBy(*scope, "database_name", "dbid", "loginame")
+    rows = processes if login is None else processes.where(key_of(processes, "loginame") == name_key(login))
+    named = _login_counts(rows, scope).join(database_names(databases, scope, "dbid"), [*scope, "dbid"], "left")
+    return named.orderBy(*scope, name_key(F.col("database_name")), "dbid", "login_key").select(
+        *scope, "dbid", "database_name", "loginame", "connections"
+    )
 
 
 def connections_staged(processes: DataFrame, databases: DataFrame, login: str | None = None, scope: Sequence[str] = ()) -> DataFrame:
     """Connections per real database and login, narrowed to one login afterwards."""
-    counts = (
-        processes.where(F.col("dbid") > 0).groupBy(*scope, "dbid", "loginame").agg(F.count("dbid").alias("connections"))
-        .join(database_names(databases, scope, "dbid"), [*scope, "dbid"], "left")
-        .select(*scope, "database_name", "connections", "loginame")
-    )
-    return counts if login is None else counts.where(F.col("loginame") == login)
+    counts = _login_counts(processes.where(F.col("dbid") > 0), scope).join(database_names(databases, scope, "dbid"), [*scope, "dbid"], "left")
+    if login is not None:
+        counts = counts.where(F.col("login_key") == name_key(login))
+    return counts.select(*scope, "database_name", "connections", "loginame")
 
 
 def active_sessions(who: DataFrame, login: str | None = None, database: str | None = None) -> DataFrame:
     """The captured list of active sessions, all columns text."""
     rows = who
     if login is not None:
-        rows = rows.where(F.col("login") == login)
+        rows = rows.where(key_of(who, "login") == name_key(login))
     if database is not None:
-        rows = rows.where(F.col("db_name") == database)
+        rows = rows.where(key_of(who, "db_name") == name_key(database))
     return rows
 
 
 def counter_values(perf_counters: DataFrame, counter: str) -> DataFrame:
-    return perf_counters.where(F.col("counter_name") == counter)
+    return perf_counters.where(key_of(perf_counters, "counter_name") == name_key(counter))
 
 
 def replica_undo_backlog(perf_counters: DataFrame, counter: str = "Log remaining for undo", object_like: str = "%Database Replica%") -> DataFrame:
     """Replicas that still have log to undo."""
     return perf_counters.where(
-        F.col("object_name").ilike(object_like) & (F.col("counter_name") == counter) & (F.col("cntr_value") != 0)
+        F.col("object_name").ilike(object_like) & (key_of(perf_counters, "counter_name") == name_key(counter)) & (F.col("cntr_value") != 0)
     ).select("object_name", "counter_name", "instance_name", "cntr_value")
 
 
@@ -76,7 +86,7 @@ def session_inventory(
     scope = list(scope)
     mine = sessions
     if login is not None:
-        mine = mine.where(F.col("login_name") == login)
+        mine = mine.where(key_of(sessions, "login_name") == name_key(login))
     if self_id is not None:
         mine = mine.where(F.col("session_id") != self_id)
     of_session = [
@@ -95,7 +105,7 @@ def session_inventory(
         .join(object_names(objects, scope), [*scope, "dbid", "objectid"], "left")
     )
     if database is not None:
-        named = named.where(F.col("database_name") == database)
+        named = named.where(name_key(F.col("database_name")) == name_key(database))
     return (
         named.orderBy(F.col("last_request_start_time").desc(), *scope, "session_id")
         .select(
@@ -135,7 +145,7 @@ def top_waiting_requests(
         of_program = sessions.where(F.col("program_name").ilike(program_like)).select(*scope, "session_id")
         rows = rows.join(of_program, [*scope, "session_id"], "left_semi")
     if text_database is not None:
-        ids = database_names(databases, scope, "dbid").where(F.col("database_name") == text_database).select(*scope, "dbid")
+        ids = _databases_named(databases, text_database, scope, "dbid")
         of_database = sql_text.select(*handle, "dbid").join(ids, [*scope, "dbid"], "left_semi").select(*handle)
         rows = lookup_join(rows, of_database, handle, "left_semi")
 
@@ -191,7 +201,7 @@ def activity_monitor(
     if host_like is not None:
         users = users.where(F.col("host_name").ilike(host_like))
     if login is not None:
-        users = users.where(F.col("login_name") == login)
+        users = users.where(key_of(sessions, "login_name") == name_key(login))
     if program_like is not None:
         users = users.where(F.col("program_name").ilike(program_like))
     if session_id is not None:
@@ -232,7 +242,7 @@ def activity_monitor(
     if database_id is not None:
         rows = rows.where(F.col("database_id") == database_id)
     if database is not None:
-        rows = rows.where(F.col("database_name") == database)
+        rows = rows.where(name_key(F.col("database_name")) == name_key(database))
     if wait_type is not None:
         rows = rows.where(F.col("wait_type") == wait_type)
     if waiting_only:

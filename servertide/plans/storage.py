@@ -8,16 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from servertide.functions.numbers import div, pages_to_mb, rounded_ratio, truncated_ratio
-from servertide.functions.text import fold
+from servertide.functions.text import fold, name_key
 from servertide.operators.ranking import top_k
 from servertide.plans.sessions import database_names
 
 # Databases of the server itself.
 SYSTEM_DATABASES = ("master", "model", "msdb", "tempdb")
+# Their ids are the first.
+LAST_SYSTEM_DATABASE = 4
 
 PAGES_PER_GB = 131_072
 
 
+def without_databases(rows: DataFrame, excluded: Sequence[str], scope: Sequence[str]) -> DataFrame:
+    """``rows`` but for those of the excluded databases, by the name in the scope; the server's own ones also by their id."""
+    if not excluded:
+        return rows
+    if "database_name" in scope:
+        return rows.where(~name_key(F.col("database_name")).isin(*map(name_key, excluded)))
+    if "database_id" in scope and set(excluded) == set(SYSTEM_DATABASES):
+        return rows.where(F.col("database_id") > LAST_SYSTEM_DATABASE)
+    raise ValueError("excluded databases need database_name in the scope (or database_id, for the server's own); else pass none")
+
+
 def _index_sizes(
     indexes: DataFrame, objects: DataFrame, schemas: DataFrame, partitions: DataFrame, allocation_units: DataFrame,
     excluded_databases: Sequence[str], scope: Sequence[str],
@@ -35,8 +48,7 @@ def _index_sizes(
         [*scope, "schema_id"],
     ).select(*scope, "object_id", "schema_name", F.col("name").alias("table_name"))
     rows = indexes.select(*index).join(named, [*scope, "object_id"]).join(sizes, index, "left")
-    if "database_name" in scope:
-        rows = rows.where(~fold(F.col("database_name")).isin(*[d.lower() for d in excluded_databases]))
+    rows = without_databases(rows, excluded_databases, scope)
     return rows.select(*scope, "schema_name", "table_name", "number_of_rows", pages_to_mb(F.col("pages")).alias("total_space_mb"))
 
 

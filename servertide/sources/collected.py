@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from servertide.functions.text import KEY_SUFFIX, name_key
 from servertide.sources.schemas import schema
 
 
-def read_collected(spark: SparkSession, root: str, table: str, *scope: str) -> DataFrame:
-    """One telemetry table below ``root``, by its fixed schema."""
-    return spark.read.schema(schema(table, *scope)).parquet(f"{root}/{table}")
+def read_collected(spark: SparkSession, root: str, table: str, *scope: str, name_keys: Sequence[str] = ()) -> DataFrame:
+    """One telemetry table below ``root``, by its fixed schema, and the keys of the name columns that were collected."""
+    fields = schema(table, *scope)
+    for name in name_keys:
+        fields = fields.add(f"{name}{KEY_SUFFIX}", "string")
+    return spark.read.schema(fields).parquet(f"{root}/{table}")
+
+
+def with_name_keys(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``df`` with the keys of name columns under the server's collation, by which reports then compare them."""
+    return df.withColumns({f"{name}{KEY_SUFFIX}": name_key(F.col(name)) for name in names})
 
 
-def append_collected(df: DataFrame, root: str, table: str) -> None:
-    """Append newly collected rows."""
-    df.write.mode("append").parquet(f"{root}/{table}")
+def append_collected(df: DataFrame, root: str, table: str, name_keys: Sequence[str] = ()) -> None:
+    """Append newly collected rows, with the keys of the given name columns."""
+    with_name_keys(df, name_keys).write.mode("append").parquet(f"{root}/{table}")
 
 
 def append_snapshot(snapshot: DataFrame, root: str) -> None:

@@ -32,6 +32,9 @@ def _database_of(object_id: str) -> str:
 # Who blocks session c_custkey + 1: sessions 51 to 56 are heads of trees with seven sessions below each.
 _BLOCKER = f"CASE WHEN c_custkey < 56 THEN 0 ELSE 50 + {_whole('(c_custkey - 49) / 7')} END"
 
+# Logins in three spellings, which are one under the server's collation.
+_LOGIN = f"concat(CASE c_custkey % 3 WHEN 0 THEN 'Login_' WHEN 1 THEN 'login_' ELSE 'LOGIN_' END, {_text('c_custkey % 20')}, CASE c_custkey % 7 WHEN 0 THEN ' ' ELSE '' END)"
+
 _START = "TIMESTAMP '2024-01-01 00:00:00'"
 
 # Columns of the supplied tables that the views read.
@@ -55,7 +58,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "processes": (("customer", "documents"), f"""
         SELECT c_custkey + 1 AS spid,
                CASE WHEN (c_custkey + 1) % 101 = 0 THEN c_custkey + 1 ELSE {_BLOCKER} END AS blocked,
-               CAST(c_nationkey AS BIGINT) AS dbid, concat('login_', {_text('c_custkey % 20')}) AS loginame,
+               CAST(c_nationkey AS BIGINT) AS dbid, {_LOGIN} AS loginame,
                c_custkey % {_DOCS} AS sql_handle
         FROM customer"""),
     # Chains of 150 sessions, of which every tenth is a cycle; some sessions have two equal rows.
@@ -68,7 +71,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "who": (("customer",), f"""
         SELECT {_text('c_custkey + 1')} AS spid,
                CASE c_mktsegment WHEN 'FURNITURE' THEN 'SUSPENDED' ELSE 'RUNNABLE' END AS status,
-               concat('login_', {_text('c_custkey % 20')}) AS login, c_mktsegment AS host_name,
+               {_LOGIN} AS login, c_mktsegment AS host_name,
                {_text(_whole('(c_custkey + 1) / 7'))} AS blk_by, concat('DB_', {_text('c_nationkey')}) AS db_name,
                'SELECT' AS command, {_text(_whole('c_acctbal + 1000'))} AS cpu_time, {_text('c_custkey * 5')} AS disk_io,
                '01/01 00:00:00' AS last_batch, c_name AS program_name, {_text('c_custkey + 1')} AS spid2, '0' AS request
@@ -79,7 +82,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                {_START} + INTERVAL '1' SECOND * (c_custkey + c_nationkey) AS last_request_end_time,
                c_custkey % 50 <> 0 AS is_user_process,
                CASE WHEN c_nationkey = 3 THEN NULL ELSE concat('host_', {_text('c_nationkey')}) END AS host_name,
-               c_mktsegment AS program_name, concat('login_', {_text('c_custkey % 20')}) AS login_name,
+               c_mktsegment AS program_name, {_LOGIN} AS login_name,
                CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'sleeping' WHEN 'FURNITURE' THEN 'suspended' ELSE 'running' END AS status,
                c_custkey * 3 AS reads, {_whole('c_acctbal + 1000')} AS logical_reads, c_custkey * 2 AS writes,
                'ODBC' AS client_interface_name, 'CORP' AS nt_domain, c_name AS nt_user_name,
@@ -171,7 +174,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "tran_locks": (("lineitem",), "SELECT l_suppkey + 1 AS request_session_id FROM lineitem"),
     "lock_info": (("lineitem",), "SELECT l_partkey AS rsc_objid, l_suppkey + 1 AS req_spid FROM lineitem"),
     "perf_counters": (("events",), f"""
-        SELECT concat('Srv:Database Replica ', {_text('user_id % 3')}) AS object_name, event_type AS counter_name,
+        SELECT concat('Srv:Database Replica ', {_text('user_id % 3')}) AS object_name, CASE user_id % 2 WHEN 0 THEN upper(event_type) ELSE event_type END AS counter_name,
                {_text('user_id')} AS instance_name, CAST(sum({_whole('value / 100')}) AS BIGINT) AS cntr_value
         FROM events GROUP BY user_id, event_type"""),
     "databases": (("orders",), f"""
@@ -218,7 +221,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                concat('disk ', s_name) AS label, 100003 + s_suppkey * 37 AS total_space, 7919 + s_suppkey * 11 AS free_space
         FROM supplier"""),
     "backupset": (("orders",), f"""
-        SELECT o_orderkey AS backup_set_id, concat('DB_', {_text(_whole('o_custkey / 8') + ' + 5')}) AS database_name,
+        SELECT o_orderkey AS backup_set_id,
+               concat(CASE o_orderkey % 3 WHEN 0 THEN 'db_' ELSE 'DB_' END, {_text(_whole('o_custkey / 8') + ' + 5')}) AS database_name,
                CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'I' ELSE 'L' END AS type,
                o_orderdate AS backup_start_date, o_orderdate + INTERVAL '1' SECOND * (o_orderkey % 120000) AS backup_finish_date
         FROM orders"""),

@@ -49,7 +49,7 @@ def collected(spark):
     root = scratch_path(spark, "collected")
     for table in ("sessions", "connections", "sql_text", "databases", "object_names", "query_stats", "query_plan", "statement_plan", "wait_stats", "perf_counters"):
         spark.createDataFrame([], schema(table)).write.parquet(f"{root}/{table}")
-    return lambda table: read_collected(spark, root, table)
+    return lambda table, *name_keys: read_collected(spark, root, table, name_keys=name_keys)
 
 
 def scan_of(plan, column):
@@ -57,9 +57,10 @@ def scan_of(plan, column):
 
 
 def test_filters_and_columns_reach_the_scan(collected):
-    df = sessions.session_inventory(*[collected(t) for t in ("sessions", "connections", "sql_text", "databases", "object_names")], login="x", self_id=7)
+    others = [collected(t) for t in ("connections", "sql_text", "databases", "object_names")]
+    df = sessions.session_inventory(collected("sessions", "login_name"), *others, login="x", self_id=7)
     scan = scan_of(plan_of(df), "login_name")
-    assert "EqualTo(login_name,x)" in scan and "memory_usage" not in scan
+    assert "EqualTo(login_name_key,x)" in scan and "memory_usage" not in scan
 
     df = queries.top_queries(
         *[collected(t) for t in ("query_stats", "sql_text", "query_plan", "databases", "object_names")], since="2024-01-01 00:00:00"
@@ -71,8 +72,8 @@ def test_filters_and_columns_reach_the_scan(collected):
     scan = scan_of(plan_of(waits.top_waits(collected("wait_stats"))), "wait_type")
     assert "Not(In(wait_type" in scan
 
-    scan = scan_of(plan_of(sessions.replica_undo_backlog(collected("perf_counters"))), "counter_name")
-    assert "EqualTo(counter_name,Log remaining for undo)" in scan and "Not(EqualTo(cntr_value,0))" in scan
+    scan = scan_of(plan_of(sessions.replica_undo_backlog(collected("perf_counters", "counter_name"))), "counter_name")
+    assert "EqualTo(counter_name_key,log remaining for undo)" in scan and "Not(EqualTo(cntr_value,0))" in scan
 
 
 def test_top_k_keeps_k_rows_per_task(spark, sf_dir, collected):
