@@ -357,6 +357,12 @@ ORACLES: dict[str, str] = {
         SELECT server_name, wait_type, waiting_tasks_count, wait_time_ms, signal_wait_time_ms
         FROM (SELECT *, row_number() OVER (PARTITION BY server_name ORDER BY wait_time_ms DESC, wait_type) AS n
               FROM server_wait_stats WHERE wait_type NOT IN ({_WAITS})) w WHERE n <= 10"""),
+    "ranked_waits": with_views(["wait_stats"], f"""
+        SELECT *, row_number() OVER (ORDER BY wait_time_ms DESC, wait_type) AS row_num
+        FROM wait_stats WHERE wait_type NOT IN ({_WAITS}) AND waiting_tasks_count > 0"""),
+    "ranked_waits_by_server": with_views(["server_wait_stats"], f"""
+        SELECT *, row_number() OVER (PARTITION BY server_name ORDER BY wait_time_ms DESC, wait_type) AS row_num
+        FROM server_wait_stats WHERE wait_type NOT IN ({_WAITS}) AND waiting_tasks_count > 0"""),
     "wait_type_names": with_views(["requests", "wait_map"], """AND names AS (
             SELECT map_key AS wait_type, map_value FROM wait_map WHERE name = 'wait_types')
         SELECT session_id, request_id, wait_type, last_wait_type, wait_time, map_value,
@@ -378,6 +384,10 @@ ORACLES: dict[str, str] = {
                r.execution_count, r.total_logical_reads // r.execution_count AS avg_reads,
                r.total_worker_time // r.execution_count AS avg_cpu
         FROM query_stats r WHERE r.sql_handle IN (SELECT t.sql_handle FROM sql_text t)"""),
+    "ranked_statements": with_views(["query_stats"], f"""
+        SELECT sql_handle, plan_handle, statement_start_offset, statement_end_offset, execution_count, total_worker_time,
+               row_number() OVER (ORDER BY total_worker_time DESC, sql_handle, plan_handle, statement_start_offset, statement_end_offset) AS row_no
+        FROM query_stats WHERE last_execution_time > TIMESTAMP '{SINCE}' AND execution_count > 5"""),
     "top_queries": _top_queries(),
     "heap_tables": with_views(_TABLE_VIEWS, f"""AND {_index_sizes('o.is_user_table AND NOT o.has_clustered_index')}
         SELECT * EXCLUDE (n) FROM (

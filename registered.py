@@ -54,13 +54,13 @@ def _newest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _append_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append two parts of the permission rows and read the table back."""
+    """Append two parts of the permission rows, each twice, as a retried job would, and read the table back."""
     rows = view(spark, sf_dir, "truncate_permission")
     path = scratch_path(spark, "permission")
     first = F.coalesce(F.col("table_name") < "db.dbo.table_5", F.lit(False))
-    storage.append_permission(rows.where(first), path)
-    storage.append_permission(rows.where(~first), path)
-    return storage.read_table(spark, path)
+    for batch_id, part in [("first", first), ("second", ~first)] * 2:
+        storage.append_permission(rows.where(part), path, batch_id)
+    return storage.permissions(spark, path)
 
 
 def _drives_from_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +143,8 @@ QUERIES: dict[str, Query] = {
     "wait_pareto": over(waits.wait_pareto, "wait_stats", excluded=NO_LOAD_WAITS),
     "wait_pareto_by_server": over(waits.wait_pareto, "server_wait_stats", excluded=NO_LOAD_WAITS, threshold=80, scope=["server_name"]),
     "top_waits_by_server": over(waits.top_waits, "server_wait_stats", excluded=NO_LOAD_WAITS, scope=["server_name"]),
+    "ranked_waits": over(waits.ranked_waits, "wait_stats", excluded=NO_LOAD_WAITS),
+    "ranked_waits_by_server": over(waits.ranked_waits, "server_wait_stats", excluded=NO_LOAD_WAITS, scope=["server_name"]),
     "wait_type_names": over(waits.wait_type_names, "requests", "wait_map"),
     # cached statements
     "statements_matching": over(queries.statements_matching, "query_stats", "sql_text", pattern="%The th%"),
@@ -153,6 +155,7 @@ QUERIES: dict[str, Query] = {
         queries.procedure_plans, "procedure_stats", "query_stats", "query_plan", "object_names", database_id=12
     ),
     "query_averages": over(queries.query_averages, "query_stats", "sql_text"),
+    "ranked_statements": over(queries.ranked_statements, "query_stats", since=SINCE, min_executions=5),
     "top_queries": over(
         queries.top_queries, "query_stats", "sql_text", "query_plan", "databases", "object_names",
         since=SINCE, min_executions=25, excluded_databases=["DB_3"],

@@ -11,6 +11,7 @@ from servertide.functions.numbers import div
 from servertide.functions.text import name_key, statement_slice
 from servertide.functions.times import instant
 from servertide.operators.lookup import attach, lookup_join
+from servertide.operators.numbering import row_numbers
 from servertide.operators.ranking import rankings
 from servertide.plans.sessions import database_names, object_names
 
@@ -84,6 +85,13 @@ def text_of(sql_text: DataFrame, scope: Sequence[str]) -> DataFrame:
     return sql_text.select(*scope, "sql_handle", "dbid", "objectid", "text")
 
 
+def ranked_statements(query_stats: DataFrame, since, min_executions: int = 100, measure: str = "total_worker_time", scope: Sequence[str] = ()) -> DataFrame:
+    """All recent statements that ran often enough, numbered by a measure."""
+    recent = query_stats.where((F.col("last_execution_time") > instant(since)) & (F.col("execution_count") > min_executions))
+    order = [F.col(measure).desc(), *(F.col(c) for c in (*HANDLES, *OFFSETS))]
+    return row_numbers(recent.select(*scope, *HANDLES, *OFFSETS, "execution_count", measure), order, scope, "row_no")
+
+
 def top_queries(
     query_stats: DataFrame, sql_text: DataFrame, query_plan: DataFrame, databases: DataFrame, objects: DataFrame,
     since, min_executions: int = 100, k: int = 20, excluded_databases: Sequence[str] = (), scope: Sequence[str] = (),

@@ -11,6 +11,8 @@ from servertide.functions.numbers import div, pages_to_mb, rounded_ratio, trunca
 from servertide.functions.text import fold, name_key
 from servertide.operators.ranking import top_k
 from servertide.plans.sessions import database_names
+from servertide.sources.collected import append_batch, read_batches
+from servertide.sources.schemas import schema
 
 # Databases of the server itself.
 SYSTEM_DATABASES = ("master", "model", "msdb", "tempdb")
@@ -198,6 +200,11 @@ def job_names(jobs: DataFrame, job_id=None) -> DataFrame:
     return (jobs if job_id is None else jobs.where(F.col("job_id") == job_id)).select("job_id", "name")
 
 
-def append_permission(permissions: DataFrame, path: str) -> None:
-    """Append (table name, principal) rows to the permission table."""
-    permissions.select("table_name", "principal").write.mode("append").parquet(path)
+def append_permission(permissions: DataFrame, path: str, batch_id: str) -> None:
+    """Append (table name, principal) rows to the permission table; a batch that is appended again is there once."""
+    append_batch(permissions.select("table_name", "principal"), path, batch_id)
+
+
+def permissions(spark, path: str) -> DataFrame:
+    """The permission table."""
+    return read_batches(spark, path, schema("truncate_permission"))

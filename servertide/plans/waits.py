@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from servertide.functions.numbers import rounded_ratio
 from servertide.operators.lookup import lookup_join
+from servertide.operators.numbering import row_numbers
 from servertide.operators.ranking import top_k
 from servertide.operators.running import running_total
 
@@ -56,6 +57,14 @@ def top_waits(wait_stats: DataFrame, excluded: Sequence[str] = BENIGN_WAITS_SHOR
     return top_k(waits, k, order, scope).orderBy(*scope, *order)
 
 
+def ranked_waits(wait_stats: DataFrame, excluded: Sequence[str] = BENIGN_WAITS, scope: Sequence[str] = ()) -> DataFrame:
+    """All wait types that were waited for, numbered by wait time."""
+    waits = wait_stats.where(~F.col("wait_type").isin(*excluded) & (F.col("waiting_tasks_count") > 0)).select(
+        *scope, "wait_type", "waiting_tasks_count", "wait_time_ms", "signal_wait_time_ms"
+    )
+    return row_numbers(waits, [F.col("wait_time_ms").desc(), F.col("wait_type")], scope, "row_num")
+
+
 def wait_pareto(
     wait_stats: DataFrame, excluded: Sequence[str] = BENIGN_WAITS, threshold: float = 95, scope: Sequence[str] = (),
     help_prefix: str = WAIT_HELP_PREFIX, slices: int | None = None,

@@ -2,9 +2,14 @@
 
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+
 from servertide.operators.scratch import scratch_path
 from servertide.plans import storage, tempspace
-from servertide.sources.collected import append_collected, append_snapshot, read_collected, read_snapshots
+from servertide.sources.collected import (
+    append_batch, append_collected, append_snapshot, drop_batches, read_batches, read_collected, read_snapshots, replace_batches,
+)
 from servertide.sources.schemas import schema, tables
 
 T0 = datetime(2024, 1, 1, 10)
@@ -26,9 +31,69 @@ def test_every_schema_builds():
 
 def test_permissions(spark, rows):
     path = scratch_path(spark, "permission")
-    for principal in ("p", "q"):
-        storage.append_permission(rows("truncate_permission", [{"table_name": "t", "principal": principal}]), path)
-    assert sorted(tuple(r) for r in storage.read_table(spark, path).collect()) == [("t", "p"), ("t", "q")]
+    for principal in ("p", "q", "q", "p"):
+        storage.append_permission(rows("truncate_permission", [{"table_name": "t", "principal": principal}]), path, f"batch {principal}")
+    assert sorted(tuple(r) for r in storage.permissions(spark, path).collect()) == [("t", "p"), ("t", "q")]
+
+
+def test_batches_are_there_once(spark, rows):
+    """Repeated, after a failed job, and with ids that need escaping; the rows of a batch may change when it is repeated."""
+    root = scratch_path(spark, "batches")
+
+    def waits(*names):
+        return rows("wait_stats", [{"wait_type": n, "wait_time_ms": 1} for n in names])
+
+    def there():
+        return sorted(r.wait_type for r in read_collected(spark, root, "wait_stats").collect())
+
+    for batch_id in ("007", "a/b=c %", "2024-01-01 10:00"):
+        append_collected(waits("x", "y"), root, "wait_stats", batch_id=batch_id)
+    assert there() == ["x"] * 3 + ["y"] * 3
+    append_collected(waits("z"), root, "wait_stats", batch_id="a/b=c %")
+    assert there() == ["x", "x", "y", "y", "z"]
+    many = spark.range(1000).selectExpr(
+        "concat('w', id) AS wait_type", "CASE WHEN id = 900 THEN raise_error('lost') ELSE id END AS waiting_tasks_count", "id AS wait_time_ms", "id AS signal_wait_time_ms"
+    ).repartition(5)
+    for batch_id in ("7", "new"):
+        with pytest.raises(Exception, match="lost"):
+            append_collected(many.select("wait_type", F.col("waiting_tasks_count").cast("long"), "wait_time_ms", "signal_wait_time_ms"), root, "wait_stats", batch_id=batch_id)
+    assert there() == ["x", "x", "y", "y", "z"]
+    append_collected(waits("n"), root, "wait_stats", batch_id="new")
+    assert there() == ["n", "x", "x", "y", "y", "z"]
+    append_collected(waits("u"), root, "wait_stats")
+    append_collected(waits("u"), root, "wait_stats")
+    assert there() == ["n", "u", "u", "x", "x", "y", "y", "z"]
+
+
+def test_replace_and_drop(spark, rows):
+    path = f"{scratch_path(spark, 'replaced')}/wait_stats"
+
+    def table(*names):
+        return rows("wait_stats", [{"wait_type": n} for n in names])
+
+    def there():
+        return sorted(r.wait_type for r in read_batches(spark, path, schema("wait_stats")).collect())
+
+    drop_batches(spark, path)
+    drop_batches(spark, path, keep="a")
+    append_batch(table("x"), path, "a")
+    append_batch(table("y"), path, "b b")
+    replace_batches(table("z"), path, "c c")
+    replace_batches(table("z"), path, "c c")
+    assert there() == ["z"]
+    with pytest.raises(Exception, match="lost"):
+        replace_batches(table("q").withColumn("wait_type", F.raise_error(F.lit("lost")).cast("string")), path, "d")
+    assert there() == ["z"]
+    drop_batches(spark, path)
+    append_batch(table("again"), path, "a")
+    assert there() == ["again"]
+
+
+def test_snapshot_batches(spark, rows):
+    root = scratch_path(spark, "snapshots")
+    for hour in (0, 30, 0, 30):
+        append_snapshot(collection(rows, hour, 4), root, batch_id=f"at {hour}")
+    assert read_snapshots(spark, root).count() == 8
 
 
 def collection(rows, hour, n):
