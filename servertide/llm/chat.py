@@ -15,7 +15,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Control strings that a text must not smuggle in: of a bracket or an angle the rest decides.
@@ -130,25 +130,49 @@ def canonical(records: DataFrame, record_col: str = "record", mappings=MAPPINGS)
     return marked.withColumn("layout", layout).withColumn("turns", found).drop("__parsed", record_col)
 
 
+def _sums_before(numbers: str) -> Column:
+    """For each element of an array column of numbers the sum of those before it.
+
+    Arrays are added up in about as many pieces as a piece has elements, since an array that
+    grows by one element is copied. What a lambda uses besides its arguments is a column, since
+    anything else would be computed again for each element.
+    """
+    zero = F.array(F.lit(0).cast("long"))
+    add = lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x))
+    size = F.greatest(F.size(numbers), F.lit(1))
+    piece = F.ceil(F.sqrt(size)).cast("int")
+    within = F.transform(F.sequence(F.lit(1), size, piece), lambda at: F.aggregate(F.slice(numbers, at, piece), zero, add))
+    offsets = F.aggregate(F.transform(within, lambda sums: F.element_at(sums, -1)), zero, add)
+    # There is one offset more, that behind the last piece.
+    moved = F.zip_with(within, offsets, lambda sums, offset: F.transform(F.slice(sums, F.lit(1), F.size(sums) - 1), lambda x: x + offset))
+    return F.flatten(F.array_compact(moved))
+
+
 def formatted(conversations: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(id, layout, formatted, loss_spans): ``turns`` as one text, and where its assistant texts lie.
+    """(id, layout, formatted, loss_spans) for every row: its ``turns`` as one text, and where the assistant texts lie.
 
-    loss_spans holds (start, end) in code points of the formatted text, in order.
+    loss_spans holds (start, end) in code points of the formatted text, in order. Rows are
+    formatted one by one: rows that repeat an id, or have none, are records of their own. A null
+    role is empty; rows without turns give an empty text and no spans.
     """
-    turns = conversations.select(id_col, "layout", F.posexplode_outer("turns").alias("pos", "turn")).select(
-        id_col, "layout", "pos",
-        F.concat(F.lit(OPEN), escaped(F.coalesce("turn.role", F.lit(""))), F.lit(MIDDLE)).alias("head"),
-        escaped(F.col("turn.text")).alias("body"), F.coalesce(F.col("turn.role") == LEARNT, F.lit(False)).alias("learnt"),
+    turns = F.coalesce("turns", F.array().cast("array<struct<role:string,text:string>>"))
+    parts = F.transform(turns, lambda t: F.struct(
+        F.concat(F.lit(OPEN), escaped(F.coalesce(t["role"], F.lit(""))), F.lit(MIDDLE)).alias("head"),
+        escaped(F.coalesce(t["text"], F.lit(""))).alias("body"), F.coalesce(t["role"] == LEARNT, F.lit(False)).alias("learnt"),
+    ))
+    rows = conversations.select(F.col(id_col).alias("id"), "layout", parts.alias("parts"))
+    lengths = F.transform("parts", lambda x: (F.length(x["head"]) + F.length(x["body"]) + len(END)).cast("long"))
+    rows = rows.select("id", "layout", "parts", lengths.alias("lengths")).select("id", "layout", "parts", _sums_before("lengths").alias("starts"))
+
+    def placed(x: Column, start: Column) -> Column:
+        begin = start + F.length(x["head"])
+        return F.struct(begin.alias("start"), (begin + F.length(x["body"])).alias("end"), x["learnt"].alias("learnt"))
+
+    learnt = F.filter(F.zip_with("parts", "starts", placed), lambda x: x["learnt"])
+    return rows.select(
+        F.col("id").alias(id_col), "layout", F.array_join(F.transform("parts", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "").alias("formatted"),
+        F.transform(learnt, lambda x: F.struct(x["start"], x["end"])).alias("loss_spans"),
     )
-    before = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    own = F.length("head") + F.length("body") + len(END)
-    placed = turns.withColumn("start", F.coalesce(F.sum(own).over(before), F.lit(0)) + F.length("head"))
-    span = F.struct(F.col("start"), (F.col("start") + F.length("body")).alias("end"))
-    return placed.groupBy(id_col).agg(
-        F.first("layout").alias("layout"),
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.concat("head", "body", F.lit(END)).alias("piece"))))).alias("pieces"),
-        F.array_sort(F.collect_list(F.when(F.col("learnt"), span))).alias("loss_spans"),
-    ).select(id_col, "layout", F.array_join("pieces.piece", "").alias("formatted"), "loss_spans")
 
 
 def read_back(texts: DataFrame) -> DataFrame:

@@ -40,9 +40,11 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id
     named n_lines or n_dropped are replaced; other columns pass through.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # Equal ids with equal texts lose equal positions, so this names a row well enough.
-    row = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("none")), text)))
-    document = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("none:"), F.md5(text)))
+    name = F.col(id_col).cast("string")
+    # Equal ids with equal texts lose equal positions, so this names a row. Its parts are told apart by the length of the id,
+    # and rows without an id by their mark.
+    row = F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("id "), F.length(name).cast("string"), F.lit(" "), name), F.lit("none")), F.lit(" "), text)))
+    document = F.coalesce(F.concat(F.lit("id "), name), F.concat(F.lit("none "), F.md5(text)))
     lines = (
         docs.select(row.alias("row"), document.alias("document"), F.posexplode(split_lines(F.col(text_col))).alias("pos", "line"))
         .withColumn("line", line_key(F.col("line")))

@@ -83,3 +83,24 @@ def test_table_of_turns(spark):
     assert format_conversations(table.limit(0)).collect() == []
     plan = made._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_records_of_one_id_stay_apart(spark):
+    turns = "array<struct<role:string,text:string>>"
+    records = [(1, "a", [("user", "q1"), ("assistant", "a1")]), (1, "b", [("user", "q2"), ("assistant", "a2")]), (None, "c", [("user", "q3")]), (None, "d", []), (2, "e", None)]
+    table = spark.createDataFrame(records, f"conv_id long, layout string, turns {turns}").selectExpr("*", "1 AS parts", "2 AS starts")
+    made = formatted(table)
+    back = {r.layout: ([tuple(t) for t in r.turns], r.loss_text) for r in read_back(made).collect()}
+    assert back == {
+        "a": ([("user", "q1"), ("assistant", "a1")], "a1"), "b": ([("user", "q2"), ("assistant", "a2")], "a2"), "c": ([("user", "q3")], ""), "d": ([], ""), "e": ([], ""),
+    }
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in ("Window", "Generate", "Exchange"))
+
+
+def test_long_conversation(spark):
+    """Spans of 20,000 turns, which lie where plain Python finds them."""
+    rows = spark.range(20_000).selectExpr("1 AS conv_id", "id AS turn", "IF(id % 3 = 0, 'user', 'assistant') AS role", "repeat('<s>é', CAST(id % 5 AS INT)) AS text")
+    made = format_conversations(rows).first()
+    spans = [made.formatted[s.start: s.end] for s in made.loss_spans]
+    assert spans == ["<\\s>é" * (k % 5) for k in range(20_000) if k % 3]

@@ -48,3 +48,11 @@ def test_extra_columns_and_empty_table(docs):
 def test_no_python_in_the_plan(docs):
     plan = dedup_lines(docs([(1, "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_ids_that_are_texts(spark):
+    """Ids that look like an id and a text together, or like the mark of a row without an id."""
+    rows = [("1", "2:common\nx"), ("1:2", "common\nx"), ("none", "common"), (None, "common"), ("none common", ""), ("id 1", "2:common"), ("", "common"), ("2 a", "b"), ("2", "a b")]
+    table = spark.createDataFrame(rows, "doc_id string, text string")
+    for least in (1, 2, 3, 4):
+        assert found(table, least) == expected(rows, least)
