@@ -28,6 +28,11 @@ GRAM = 8
 BLOCK = 1_000_000
 #: Characters of a text that are searched at a time.
 STRETCH = 65_536
+#: Lengths of the q-grams that candidates are held to, and how many times as long as the longest of them a piece of text may be for that.
+SHORT_GRAMS = (3, 4, 5)
+SHORT = 3
+#: Cells of the bands that are aligned at a time.
+CELLS = 2_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
 MATCHES = "array<struct<item_id:bigint,edits:int,start:int,end:int>>"
@@ -85,6 +90,12 @@ class Index:
             seen = np.zeros(1 << _FILTER_BITS, bool)
             seen[hashes >> np.uint64(64 - _FILTER_BITS)] = True
             self.tables.append((int(q), hashes[order], owner[order], place[order], seen))
+        # Short q-grams of all items one after the other, by which candidates are compared with a small piece of text.
+        self.short = []
+        for q in SHORT_GRAMS:
+            bins = [grams(p, q) >> np.uint64(64 - _FILTER_BITS) for _, p in self.items]
+            ends = np.cumsum([len(b) for b in bins], dtype=np.int64)
+            self.short.append((q, np.concatenate(bins or [np.zeros(0, np.uint64)]), ends, self.size - q + 1 - self.budget * q))
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item id, edits, start, end) of the best occurrence of each item in the text."""
@@ -98,27 +109,73 @@ class Index:
             (self.items[k][0], edits, int(places[start]), int(places[end - 1]) + 1) for k, (edits, start, end) in best.items()
         )
 
-    def _stretch(self, points: np.ndarray, begin: int, end: int, best: dict[int, tuple[int, int, int]]) -> None:
+    def _stretch(self, points: np.ndarray, begin: int, end: int, best: dict[int, tuple[int, int, int]], only: np.ndarray | None = None) -> None:
+        """Occurrences that lie between ``begin`` and ``end``, of the items marked in ``only``.
+
+        Items may share wording, and a text may repeat it. So the different q-grams of a stretch are
+        counted first, each once, and items that have enough are held to the bounds of shorter q-grams. The
+        halves of a long stretch are searched for the items left; in a short one the places of
+        their q-grams are looked at.
+        """
         part = points[begin:end]
+        found, candidates = [], np.zeros(len(self.items), bool)
         for q, hashes, owner, place, seen in self.tables:
             own = grams(part, q)
             at = np.flatnonzero(seen[own >> np.uint64(64 - _FILTER_BITS)])
             if not len(at):
                 continue
-            low = np.searchsorted(hashes, own[at], "left")
-            count = np.searchsorted(hashes, own[at], "right") - low
+            values, gram = np.unique(own[at], return_inverse=True)
+            low = np.searchsorted(hashes, values, "left")
+            count = np.searchsorted(hashes, values, "right") - low
             hits = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-            item = owner[hits]
-            enough = np.bincount(item, minlength=len(self.items)) >= self.least
-            good = enough[item]
+            enough = np.bincount(owner[hits], minlength=len(self.items)) >= self.least
+            enough &= self.gram == q
+            if only is not None:
+                enough &= only
+            if enough.any():
+                candidates |= enough
+                good = enough[owner[hits]]
+                found.append((at, gram, np.repeat(np.arange(len(values)), count)[good], owner[hits[good]], place[hits[good]]))
+        candidates = self._alike(part, candidates)
+        if not candidates.any():
+            return
+        reach = int((self.size + 2 * self.budget)[candidates].max()) + 2
+        if end - begin > SHORT * reach:
+            middle = (begin + end) // 2
+            self._stretch(points, begin, middle + reach, best, candidates)
+            self._stretch(points, middle, end, best, candidates)
+            return
+        for at, gram, of, item, spot in found:
+            good = candidates[item]
             if not good.any():
                 continue
-            item, spot, where = item[good], place[hits[good]], np.repeat(at, count)[good]
+            of, item, spot = of[good], item[good], spot[good]
+            order = np.argsort(gram, kind="stable")
+            start = np.searchsorted(gram[order], np.arange(gram.max() + 2))
+            number = (start[1:] - start[:-1])[of]
+            row = np.repeat(np.arange(len(of)), number)
+            where = at[order][start[of][row] + np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)]
+            item, spot = item[row], spot[row]
             width = self.budget[item] + 1
             # Places of an item start at 0, so diagonals above -reach stay positive.
             band = (where - spot + self.reach) // width
             self._verify(points, begin, item, np.concatenate([band, band - 1]), spot, best)
 
+    def _alike(self, part: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        """Those of the candidates that share enough of their short q-grams, too, with a piece of text."""
+        kept = candidates.copy()
+        for q, bins, ends, least in self.short:
+            items = np.flatnonzero(kept & (least > 0))
+            if not len(items):
+                continue
+            there = np.zeros(1 << _FILTER_BITS, bool)
+            there[grams(part, q) >> np.uint64(64 - _FILTER_BITS)] = True
+            sizes = self.size[items] - q + 1
+            places = np.repeat(ends[items] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+            shared = np.add.reduceat(there[bins[places]].astype(np.int64), np.cumsum(sizes) - sizes)
+            kept[items[shared < least[items]]] = False
+        return kept
+
     def _verify(self, points, begin, item, bands, spot, best) -> None:
         # Numbered anew, and fields as wide as these hits need: the items of a block share its characters, so a key stays below 2**60.
         own, item = np.unique(item, return_inverse=True)
@@ -128,52 +185,76 @@ class Index:
         key = np.unique((item * wide + (bands + 1)) * stride + spot) // stride
         key, count = np.unique(key, return_counts=True)
         item, band = own[key // wide], key % wide - 1
-        for k in np.unique(item[count >= self.least[item]]):
-            chosen = band[(item == k) & (count >= self.least[item])]
+        full = count >= self.least[item]
+        item, band = item[full], band[full]
+        first = np.flatnonzero(np.diff(item, prepend=-1))
+        aligned = np.ones(len(item), bool)
+        for k, begin_at, end_at in zip(item[first].tolist(), first.tolist(), np.append(first[1:], len(item)).tolist()):
             e, pattern = int(self.budget[k]), self.items[k][1]
             # A verbatim copy needs no alignment, and nothing beats it.
-            low = max(0, int(chosen.min()) * (e + 1) - self.reach + begin)
-            same = verbatim(pattern, points[low: int(chosen.max() + 2) * (e + 1) - self.reach + begin + len(pattern)])
+            low = max(0, int(band[begin_at]) * (e + 1) - self.reach + begin)
+            same = verbatim(pattern, points[low: int(band[end_at - 1] + 2) * (e + 1) - self.reach + begin + len(pattern)])
             if same >= 0:
-                best[int(k)] = (0, low + same, low + same + len(pattern))
-                continue
-            starts = chosen * (e + 1) - self.reach + begin - e
-            edits, ends = align(pattern, points, starts, 2 * (e + 1) + 2 * e + 1, False)
-            top = int(edits.argmin())
-            if edits[top] <= e and (k not in best or edits[top] < best[k][0]):
-                finish = int(ends[top])
-                back, lengths = align(pattern[::-1], points[:finish][::-1], np.array([-e]), 2 * e + 1, True)
-                best[int(k)] = (int(edits[top]), max(0, finish - int(lengths[0])), finish)
-
-
-def align(pattern: np.ndarray, text: np.ndarray, starts: np.ndarray, width: int, anchored: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Least edits of the whole pattern against the text, in a band of ``width`` diagonals from each of ``starts``.
+                best[k] = (0, low + same, low + same + len(pattern))
+                aligned[begin_at:end_at] = False
+            elif k in best and best[k][0] == 0:
+                aligned[begin_at:end_at] = False
+        # All bands of one budget together, as many at a time as memory allows.
+        for e in np.unique(self.budget[item[aligned]]).tolist():
+            rows = np.flatnonzero(aligned & (self.budget[item] == e))
+            width = 4 * e + 3
+            step = max(1, CELLS // width)
+            for at in range(0, len(rows), step):
+                some = rows[at: at + step]
+                starts = band[some] * (e + 1) - self.reach + begin - e
+                edits, ends = align([self.items[k][1] for k in item[some].tolist()], points, starts, width)
+                for n in np.flatnonzero(edits <= e).tolist():
+                    k = int(item[some[n]])
+                    if k in best and edits[n] >= best[k][0]:
+                        continue
+                    finish, pattern = int(ends[n]), self.items[k][1]
+                    _, lengths = align([pattern[::-1]], points[max(0, finish - len(pattern) - e): finish][::-1], np.array([-e]), 2 * e + 1, True)
+                    best[k] = (int(edits[n]), max(0, finish - int(lengths[0])), finish)
+
+
+def align(patterns: list[np.ndarray], text: np.ndarray, starts: np.ndarray, width: int, anchored: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits of each whole pattern against the text, in a band of ``width`` diagonals from its place in ``starts``.
 
     Returns the edits and the end in the text of the best occurrence. ``anchored``: the
     occurrence begins at place 0 of the text; otherwise anywhere in the band.
     """
-    far = len(pattern) + len(text) + 1
+    sizes = np.array([len(p) for p in patterns])
+    # Longest first, so that those still to be read are the first rows.
+    order = np.argsort(-sizes, kind="stable")
+    letters = np.zeros((len(patterns), int(sizes.max())), text.dtype)
+    letters[np.arange(letters.shape[1]) < sizes[order][:, None]] = np.concatenate([patterns[k] for k in order])
+    far = int(sizes.max()) + len(text) + 1
     diagonals = np.arange(width)
-    place = starts[:, None] + diagonals  # end in the text before the first character
+    place = starts[order][:, None] + diagonals  # end in the text before the first character
     inside = (place >= 0) & (place <= len(text))
-    if anchored:
-        cost = np.where(inside, place, far)
-    else:
-        cost = np.where(inside, 0, far)
-    for letter in pattern:
+    cost = np.where(inside, place if anchored else 0, far)
+    padded = np.append(text, text.dtype.type(0))
+    edits, ends = np.zeros(len(patterns), np.int64), np.zeros(len(patterns), np.int64)
+    for at in range(letters.shape[1] + 1):
+        live = int(np.searchsorted(-sizes[order], -at, "left"))
+        done = order[live: len(cost)]
+        if len(done):
+            top = cost[live:].argmin(1)
+            edits[done], ends[done] = cost[live:][np.arange(len(done)), top], place[live:][np.arange(len(done)), top]
+            cost, place = cost[:live], place[:live]
+        if not live:
+            break
         place = place + 1
-        reached = (place >= 1) & (place <= len(text))
-        same = np.zeros(place.shape, bool)
-        same[reached] = text[place[reached] - 1] == letter
+        inside = (place >= 0) & (place <= len(text))
+        reached = inside & (place >= 1)
+        same = padded[np.where(reached, place - 1, len(text))] == letters[:live, at: at + 1]
         step = np.where(reached, cost + ~same, far)
         dropped = np.append(cost[:, 1:], np.full((len(cost), 1), far), axis=1) + 1
-        step = np.where((place >= 0) & (place <= len(text)), np.minimum(step, dropped), far)
+        step = np.where(inside, np.minimum(step, dropped), far)
         # Characters of the text that the pattern lacks: along the row.
         cost = np.minimum.accumulate(step - diagonals, axis=1) + diagonals
-        cost = np.where((place >= 0) & (place <= len(text)), cost, far)
-    top = cost.argmin(1)
-    every = np.arange(len(cost))
-    return cost[every, top], place[every, top]
+        cost = np.where(inside, cost, far)
+    return edits, ends
 
 
 def verbatim(pattern: np.ndarray, text: np.ndarray) -> int:

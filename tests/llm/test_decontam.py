@@ -103,3 +103,24 @@ def test_tables(spark, docs, monkeypatch):
             [(1, 1, 0), (1, 1, 0), (5, 1, 3), (None, 2, 0), (6, 2, 0)], key=repr)
         assert sorted(r.doc_id for r in clean(docs(pairs), items).collect()) == [2, 3, 4]
     assert contaminations(docs([]), items).collect() == [] and contaminations(table, items.limit(0)).collect() == []
+
+
+def test_items_that_share_their_beginning():
+    """Thousands of items with one instruction before them, and texts that repeat it or hold one of them."""
+    import random
+    import time
+
+    from servertide.llm.decontam import Index
+
+    source = random.Random(6)
+    words = ["".join(source.choice("abcdefghijklmnop") for _ in range(source.randint(2, 8))) for _ in range(400)]
+    said = "answer the question below by giving the letter of the one choice that is right and say "
+    rest = lambda n: " ".join(source.choice(words) for _ in range(n))
+    items = [(k, said + rest(20)) for k in range(4000)]
+    index = Index(items)
+    start = time.perf_counter()
+    assert index.matches(said * 800) == []
+    spoilt = items[17][1].replace("e", "x", 3)
+    found = index.matches(f"{rest(1000)} {items[7][1]} {said * 3} {rest(1000)} {spoilt} {rest(50)}")
+    assert time.perf_counter() - start < 30
+    assert [(item, edits) for item, edits, _, _ in found] == [(7, 0), (17, 3)]
