@@ -31,10 +31,12 @@ STRETCH = 65_536
 #: Lengths of the q-grams that candidates are held to, and how many times as long as the longest of them a piece of text may be for that.
 SHORT_GRAMS = (3, 4, 5)
 SHORT = 3
+#: Places of q-grams that are looked at without further ado.
+FEW = 20_000
 #: Cells of the bands that are aligned at a time.
 CELLS = 2_000_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-_FILTER_BITS = 22
+_FILTER_BITS, _SHORT_BITS = 22, 16
 MATCHES = "array<struct<item_id:bigint,edits:int,start:int,end:int>>"
 
 
@@ -93,7 +95,7 @@ class Index:
         # Short q-grams of all items one after the other, by which candidates are compared with a small piece of text.
         self.short = []
         for q in SHORT_GRAMS:
-            bins = [grams(p, q) >> np.uint64(64 - _FILTER_BITS) for _, p in self.items]
+            bins = [grams(p, q) >> np.uint64(64 - _SHORT_BITS) for _, p in self.items]
             ends = np.cumsum([len(b) for b in bins], dtype=np.int64)
             self.short.append((q, np.concatenate(bins or [np.zeros(0, np.uint64)]), ends, self.size - q + 1 - self.budget * q))
 
@@ -113,9 +115,9 @@ class Index:
         """Occurrences that lie between ``begin`` and ``end``, of the items marked in ``only``.
 
         Items may share wording, and a text may repeat it. So the different q-grams of a stretch are
-        counted first, each once, and items that have enough are held to the bounds of shorter q-grams. The
-        halves of a long stretch are searched for the items left; in a short one the places of
-        their q-grams are looked at.
+        counted first, each once. If the items that have enough are at many places, they are held to the bounds
+        of shorter q-grams, and the halves of a long stretch are searched for the items left; then
+        the places of their q-grams are looked at.
         """
         part = points[begin:end]
         found, candidates = [], np.zeros(len(self.items), bool)
@@ -136,15 +138,19 @@ class Index:
                 candidates |= enough
                 good = enough[owner[hits]]
                 found.append((at, gram, np.repeat(np.arange(len(values)), count)[good], owner[hits[good]], place[hits[good]]))
-        candidates = self._alike(part, candidates)
-        if not candidates.any():
-            return
-        reach = int((self.size + 2 * self.budget)[candidates].max()) + 2
-        if end - begin > SHORT * reach:
-            middle = (begin + end) // 2
-            self._stretch(points, begin, middle + reach, best, candidates)
-            self._stretch(points, middle, end, best, candidates)
+        if not found:
             return
+        # Few places are looked at as they are, which gives the same.
+        if sum(int(np.bincount(gram)[of].sum()) for _, gram, of, _, _ in found) > FEW:
+            candidates = self._alike(part, candidates)
+            if not candidates.any():
+                return
+            reach = int((self.size + 2 * self.budget)[candidates].max()) + 2
+            if end - begin > SHORT * reach:
+                middle = (begin + end) // 2
+                self._stretch(points, begin, middle + reach, best, candidates)
+                self._stretch(points, middle, end, best, candidates)
+                return
         for at, gram, of, item, spot in found:
             good = candidates[item]
             if not good.any():
@@ -168,8 +174,8 @@ class Index:
             items = np.flatnonzero(kept & (least > 0))
             if not len(items):
                 continue
-            there = np.zeros(1 << _FILTER_BITS, bool)
-            there[grams(part, q) >> np.uint64(64 - _FILTER_BITS)] = True
+            there = np.zeros(1 << _SHORT_BITS, bool)
+            there[grams(part, q) >> np.uint64(64 - _SHORT_BITS)] = True
             sizes = self.size[items] - q + 1
             places = np.repeat(ends[items] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
             shared = np.add.reduceat(there[bins[places]].astype(np.int64), np.cumsum(sizes) - sizes)
