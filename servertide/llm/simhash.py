@@ -6,13 +6,19 @@ it is set in over half of the hashes. Null, empty and blank texts have fingerpri
 
 Search: two fingerprints that differ in at most 3 bits differ in at most 1 bit in one of
 their halves. So there are two trees, one for each half with the Hamming distance of that
-half. A tree has six levels; the vantage point of a level is the zero fingerprint seen
-through the level's block of bits, and the branch of a fingerprint is its distance to it.
-By the triangle inequality the distances of two fingerprints within 1 bit differ by at most
-1 over all levels together, so a fingerprint belongs to its own leaf and, at one level, to
-the leaf next to it: those boundary shards are all that can hold a partner. In a shard all
-pairs are compared over the 64 bits, exactly; crowded shards are cut into blocks of which
-every two meet. Nothing is approximate.
+half. The first levels have the zero fingerprint, seen through one block of bits each, as
+vantage point; the branch of a fingerprint is its distance to it. By the triangle inequality
+the distances of two fingerprints within 1 bit differ by at most 1 over all blocks together:
+at one block they may lie on two sides of a boundary between branches, and that spends the
+radius. In all other blocks it is 0, so there partners are equally far from every vantage
+point; further levels take the unit vectors of those blocks, whose distances determine the
+bits, and need no more boundaries. A fingerprint therefore looks for partners in the shards
+of the boundaries below and above its branch at each block, at most 16 in all, and those hold
+only fingerprints with the same bits in the rest of the half. Of random fingerprints a shard
+gets one more for every 40 million, so the comparisons stay below the postings up to some
+tens of millions of rows and are about 12 a posting for a billion. In a shard all pairs are
+compared over the 64 bits, exactly; crowded shards are cut into blocks of which every two
+meet. Nothing is approximate.
 
 Equal fingerprints are one class, so thousands of copies are one row in the search. A
 task reports the links it finds as stars (at most one link per fingerprint), which keeps
@@ -38,10 +44,8 @@ from servertide.operators.scratch import written
 MAX_BITS = 3
 SEED = 42
 SHINGLE = 3
-#: Blocks of bits of a half (width, shift): one level of the tree each.
-LEVELS = ((5, 0), (5, 5), (5, 10), (5, 15), (6, 20), (6, 26))
-#: Numbers of a branch: distances 0 to 6.
-BRANCHES = 7
+#: Blocks of bits of a half and their width: the levels of a tree that have boundaries.
+BLOCKS, WIDTH = 4, 8
 SHARD_CAP = 1024
 PAIRS_AT_A_TIME = 2_000_000
 HASHES_AT_A_TIME = 65_536
@@ -77,24 +81,18 @@ def fingerprint(text: Column) -> Column:
 
 
 def _shards(fp: Column) -> Column:
-    """Keys of the shards in which a fingerprint looks for partners: its own leaf, and the boundaries to leaves beside it."""
+    """Keys of the shards in which a fingerprint looks for partners: the boundaries on both sides of its branch, block by block."""
     keys: list[Column] = []
     for tree in range(2):
         half = F.shiftrightunsigned(fp, 32 * tree).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-        far = [
-            F.bit_count(F.shiftright(half, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))).cast("long")
-            for width, shift in LEVELS
-        ]
-        leaf = sum((d * BRANCHES**k for k, d in enumerate(far)), F.lit(0).cast("long"))
-
-        def key(level: int, at: Column) -> Column:
-            return (F.lit(tree * 8 + level).cast("long") * BRANCHES ** len(LEVELS) + at).cast("long")
-
-        keys.append(key(7, leaf))
-        for k, (width, _) in enumerate(LEVELS):
-            # The boundary between distance d and d + 1 of level k carries the number of the nearer leaf.
-            keys.append(F.when(far[k] < width, key(k, leaf)))
-            keys.append(F.when(far[k] > 0, key(k, leaf - BRANCHES**k)))
+        for k in range(BLOCKS):
+            block = ((1 << WIDTH) - 1) << (k * WIDTH)
+            far = F.bit_count(half.bitwiseAND(F.lit(block).cast("long"))).cast("long")
+            rest = half.bitwiseAND(F.lit(0xFFFFFFFF ^ block).cast("long"))
+            # The boundary between the distances d and d + 1 carries the number d.
+            for inside, d in ((far < WIDTH, far), (far > 0, far - 1)):
+                level = F.lit(tree * BLOCKS + k).cast("long") * WIDTH + d
+                keys.append(F.when(inside, F.shiftleft(level, 32).bitwiseOR(rest)))
     return F.array_compact(F.array(*keys))
 
 

@@ -5,7 +5,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from servertide.llm.simhash import fingerprint_of, linked, one_of_each, simhash_components
+from servertide.llm.simhash import _shards, fingerprint_of, linked, one_of_each, simhash_components
 
 
 def plain_print(text):
@@ -105,3 +105,18 @@ def test_search_is_exact_for_flipped_bits(spark):
             if ((a ^ b) % 2**64).bit_count() <= 3:
                 assert reach[a] == reach[b]
     assert all(((a ^ b) % 2**64).bit_count() <= 3 or reach[a] == reach[b] for a, b in map(tuple, links))
+
+
+def work(spark, n):
+    """Postings and comparisons of n random fingerprints."""
+    sizes = (
+        spark.range(n).select(F.explode(_shards(F.xxhash64(F.lit(3), "id"))).alias("key")).groupBy("key").count()
+        .agg(F.sum("count").alias("postings"), F.sum(F.expr("count * (count - 1) / 2")).alias("pairs")).first()
+    )
+    return sizes.postings, int(sizes.pairs)
+
+
+def test_comparisons_do_not_grow_with_the_square(spark):
+    (few_rows, few), (many_rows, many) = work(spark, 50_000), work(spark, 200_000)
+    assert many_rows <= 16 * 200_000 and many < 200_000
+    assert many_rows + many <= 4**1.3 * (few_rows + few)
