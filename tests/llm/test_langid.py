@@ -75,3 +75,23 @@ def test_long_texts_equal_their_windows(spark):
     rows = windows(normal(text))
     found = predict_texts(model, pd.Series([text, "x", text]))
     assert abs(found.score[0] - model.predict(rows).astype(float).mean(0).max()) < 1e-6 and abs(found.score[0] - found.score[2]) < 1e-9
+
+
+def test_sample_is_bounded_whole_and_counts_repeated_rows_once(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 5)
+    pairs = [(i, f"text number {i}") for i in range(3000)] + [(9000, "again")] * 1000
+    table = docs(pairs).selectExpr("doc_id", "text", "CASE WHEN doc_id % 3 = 0 THEN 'a' WHEN doc_id < 8 THEN 'rare' ELSE 'b' END AS lang")
+    sample = langid._sample(table, "doc_id", "text", "lang")
+    learnt = [(r.lang, tuple(r.pieces)) for r in sample]
+    assert len(set(learnt)) == len(learnt)
+    count = {lang: sum(r.lang == lang for r in sample) for lang in ("a", "b", "rare")}
+    assert count["a"] == count["b"] == 5 and 1 <= count["rare"] <= 5
+    monkeypatch.setattr(langid, "SAMPLE", 4)
+    assert len(langid._sample(table, "doc_id", "text", "lang")) == 4
+
+
+def test_all_windows_of_a_piece_are_learnt(spark, docs, monkeypatch):
+    seen = []
+    monkeypatch.setattr(Network, "fit", lambda self, rows, truth: seen.append((rows, truth)))
+    langid.train(docs([(1, "é" * 1000)]))
+    assert len(seen[0][0]) == len(seen[0][1]) == len(windows(("é" * langid.WINDOW).encode())) > 1
