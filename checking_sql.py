@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from registered import AS_OF, NO_LOAD_WAITS, SINCE, SNAPSHOT
 from servertide.plans.backups import FLAG_TEXTS
-from servertide.plans.storage import SYSTEM_DATABASES
+from servertide.plans.storage import DEFAULT_INSTANCE, SYSTEM_DATABASES
 from servertide.plans.waits import WAIT_HELP_PREFIX
 from servertide.sources.derived import with_views
 
@@ -77,7 +77,7 @@ def _activity(condition: str) -> str:
             QUALIFY row_number() OVER (PARTITION BY waiting_task_address ORDER BY wait_duration_ms DESC, waiting_task_id) = 1),
         waiters AS (SELECT blocking_session_id AS session_id, session_id AS waiter FROM requests),
         active AS (
-            SELECT session_id, task_address, task_state, command, open_transaction_count, blocking_session_id AS waits_for
+            SELECT session_id, request_id, task_address, task_state, exec_context_id, command, open_transaction_count, blocking_session_id AS waits_for
             FROM tasks JOIN requests USING (session_id, request_id) WHERE lower(task_state) IN ('runnable', 'running', 'suspended')),
         placed AS (SELECT p.spid AS session_id, d.name FROM processes p LEFT JOIN databases d ON d.database_id = p.dbid)
         SELECT concat('Kill ', session_id) AS kill_command, session_id, CAST(CAST(is_user_process AS INTEGER) AS VARCHAR) AS user_process,
@@ -87,7 +87,8 @@ def _activity(condition: str) -> str:
                CASE WHEN waiter IS NOT NULL AND waits_for = 0 THEN '1' ELSE '' END AS head_blocker, cpu_time AS total_cpu_ms,
                (reads + writes) * 8 // 1024 AS total_physical_io_mb, memory_usage * 8192 // 1024 AS memory_use_kb,
                open_transaction_count AS open_transactions,
-               login_time, last_request_start_time, coalesce(host_name, '') AS host_name, workload_groups.name AS workload_group
+               login_time, last_request_start_time, coalesce(host_name, '') AS host_name, coalesce(client_net_address, '') AS net_address,
+               exec_context_id AS execution_context_id, active.request_id, workload_groups.name AS workload_group
         FROM active JOIN sessions USING (session_id) JOIN workload_groups USING (group_id)
              LEFT JOIN connections USING (session_id) LEFT JOIN placed USING (session_id) LEFT JOIN waiters USING (session_id)
              LEFT JOIN longest USING (task_address)
@@ -127,6 +128,40 @@ def _root_blockers(view: str) -> str:
         FROM links LEFT JOIN heads USING (spid) JOIN behind USING (spid)""", recursive=True)
 
 
+def _file_space(condition: str) -> str:
+    return with_views(["master_files", "file_io_stats", "file_space_used", "databases"], f"""
+        SELECT d.name AS database_name, database_id, file_id, type_desc, upper(physical_name[1]) AS disk_drive, physical_name,
+               {half_up('size_on_disk_bytes', '1048576', 18, 2)} AS size_on_disk_mb, space_used_mb, free_space_perc,
+               CASE WHEN is_percent_growth THEN concat(growth, '%') ELSE concat(growth * 8 // 1024, ' MB') END AS growth,
+               {half_up('CASE WHEN is_percent_growth THEN size * growth ELSE growth * 100 END', '12800', 18, 2)} AS next_growth_mb,
+               num_of_reads, num_of_bytes_read, io_stall_read_ms, num_of_writes, num_of_bytes_written, io_stall_write_ms
+        FROM master_files LEFT JOIN file_io_stats USING (database_id, file_id) LEFT JOIN file_space_used USING (database_id, file_id)
+             LEFT JOIN databases d USING (database_id) WHERE {condition}""")
+
+
+def _blocking_episodes() -> str:
+    """Every blocked session climbs to its head, poll by poll."""
+    return with_views(["polled_requests"], """AND links AS (
+            SELECT DISTINCT snapshot_ts, session_id, blocking_session_id AS blocker
+            FROM polled_requests WHERE blocking_session_id NOT IN (0, session_id)),
+        climb AS (
+            SELECT snapshot_ts, session_id, blocker AS reached, 1 AS steps FROM links
+            UNION ALL
+            SELECT c.snapshot_ts, c.session_id, l.blocker, c.steps + 1
+            FROM climb c JOIN links l ON l.snapshot_ts = c.snapshot_ts AND l.session_id = c.reached),
+        heads AS (
+            SELECT c.snapshot_ts, reached AS head, count(*) AS blocked, max(steps) AS longest
+            FROM climb c ANTI JOIN links l ON l.snapshot_ts = c.snapshot_ts AND l.session_id = c.reached GROUP BY ALL),
+        marked AS (
+            SELECT *, CASE WHEN snapshot_ts - lag(snapshot_ts) OVER (PARTITION BY head ORDER BY snapshot_ts) <= INTERVAL '60' SECOND
+                           THEN 0 ELSE 1 END AS fresh
+            FROM heads),
+        numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY head ORDER BY snapshot_ts) AS episode FROM marked)
+        SELECT head, min(snapshot_ts) AS episode_start, max(snapshot_ts) AS episode_end, count(*) AS polls,
+               max(blocked) AS most_blocked, CAST(max(longest) AS BIGINT) AS longest_chain
+        FROM numbered GROUP BY head, episode""", recursive=True)
+
+
 def _wait_pareto(view: str, threshold: int, server: bool) -> str:
     scope = "server_name" if server else "1"
     column = "server_name, " if server else ""
@@ -348,13 +383,14 @@ ORACLES: dict[str, str] = {
     "blocking_tree_narrow": _blocking_tree(" ", "| ", "HEAD - ", "|------ "),
     "root_blockers": _root_blockers("processes"),
     "root_blockers_chains": _root_blockers("chained_processes"),
+    "blocking_episodes": _blocking_episodes(),
     "blocking_tree_chains": _blocking_tree(" ", "| ", "HEAD - ", "|------ ", "chained_processes"),
     "top_waits": with_views(["wait_stats"], f"""
         SELECT * FROM wait_stats WHERE wait_type NOT IN ({_WAITS}) ORDER BY wait_time_ms DESC, wait_type LIMIT 10"""),
     "wait_pareto": _wait_pareto("wait_stats", 95, False),
     "wait_pareto_by_server": _wait_pareto("server_wait_stats", 80, True),
     "top_waits_by_server": with_views(["server_wait_stats"], f"""
-        SELECT server_name, wait_type, waiting_tasks_count, wait_time_ms, signal_wait_time_ms
+        SELECT server_name, wait_type, waiting_tasks_count, wait_time_ms, max_wait_time_ms, signal_wait_time_ms
         FROM (SELECT *, row_number() OVER (PARTITION BY server_name ORDER BY wait_time_ms DESC, wait_type) AS n
               FROM server_wait_stats WHERE wait_type NOT IN ({_WAITS})) w WHERE n <= 10"""),
     "ranked_waits": with_views(["wait_stats"], f"""
@@ -404,7 +440,7 @@ ORACLES: dict[str, str] = {
                {half_up('sum(size) FILTER (type = 1)', '131072', 20, 6)} AS log_file_size_gb
         FROM databases d LEFT JOIN master_files USING (database_id) GROUP BY database_id, d.name"""),
     "volume_free_space": with_views(["master_files", "volumes"], f"""
-        SELECT volume_mount_point AS volume_letter, logical_volume_name AS volume_label, total_bytes // 1073741824 AS volume_capacity_gb,
+        SELECT machine_name, coalesce(instance_name, '{DEFAULT_INSTANCE}') AS instance_name, volume_mount_point AS volume_letter, logical_volume_name AS volume_label, total_bytes // 1073741824 AS volume_capacity_gb,
                available_bytes // 1073741824 AS volume_free_space_gb, {half_up('available_bytes * 100', 'total_bytes', 5, 2)} AS percentage_free_space
         FROM volumes SEMI JOIN master_files USING (database_id, file_id) GROUP BY ALL"""),
     "drive_space": with_views(["drives"], """
@@ -412,14 +448,8 @@ ORACLES: dict[str, str] = {
                total_space AS total_space_mb,
                CAST(CAST(CAST(free_space AS HUGEINT) * 10000000000 // total_space AS DECIMAL(20,0)) * 0.00000001 AS DECIMAL(22,10)) AS percentage_free
         FROM drives"""),
-    "file_space": with_views(["master_files", "file_io_stats", "file_space_used", "databases"], f"""
-        SELECT d.name AS database_name, database_id, file_id, type_desc, upper(physical_name[1]) AS disk_drive, physical_name,
-               {half_up('size_on_disk_bytes', '1048576', 18, 2)} AS size_on_disk_mb, space_used_mb, free_space_perc,
-               CASE WHEN is_percent_growth THEN concat(growth, '%') ELSE concat(growth * 8 // 1024, ' MB') END AS growth,
-               {half_up('CASE WHEN is_percent_growth THEN size * growth ELSE growth * 100 END', '12800', 18, 2)} AS next_growth_mb,
-               num_of_reads, num_of_bytes_read, io_stall_read_ms, num_of_writes, num_of_bytes_written, io_stall_write_ms
-        FROM master_files LEFT JOIN file_io_stats USING (database_id, file_id) LEFT JOIN file_space_used USING (database_id, file_id)
-             LEFT JOIN databases d USING (database_id)"""),
+    "file_space": _file_space("true"),
+    "file_space_of_path": _file_space("upper(physical_name) LIKE 'D:/%'"),
     "file_space_usage": with_views(["database_files"], f"""
         SELECT database_id, file_id, {half_up('space_used_pages', '128', 18, 2)} AS space_used_mb,
                {half_up('(10000 * size - 12800 * ((200 * space_used_pages + 128) // 256))', '100 * size', 18, 2)} AS free_space_perc

@@ -138,6 +138,7 @@ QUERIES: dict[str, Query] = {
     "root_blockers": over(blocking.root_blockers, "processes"),
     "blocking_tree_chains": over(blocking.blocking_tree, "chained_processes", "sql_text", indent_style="narrow"),
     "root_blockers_chains": over(blocking.root_blockers, "chained_processes"),
+    "blocking_episodes": over(blocking.blocking_episodes, "polled_requests", slice_seconds=3600),
     # waits
     "top_waits": over(waits.top_waits, "wait_stats", excluded=NO_LOAD_WAITS),
     "wait_pareto": over(waits.wait_pareto, "wait_stats", excluded=NO_LOAD_WAITS),
@@ -168,6 +169,9 @@ QUERIES: dict[str, Query] = {
     "drive_space": over(storage.drive_space, "drives", scope=["server_name"]),
     "drive_space_from_bytes": _drives_from_bytes,
     "file_space": over(storage.file_space, "master_files", "file_io_stats", "file_space_used", "databases"),
+    "file_space_of_path": over(
+        storage.file_space, "master_files", "file_io_stats", "file_space_used", "databases", path_like="D:/%", largest_first=True
+    ),
     "file_space_usage": over(storage.file_space_usage, "database_files"),
     "read_table": _table("orders"),
     "newest_rows": _newest_rows,

@@ -210,7 +210,7 @@ def activity_monitor(
         *scope, "group_id", F.col("name").alias("workload_group")
     )
     live = tasks.where(fold(F.col("task_state")).isin("runnable", "running", "suspended")).select(
-        *session, "request_id", "task_state", "task_address"
+        *session, "request_id", "task_state", "task_address", "exec_context_id"
     )
     running = requests.select(
         *session, "request_id", "command", F.col("blocking_session_id").alias("request_blocked_by"), "open_transaction_count"
@@ -229,7 +229,7 @@ def activity_monitor(
     of_process = processes.select(*scope, F.col("spid").alias("session_id"), F.col("dbid").alias("database_id"))
 
     rows = (
-        users.join(connections.select(*session), session, "left")
+        users.join(connections.select(*session, "client_net_address"), session, "left")
         .join(of_process, session, "left")
         .join(blocked, session, "left")
         .join(running, session)
@@ -271,7 +271,9 @@ def activity_monitor(
         div((F.col("reads") + F.col("writes")).cast("long") * 8, 1024).alias("total_physical_io_mb"),
         div(F.col("memory_usage").cast("long") * 8192, 1024).alias("memory_use_kb"),
         F.coalesce("open_transaction_count", F.lit(0)).cast("long").alias("open_transactions"),
-        "login_time", "last_request_start_time", or_empty("host_name").alias("host_name"), "workload_group",
+        "login_time", "last_request_start_time", or_empty("host_name").alias("host_name"),
+        or_empty("client_net_address").alias("net_address"), F.coalesce("exec_context_id", F.lit(0)).cast("long").alias("execution_context_id"),
+        F.col("request_id").cast("long").alias("request_id"), "workload_group",
         "task_address", "blocked_requests",
     )
     return (

@@ -16,6 +16,8 @@ from servertide.sources.schemas import schema
 
 # Databases of the server itself.
 SYSTEM_DATABASES = ("master", "model", "msdb", "tempdb")
+# Fixed value: name of the instance that has none of its own.
+DEFAULT_INSTANCE = "MSSQLSERVER"
 # Their ids are the first.
 LAST_SYSTEM_DATABASE = 4
 
@@ -114,17 +116,13 @@ def database_sizes(databases: DataFrame, master_files: DataFrame, scope: Sequenc
     )
 
 
-def volume_free_space(master_files: DataFrame, volumes: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """Capacity and free space of the volumes that hold database files."""
+def volume_free_space(master_files: DataFrame, volumes: DataFrame, default_instance: str = DEFAULT_INSTANCE, scope: Sequence[str] = ()) -> DataFrame:
+    """Capacity and free space of the volumes that hold database files, by machine and instance."""
     file = [*scope, "database_id", "file_id"]
-    used = (
-        master_files.select(*file)
-        .join(volumes.select(*file, "volume_mount_point", "logical_volume_name", "total_bytes", "available_bytes"), file)
-        .drop("database_id", "file_id").distinct()
-    )
     gb = 1024**3
-    return used.select(
-        *scope, F.col("volume_mount_point").alias("volume_letter"), F.col("logical_volume_name").alias("volume_label"),
+    return volumes.join(master_files.select(*file), file, "left_semi").select(
+        *scope, "machine_name", F.coalesce("instance_name", F.lit(default_instance)).alias("instance_name"),
+        F.col("volume_mount_point").alias("volume_letter"), F.col("logical_volume_name").alias("volume_label"),
         div(F.col("total_bytes"), gb).alias("volume_capacity_gb"),
         div(F.col("available_bytes"), gb).alias("volume_free_space_gb"),
         rounded_ratio(F.col("available_bytes") * 100, F.col("total_bytes"), 5, 2).alias("percentage_free_space"),
@@ -147,10 +145,14 @@ def drive_space(drives: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 
 def file_space(
-    master_files: DataFrame, file_io_stats: DataFrame, file_space_used: DataFrame, databases: DataFrame, scope: Sequence[str] = (),
+    master_files: DataFrame, file_io_stats: DataFrame, file_space_used: DataFrame, databases: DataFrame,
+    path_like: str | None = None, largest_first: bool = False, scope: Sequence[str] = (),
 ) -> DataFrame:
-    """Every file with its drive, size, free share, growth and I/O counters."""
+    """Every file with its drive, size, free share, growth and I/O counters; those of a path, or the largest first."""
     file = [*scope, "database_id", "file_id"]
+    if path_like is not None:
+        # A backslash in a path is a letter, not the escape of a pattern.
+        master_files = master_files.where(F.col("physical_name").ilike(path_like.replace("\\", "\\\\")))
     counters = [
         "num_of_reads", "num_of_bytes_read", "io_stall_read_ms", "num_of_writes", "num_of_bytes_written", "io_stall_write_ms",
     ]
@@ -162,6 +164,8 @@ def file_space(
     growth = F.col("growth").cast("long")
     percent = F.col("is_percent_growth")
     growth_mb = div(growth * 8, 1024)
+    if largest_first:
+        rows = rows.orderBy(*scope, F.col("size_on_disk_bytes").desc_nulls_last(), "database_id", "file_id")
     return rows.select(
         *scope, "database_name", "database_id", "file_id", "type_desc",
         F.upper(F.left(F.col("physical_name"), F.lit(1))).alias("disk_drive"), "physical_name",

@@ -52,7 +52,7 @@ def top_waits(wait_stats: DataFrame, excluded: Sequence[str] = BENIGN_WAITS_SHOR
     """Wait types with the most wait time."""
     order = [F.col("wait_time_ms").desc(), F.col("wait_type")]
     waits = wait_stats.where(~F.col("wait_type").isin(*excluded)).select(
-        *scope, "wait_type", "waiting_tasks_count", "wait_time_ms", "signal_wait_time_ms"
+        *scope, "wait_type", "waiting_tasks_count", "wait_time_ms", "max_wait_time_ms", "signal_wait_time_ms"
     )
     return top_k(waits, k, order, scope).orderBy(*scope, *order)
 
@@ -60,7 +60,7 @@ def top_waits(wait_stats: DataFrame, excluded: Sequence[str] = BENIGN_WAITS_SHOR
 def ranked_waits(wait_stats: DataFrame, excluded: Sequence[str] = BENIGN_WAITS, scope: Sequence[str] = ()) -> DataFrame:
     """All wait types that were waited for, numbered by wait time."""
     waits = wait_stats.where(~F.col("wait_type").isin(*excluded) & (F.col("waiting_tasks_count") > 0)).select(
-        *scope, "wait_type", "waiting_tasks_count", "wait_time_ms", "signal_wait_time_ms"
+        *scope, "wait_type", "waiting_tasks_count", "wait_time_ms", "max_wait_time_ms", "signal_wait_time_ms"
     )
     return row_numbers(waits, [F.col("wait_time_ms").desc(), F.col("wait_type")], scope, "row_num")
 

@@ -54,7 +54,10 @@ def drop_batches(spark: SparkSession, path: str, keep: str | None = None) -> Non
 
 
 def read_collected(spark: SparkSession, root: str, table: str, *scope: str, name_keys: Sequence[str] = ()) -> DataFrame:
-    """One telemetry table below ``root``, by its fixed schema, and the keys of the name columns that were collected."""
+    """One telemetry table below ``root``, by its fixed schema, and the keys of the name columns that were collected.
+
+    Columns that a collection lacked are NULL in its rows, columns that the schema does not have are not read.
+    """
     fields = schema(table, *scope)
     for name in name_keys:
         fields = fields.add(f"{name}{KEY_SUFFIX}", "string")
@@ -66,12 +69,16 @@ def with_name_keys(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumns({f"{name}{KEY_SUFFIX}": name_key(F.col(name)) for name in names})
 
 
-def append_collected(df: DataFrame, root: str, table: str, name_keys: Sequence[str] = (), batch_id: str | None = None) -> None:
+def append_collected(
+    df: DataFrame, root: str, table: str, name_keys: Sequence[str] = (), batch_id: str | None = None, partitions: Sequence[str] = ()
+) -> None:
     """Append newly collected rows, with the keys of the given name columns.
 
     A collection that may be repeated names its batch (such as server and time); without one each call adds its rows.
+    ``partitions`` (such as the server), the same in all calls for a table, become folders, so that reports on some
+    of them read no others. Columns may be missing, as servers of different versions collect different ones.
     """
-    append_batch(with_name_keys(df, name_keys), f"{root}/{table}", batch_id or uuid.uuid4().hex)
+    append_batch(with_name_keys(df, name_keys), f"{root}/{table}", batch_id or uuid.uuid4().hex, *partitions)
 
 
 def append_snapshot(snapshot: DataFrame, root: str, batch_id: str | None = None) -> None:

@@ -108,10 +108,18 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE c_custkey % 4 WHEN 0 THEN -1 ELSE 2 * (c_custkey % 10) + 40 END AS statement_end_offset,
                c_custkey AS sql_handle, c_custkey % {_DOCS} AS plan_handle
         FROM customer"""),
+    # Polls a minute apart, some left out, of twenty sessions each. Who blocks whom changes every seven polls;
+    # session 59 blocks others without a request of its own.
+    "polled_requests": (("orders",), f"""
+        SELECT {_START} + INTERVAL '1' SECOND * (60 * poll) AS snapshot_ts, 51 + place AS session_id,
+               CASE WHEN (place + turn) % 4 IN (1, 2) AND place >= 1 THEN 50 + place
+                    WHEN (place + turn) % 4 = 3 AND place >= 3 THEN 48 + place ELSE 0 END AS blocking_session_id
+        FROM (SELECT {_whole('o_orderkey / 20')} AS poll, o_orderkey % 20 AS place, {_whole('o_orderkey / 140')} AS turn FROM orders) AS polls
+        WHERE place <> 8 AND NOT (turn % 3 = 2 AND poll % 7 = 3)"""),
     "tasks": (("customer",), """
         SELECT c_custkey + 1 AS session_id, CAST(0 AS BIGINT) AS request_id, c_custkey AS task_address,
                CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'RUNNABLE' WHEN 'BUILDING' THEN 'RUNNING'
-                    WHEN 'FURNITURE' THEN 'Suspended' ELSE 'DONE' END AS task_state
+                    WHEN 'FURNITURE' THEN 'Suspended' ELSE 'DONE' END AS task_state, c_custkey % 4 AS exec_context_id
         FROM customer"""),
     "waiting_tasks": (("events", "customer"), f"""
         SELECT user_id AS waiting_task_address, {_whole('value * 100')} AS wait_duration_ms, event_type AS wait_type,
@@ -163,12 +171,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "wait_stats": (("lineitem",), f"""
         SELECT concat('WAIT_', {_text('l_suppkey')}) AS wait_type, count(*) AS waiting_tasks_count,
                CAST(sum({_whole('l_quantity')} * (1 + (l_suppkey % 10) * (l_suppkey % 10) * (l_suppkey % 10))) AS BIGINT) AS wait_time_ms,
+               max({_whole('l_quantity')} * (1 + (l_suppkey % 10) * (l_suppkey % 10) * (l_suppkey % 10))) AS max_wait_time_ms,
                CAST(sum(l_linenumber) AS BIGINT) AS signal_wait_time_ms
         FROM lineitem GROUP BY l_suppkey"""),
     "server_wait_stats": (("lineitem",), f"""
         SELECT concat('server_', l_returnflag, l_linestatus) AS server_name, concat('WAIT_', {_text('l_suppkey')}) AS wait_type,
                count(*) AS waiting_tasks_count,
                CAST(sum({_whole('l_quantity')} * (1 + (l_suppkey % 10) * (l_suppkey % 10))) AS BIGINT) AS wait_time_ms,
+               max({_whole('l_quantity')} * (1 + (l_suppkey % 10) * (l_suppkey % 10))) AS max_wait_time_ms,
                CAST(sum(l_linenumber) AS BIGINT) AS signal_wait_time_ms
         FROM lineitem GROUP BY l_returnflag, l_linestatus, l_suppkey"""),
     "tran_locks": (("lineitem",), "SELECT l_suppkey + 1 AS request_session_id FROM lineitem"),
@@ -214,7 +224,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "volumes": (("part",), f"""
         SELECT {_whole('p_partkey / 10')} AS database_id, p_partkey AS file_id, concat('V', {_text('p_size')}, ':/') AS volume_mount_point,
                concat('vol ', {_text('p_size')}) AS logical_volume_name, CAST(1000000007 AS BIGINT) * (p_size + 100) AS total_bytes,
-               CAST(791900003 AS BIGINT) * (p_size + 1) AS available_bytes
+               CAST(791900003 AS BIGINT) * (p_size + 1) AS available_bytes, concat('machine_', {_text('p_size % 4')}) AS machine_name,
+               CASE WHEN p_size % 4 <> 1 THEN concat('instance_', {_text('p_size % 2')}) END AS instance_name
         FROM part"""),
     "drives": (("supplier",), """
         SELECT s_name AS server_name, CASE s_nationkey % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'D' ELSE 'T' END AS drive_letter,

@@ -32,10 +32,11 @@ _DDL = {
         total_grant_kb BIGINT, last_grant_kb BIGINT, total_used_grant_kb BIGINT, last_used_grant_kb BIGINT,
         total_ideal_grant_kb BIGINT, last_ideal_grant_kb BIGINT, plan_generation_num BIGINT""",
     "procedure_stats": "object_id INT, database_id INT, execution_count BIGINT, plan_handle BINARY",
-    "wait_stats": "wait_type STRING, waiting_tasks_count BIGINT, wait_time_ms BIGINT, signal_wait_time_ms BIGINT",
+    "wait_stats": """wait_type STRING, waiting_tasks_count BIGINT, wait_time_ms BIGINT, max_wait_time_ms BIGINT,
+        signal_wait_time_ms BIGINT""",
     "waiting_tasks": """waiting_task_address BINARY, wait_duration_ms BIGINT, wait_type STRING,
         resource_description STRING, blocking_session_id INT, waiting_task_id BIGINT""",
-    "tasks": "session_id INT, request_id INT, task_address BINARY, task_state STRING",
+    "tasks": "session_id INT, request_id INT, task_address BINARY, task_state STRING, exec_context_id INT",
     "workload_groups": "group_id INT, name STRING",
     "wait_map": "name STRING, map_key INT, map_value STRING",
     "tran_locks": "request_session_id INT",
@@ -54,7 +55,7 @@ _DDL = {
     "file_space_used": "database_id INT, file_id INT, space_used_mb DECIMAL(18,2), free_space_perc DECIMAL(18,2)",
     "database_files": "database_id INT, file_id INT, size INT, space_used_pages INT",
     "volumes": """database_id INT, file_id INT, volume_mount_point STRING, logical_volume_name STRING,
-        total_bytes BIGINT, available_bytes BIGINT""",
+        total_bytes BIGINT, available_bytes BIGINT, machine_name STRING, instance_name STRING""",
     "drives": "drive_letter STRING, label STRING, total_space BIGINT, free_space BIGINT",
     "backupset": """backup_set_id INT, database_name STRING, type STRING, backup_start_date TIMESTAMP_NTZ,
         backup_finish_date TIMESTAMP_NTZ""",

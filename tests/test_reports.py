@@ -382,7 +382,8 @@ def test_spaces(rows):
     volumes = rows("volumes", [
         {"database_id": 1, "file_id": i, "volume_mount_point": "V", "logical_volume_name": "l", "total_bytes": 3 * 2**30, "available_bytes": 2**31} for i in (1, 2)
     ])
-    assert listed(storage.volume_free_space(files, volumes)) == [("V", "l", 3, 2, Decimal("66.67"))]
+    assert listed(storage.volume_free_space(files, volumes)) == [(None, "MSSQLSERVER", "V", "l", 3, 2, Decimal("66.67"))]
+    assert storage.volume_free_space(files, volumes)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
     sizes = storage.database_sizes(rows("databases", [{"database_id": 1, "name": "a"}, {"database_id": 2, "name": "b"}]), files)
     assert bag(sizes) == [("a", Decimal("6.000000"), Decimal("1.000000")), ("b", None, None)]
 
@@ -451,3 +452,12 @@ def test_space(rows):
     assert [r.session_id for r in tempspace.top_session_space(space).collect()] == [2, 5, 8, 1, 4]
     files = rows("file_space", [{"database_id": d, "user_object_reserved_page_count": 2**31} for d in (2, 2, 3)])
     assert tempspace.space_summary(files).first() == (2**35, None, None, None)
+
+
+def test_files_of_a_path_largest_first(rows):
+    paths = {1: "X:\\tempdb\\a.mdf", 2: "x:\\TempDB\\b.ndf", 3: "X:\\tempdb2\\c.mdf", 4: "X:\\tempdb\\d.ndf", 5: None}
+    files = rows("master_files", [{"database_id": 2, "file_id": i, "physical_name": p} for i, p in paths.items()])
+    sizes = rows("file_io_stats", [{"database_id": 2, "file_id": i, "size_on_disk_bytes": i * 2**20} for i in (1, 2, 3)])
+    other = rows("file_space_used", []), rows("databases", [])
+    assert [r.file_id for r in storage.file_space(files, sizes, *other, path_like="X:\\tempdb\\%", largest_first=True).collect()] == [2, 1, 4]
+    assert [r.file_id for r in storage.file_space(files, sizes, *other, largest_first=True).collect()] == [3, 2, 1, 4, 5]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from servertide.operators.scratch import scratch_path
-from servertide.plans import storage, tempspace
+from servertide.plans import storage, tempspace, waits
 from servertide.sources.collected import (
     append_batch, append_collected, append_snapshot, drop_batches, read_batches, read_collected, read_snapshots, replace_batches,
 )
@@ -113,3 +113,19 @@ def test_snapshot_reports_read_one_day(spark, rows):
     assert "PartitionFilters: [isnotnull(collect_day" in plan and "= 2024-01-01)" in plan
     assert [r.row_count for r in tempspace.snapshot_timeline(table, T0 + timedelta(hours=31)).collect()] == [4]
     assert tempspace.snapshot_query_pages(table, T0).columns == ["query_text", "pages"]
+
+
+def test_columns_that_come_and_go(spark, rows):
+    """Older servers lack a column, newer ones have one more; a report on one server lists no other server's files."""
+    root = scratch_path(spark, "versions")
+    waits_of = [{"server_name": s, "wait_type": f"W {s}", "waiting_tasks_count": 1, "wait_time_ms": n, "max_wait_time_ms": n, "signal_wait_time_ms": 0} for n, s in enumerate(("old", "new", "a/b"))]
+    old, new, odd = (rows("wait_stats", [w], "server_name") for w in waits_of)
+    for table, batch in [(old.drop("max_wait_time_ms"), "1"), (new.withColumn("more", F.lit(1)), "2"), (odd, "3"), (odd, "3")]:
+        append_collected(table, root, "wait_stats", batch_id=batch, partitions=["server_name"])
+    got = read_collected(spark, root, "wait_stats", "server_name")
+    assert sorted(got.columns) == sorted(schema("wait_stats", "server_name").names)
+    assert {r.server_name: r.max_wait_time_ms for r in waits.top_waits(got, scope=["server_name"]).collect()} == {"old": None, "new": 1, "a/b": 2}
+    one = waits.top_waits(got.where("server_name = 'old'"), scope=["server_name"])
+    assert [(r.wait_type, r.max_wait_time_ms) for r in one.collect()] == [("W old", None)]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(server_name" in plan and "PushedFilters: [Not(In(wait_type" in plan.replace("PushedFilters: [IsNotNull(wait_type), ", "PushedFilters: [")
