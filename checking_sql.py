@@ -505,3 +505,4 @@ ORACLES["drive_space_from_bytes"] = ORACLES["drive_space"]
 ORACLES["running_statements_stored"] = ORACLES["running_statements"]
 ORACLES["requests_with_plan_stored"] = ORACLES["requests_with_plan"]
 ORACLES["cached_statements_stored"] = ORACLES["cached_statements_with_plan"]
+ORACLES["statements_matching_indexed"] = ORACLES["statements_matching"]

@@ -11,11 +11,13 @@ from servertide.operators.scratch import scratch_path
 from servertide.plans import backups, blocking, indexes, queries, sessions, storage, tempspace, waits
 from servertide.sources.derived import view, views
 from servertide.sources.lookups import KEYS, Lookup
+from servertide.sources.textsearch import TextIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 AS_OF = "2024-01-02 00:00:00"
 SNAPSHOT = "2024-01-10 00:00:00"
+PATTERN = "%The th%"
 SINCE = "1996-01-01 00:00:00"
 NO_LOAD_WAITS = ("WAIT_3", "WAIT_7", "WAIT_19", "WAIT_28")
 
@@ -63,6 +65,15 @@ def _append_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.permissions(spark, path)
 
 
+def _statements_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search with the texts in an index, to which they are added in two overlapping batches."""
+    texts = view(spark, sf_dir, "sql_text")
+    index = TextIndex(spark, scratch_path(spark, "search"), ["sql_handle"], texts.schema)
+    index.add(texts.where(F.pmod("sql_handle", F.lit(2)) == 0), "even")
+    index.add(texts, "all")
+    return queries.statements_matching(view(spark, sf_dir, "query_stats"), index.texts_like(PATTERN), PATTERN)
+
+
 def _drives_from_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drive sizes as collected, text in bytes."""
     drives = view(spark, sf_dir, "drives")
@@ -148,7 +159,8 @@ QUERIES: dict[str, Query] = {
     "ranked_waits_by_server": over(waits.ranked_waits, "server_wait_stats", excluded=NO_LOAD_WAITS, scope=["server_name"]),
     "wait_type_names": over(waits.wait_type_names, "requests", "wait_map"),
     # cached statements
-    "statements_matching": over(queries.statements_matching, "query_stats", "sql_text", pattern="%The th%"),
+    "statements_matching": over(queries.statements_matching, "query_stats", "sql_text", pattern=PATTERN),
+    "statements_matching_indexed": _statements_indexed,
     "cached_statements_with_plan": over(queries.cached_statements_with_plan, "query_stats", "sql_text", "statement_plan"),
     "cached_statements_stored": stored(queries.cached_statements_with_plan, "query_stats", "sql_text", "statement_plan"),
     "procedure_plans": over(queries.procedure_plans, "procedure_stats", "query_stats", "query_plan", "object_names"),
