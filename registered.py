@@ -68,7 +68,7 @@ def _append_permission(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _statements_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search with the texts in an index, to which they are added in two overlapping batches."""
     texts = view(spark, sf_dir, "sql_text")
-    index = TextIndex(spark, scratch_path(spark, "search"), ["sql_handle"], texts.schema)
+    index = TextIndex(spark, scratch_path(spark, "search"), ["sql_handle"], texts.schema, parts=8, slots=32)
     index.add(texts.where(F.pmod("sql_handle", F.lit(2)) == 0), "even")
     index.add(texts, "all")
     return queries.statements_matching(view(spark, sf_dir, "query_stats"), index.texts_like(PATTERN), PATTERN)

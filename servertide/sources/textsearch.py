@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from servertide.operators.lookup import lookup_join
+from servertide.operators.scratch import written
 from servertide.sources.collected import BATCH, append_batch
 
 Q = 3
@@ -25,6 +26,7 @@ Q = 3
 RAREST = 3
 #: Pairs of pattern and text up to which only the folders of those texts are read.
 FEW = 1000
+#: Folders of the lists and of the texts; an index keeps the numbers it was made with.
 PARTS, SLOTS = 256, 1024
 
 # Wildcards, and characters behind the escape.
@@ -49,8 +51,12 @@ def pieces(pattern: str) -> list[str]:
 class TextIndex:
     """Texts with the columns ``fields``, found by parts of their column ``text``; ``key`` names a text."""
 
-    def __init__(self, spark: SparkSession, root: str, key: Sequence[str], fields: T.StructType, text: str = "text"):
+    def __init__(
+        self, spark: SparkSession, root: str, key: Sequence[str], fields: T.StructType, text: str = "text",
+        parts: int = PARTS, slots: int = SLOTS,
+    ):
         self._spark, self._root, self._fields, self._text = spark, root, fields, text
+        self._parts, self._slots = parts, slots
         self._key = list(key)
         keys = [fields[k] for k in self._key]
         part, gram = T.StructField("part", T.IntegerType()), T.StructField("gram", T.StringType())
@@ -76,17 +82,15 @@ class TextIndex:
         rows = rows.select(*self._fields.names).dropna(subset=self._key).dropDuplicates(self._key)
         if self._there():
             rows = rows.join(self._read("texts").where(F.col(BATCH) != batch_id).select(*self._key), self._key, "left_anti").select(*self._fields.names)
-        placed = rows.withColumn("slot", F.pmod(F.xxhash64(*self._key), F.lit(SLOTS)).cast("int"))
-        append_batch(placed.repartition("slot").sortWithinPartitions("slot", *self._key), f"{self._root}/texts", batch_id, "slot")
-        if not self._there():
-            return
-        own = self._read("texts").where(F.col(BATCH) == batch_id).select(*self._key, F.explode(grams(F.col(self._text))).alias("gram"))
+        placed = written(rows.withColumn("slot", self._slot()), "texts")
         order = ["part", "gram", *self._key]
+        own = placed.select(*self._key, F.explode(grams(F.col(self._text))).alias("gram")).withColumn("part", self._part())
         # By ranges, so that the list of a run that most texts have is written by many tasks.
-        lists = own.withColumn("part", _part(F.col("gram"))).repartitionByRange(*order).sortWithinPartitions(*order)
-        append_batch(lists, f"{self._root}/lists", batch_id, "part")
+        append_batch(own.repartitionByRange(*order).sortWithinPartitions(*order), f"{self._root}/lists", batch_id, "part")
         counts = self._read("lists").where(F.col(BATCH) == batch_id).groupBy("part", "gram").agg(F.count("*").alias("texts"))
         append_batch(counts.repartition("part").sortWithinPartitions("part", "gram"), f"{self._root}/counts", batch_id, "part")
+        # Last, so that no text is there before it can be found.
+        append_batch(placed.repartition("slot").sortWithinPartitions("slot", *self._key), f"{self._root}/texts", batch_id, "slot")
 
     def texts_like(self, pattern: str) -> DataFrame:
         """The texts that match a LIKE pattern in any case."""
@@ -118,7 +122,7 @@ class TextIndex:
 
     def _of_runs(self, name: str, runs: set[str]) -> DataFrame:
         """Rows of some runs; their folders are found by the runs' hashes."""
-        one = self._spark.createDataFrame([(r,) for r in sorted(runs)], "gram string").select(_part(F.col("gram")).alias("part")).distinct()
+        one = self._spark.createDataFrame([(r,) for r in sorted(runs)], "gram string").select(self._part().alias("part")).distinct()
         folders = [r.part for r in one.collect()]
         return self._read(name).where(F.col("part").isin(folders) & F.col("gram").isin(sorted(runs)))
 
@@ -138,14 +142,15 @@ class TextIndex:
             lists.join(wanted, "gram").groupBy("pattern", "needed", *self._key).agg(F.count_distinct("gram").alias("had"))
             .where(F.col("had") == F.col("needed")).select("pattern", *self._key)
         )
-        slot = F.pmod(F.xxhash64(*self._key), F.lit(SLOTS)).cast("int")
-        few = found.withColumn("slot", slot).limit(FEW + 1).collect()
+        few = found.withColumn("slot", self._slot()).limit(FEW + 1).collect()
         if len(few) > FEW:
             return lookup_join(found, texts, self._key)
         rows = [tuple(r)[:-1] for r in few]
         named = self._spark.createDataFrame(rows, T.StructType([T.StructField("pattern", T.StringType()), *[self._fields[k] for k in self._key]]))
         return texts.where(F.col("slot").isin(sorted({r.slot for r in few}))).join(F.broadcast(named), self._key)
 
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64("gram"), F.lit(self._parts)).cast("int")
 
-def _part(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(PARTS)).cast("int")
+    def _slot(self) -> Column:
+        return F.pmod(F.xxhash64(*self._key), F.lit(self._slots)).cast("int")

@@ -21,7 +21,7 @@ def filled(spark):
     texts = [" ".join(rng.choices(WORDS, k=rng.randrange(0, 30))) for _ in range(400)] + ["", None, "ab", "abc", "word " * 20_000 + "needle"]
     rows = [(str(i).encode(), i % 3, i, t) for i, t in enumerate(texts)]
     table = spark.createDataFrame([*rows, rows[0], (None, 1, 1, "no handle")], schema("sql_text"))
-    index = TextIndex(spark, scratch_path(spark, "search"), ["sql_handle"], schema("sql_text"))
+    index = TextIndex(spark, scratch_path(spark, "search"), ["sql_handle"], schema("sql_text"), parts=8, slots=64)
     index.add(table.where("objectid % 2 = 0"), "7")
     index.add(table, "all")
     index.add(table, "all")
@@ -82,6 +82,27 @@ def test_nothing_to_find(spark, rows):
     assert index.texts_like("%abc%").collect() == []
 
 
+@pytest.mark.parametrize("lost", ["lists", "counts", "texts"])
+def test_a_call_that_was_cut_off_is_finished_by_repeating_it(spark, rows, monkeypatch, lost):
+    index = TextIndex(spark, scratch_path(spark, "search"), ["sql_handle"], schema("sql_text"), parts=2, slots=2)
+    first, second = (rows("sql_text", [{"sql_handle": bytes([n]), "text": f"text {n} of all"}]) for n in (1, 2))
+    index.add(first, "1")
+    append = textsearch.append_batch
+
+    def cut_off(df, path, *rest):
+        if path.endswith(lost):
+            raise OSError("lost")
+        append(df, path, *rest)
+
+    monkeypatch.setattr(textsearch, "append_batch", cut_off)
+    with pytest.raises(OSError):
+        index.add(second, "2")
+    assert [r.text for r in index.texts_like("%of all%").collect()] == ["text 1 of all"]
+    monkeypatch.setattr(textsearch, "append_batch", append)
+    index.add(second, "2")
+    assert sorted(r.text for r in index.texts_like("%of all%").collect()) == ["text 1 of all", "text 2 of all"]
+
+
 def test_pieces():
     assert pieces("%abcd_ef%ghi\\%jkl%") == ["abc", "bcd", "ghi", "jkl"]
     assert pieces("") == pieces("a%b") == []
