@@ -72,12 +72,6 @@ def kill_text(session_id: Column) -> Column:
     return F.concat(F.lit("Kill "), session_id.cast("string"))
 
 
-def well_formed_xml(column: Column) -> Column:
-    """The text where it is well-formed XML, else NULL."""
-    parsed = F.from_xml(column, "_broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    return F.when(parsed["_broken"].isNull(), column)
-
-
 def _in_units(text: Column, use) -> Column:
     """Apply ``use`` to the text with one character per UTF-16 unit."""
     padded = F.regexp_replace(text, _TWO_UNITS, "$1" + _FILLER)

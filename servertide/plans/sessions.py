@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from servertide.functions.numbers import div
-from servertide.functions.text import fold, key_of, kill_text, name_key, statement_slice, well_formed_xml
+from servertide.functions.text import fold, key_of, kill_text, name_key, statement_slice
 from servertide.functions.times import duration_text, instant, plus_seconds, seconds_between
+from servertide.functions.xml_type import well_formed_xml
 from servertide.operators.lookup import attach, found_for, lookup_join
 from servertide.operators.ranking import top_k
 from servertide.operators.repeat import repeat_rows

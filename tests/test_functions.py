@@ -67,13 +67,6 @@ def test_slice_counts_utf16_units(spark):
     assert value(spark, text.statement_slice(F.lit(batch), F.lit(0), F.lit(8), "exclusive")) == "/*😀"
 
 
-def test_well_formed_xml(spark):
-    assert value(spark, text.well_formed_xml(F.lit("<a><b>1</b></a>"))) == "<a><b>1</b></a>"
-    for broken in ("<a><b>", "plain", ""):
-        assert value(spark, text.well_formed_xml(F.lit(broken))) is None
-    assert value(spark, text.well_formed_xml(F.lit(None).cast("string"))) is None
-
-
 @pytest.mark.parametrize("n, d, scale, expected", [
     (1, 8, 2, "0.13"), (-1, 8, 2, "-0.13"), (1, 3, 4, "0.3333"), (2, 3, 4, "0.6667"), (0, 5, 2, "0.00"),
     # 0.00499999999999999999 is not 0.005
