@@ -1,12 +1,16 @@
 """Embedding near-dedup with a pivot-permutation index.
 
-Reference points (pivots) are taken from a bounded sample of the vectors. Every vector is
-described by its ``NEAREST`` nearest pivots in order; the inverted lists hold, for a label
-and a pair of pivots, the vectors that have both among their nearest. Vectors that share at
-least two pivots meet in the lists of the pairs they share, and the first such list decides:
-there the cosine is taken in double precision and the pair counted once. The index is
-approximate (vectors that share fewer than two pivots are not compared); the tests measure
-its recall against brute force.
+Reference points (pivots) are taken from a bounded sample of the vectors; there are about
+twice as many as the square root of the vectors. Every vector is described by its ``NEAREST`` nearest
+pivots in order. An inverted list holds, for a label and a pivot, the vectors that have
+the pivot among the first ``LISTED`` of theirs. Vectors of a list that share a further
+pivot meet; the pivots they share are counted, and the pair is taken up in the list of the first
+of those in number, so it counts once. Then the cosine is taken in double precision. The
+index is approximate (vectors whose first pivots are disjoint, or that share only one pivot
+at all, are not compared); the tests measure its recall against brute force.
+
+Two vectors share two pivots by chance with a probability that falls with the square of the number of pivots, so the pairs that
+meet grow with the vectors and not with their square, up to ``PIVOTS_MOST`` pivots.
 
 Equal vectors of a label are one class with a weight, so copies are not expanded. A crowded
 list is cut into blocks of which every two meet. Links are counted and reduced to stars in
@@ -16,6 +20,7 @@ the task that finds them; pairs are never written.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +28,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from servertide.llm.components import components
-from servertide.llm.meet import KEY, compare, stars
+from servertide.llm.meet import HIGH, KEY, LOW, SIDE, group_starts, grouped, pairs, stars, whole_groups
 from servertide.operators.scratch import written
 
 COSINE = 0.93
-#: Vectors from which pivots are chosen, and pivots at most (a multiple of 64).
-SAMPLE = 2048
-PIVOTS = 256
+#: Pivots at least and at most, and bytes that they may take.
+PIVOTS, PIVOTS_MOST, PIVOT_BYTES = 256, 8192, 1 << 25
+#: Vectors of the sample for each pivot that is asked for, at least so many.
+SAMPLE, SAMPLE_LEAST = 4, 2048
 #: Pivots that are nearer to each other than this say the same; one of them goes.
 APART = 0.6
-NEAREST = 8
-LIST_CAP = 256
+#: Pivots that describe a vector, and those of them in whose lists it stands.
+NEAREST, LISTED = 10, 5
+#: Rows of a block of a crowded list.
+LIST_CAP = 4096
 PAIRS_AT_A_TIME = 100_000
 
+#: Numbers and unit vectors of the pivots, by the length of the vectors.
+Pivots = dict[int, tuple[np.ndarray, np.ndarray]]
+
 
 def _unit(rows: np.ndarray) -> np.ndarray:
     # Scaling by the largest component first keeps squares of huge and tiny numbers in range.
@@ -43,46 +54,49 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def choose_pivots(sample: list[list[float]]) -> list[np.ndarray]:
+def pivots_for(vectors: int, size: int) -> int:
+    """How many pivots to ask for."""
+    return min(max(PIVOTS, 2 * isqrt(vectors)), max(PIVOTS, min(PIVOTS_MOST, PIVOT_BYTES // (8 * max(size, 1)))))
+
+
+def choose_pivots(sample: list[np.ndarray], most: int) -> Pivots:
     """Unit vectors of the sample that are apart from each other, in its order."""
-    chosen: list[np.ndarray] = []
+    chosen: dict[int, tuple[list[int], np.ndarray]] = {}
+    number = 0
     for row in sample:
-        unit = _unit(np.array([row], float))[0]
-        if all(len(p) != len(unit) or p @ unit < APART for p in chosen):
-            chosen.append(unit)
-        if len(chosen) == PIVOTS:
+        if number == most:
             break
-    return chosen
+        if len(row) not in chosen:
+            chosen[len(row)] = [], np.empty((most, len(row)))
+        numbers, units = chosen[len(row)]
+        unit = _unit(row[None].astype(float))[0]
+        if not numbers or (units[: len(numbers)] @ unit).max() < APART:
+            units[len(numbers)] = unit
+            numbers.append(number)
+            number += 1
+    return {size: (np.array(numbers, np.int32), units[: len(numbers)].copy()) for size, (numbers, units) in chosen.items()}
 
 
-def _described(pivots: list[np.ndarray]):
-    """Unit vectors with the numbers of their nearest pivots, in order, and the pairs of those that name their lists."""
+def _described(pivots: Pivots):
+    """The numbers of the vectors' nearest pivots, in order, as a column of their own."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column("vector")
             sizes = np.asarray(vectors.value_lengths())
-            units, nearest, pairs = ([None] * batch.num_rows for _ in range(3))
+            nearest: list = [None] * batch.num_rows
             flat, offsets = np.asarray(vectors.flatten()), np.concatenate([[0], np.cumsum(sizes)])
             for size in np.unique(sizes):
                 which = np.flatnonzero(sizes == size)
-                rows = _unit(flat[offsets[which][:, None] + np.arange(size)])
-                own = [(k, p) for k, p in enumerate(pivots) if len(p) == size]
-                numbers = np.array([k for k, _ in own] or [0], np.int32)
                 # A size that the sample lacks has one list for all its vectors.
-                near = -(rows @ np.array([p for _, p in own]).T) if own else np.zeros((len(rows), 1))
-                ranked = numbers[np.argsort(near, axis=1, kind="stable")[:, :NEAREST]]
-                ordered = np.sort(ranked, axis=1)
-                first, second = np.triu_indices(ordered.shape[1], int(ordered.shape[1] > 1))
-                named = ordered[:, first] * PIVOTS + ordered[:, second]
-                for k, at in enumerate(which):
-                    units[at], nearest[at], pairs[at] = rows[k], ranked[k], named[k]
+                numbers, units = pivots.get(int(size), (np.zeros(1, np.int32), np.zeros((1, size))))
+                for some in np.array_split(which, max(1, len(which) * len(numbers) // 4_000_000)):
+                    near = -(_unit(flat[offsets[some][:, None] + np.arange(size)].astype(float)) @ units.T)
+                    for at, row in zip(some.tolist(), numbers[np.argsort(near, axis=1, kind="stable")[:, :NEAREST]]):
+                        nearest[at] = row
             yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(n) for n in ("class_id", "weight", "label")), pa.array(sizes, pa.int32()),
-                    pa.array(units, pa.list_(pa.float64())), pa.array(nearest, pa.list_(pa.int32())), pa.array(pairs, pa.list_(pa.int32())),
-                ],
-                names=["class_id", "weight", "label", "size", "unit", "nearest", "pairs"],
+                [*(batch.column(n) for n in ("class_id", "weight", "label", "vector")), pa.array(sizes, pa.int32()), pa.array(nearest, pa.list_(pa.int32()))],
+                names=["class_id", "weight", "label", "vector", "size", "nearest"],
             )
 
     return work
@@ -97,45 +111,98 @@ def _rows(column: pa.ChunkedArray, fill) -> np.ndarray:
     return out
 
 
-def _bits(pivots: np.ndarray) -> np.ndarray:
-    """Sets of pivots (a row each, -1: none) as bits of 64-bit words."""
-    members = np.zeros((len(pivots), PIVOTS), np.uint8)
-    rows, places = np.nonzero(pivots >= 0)
-    members[rows, pivots[rows, places]] = 1
-    return np.packbits(members, axis=1).view(np.uint64)
-
-
-def _judge(threshold: float):
-    def judge(table: pa.Table):
-        units = _rows(table.column("unit"), 0.0)
-        pair, ids, weights, label, size = (np.asarray(table.column(n)) for n in ("pair", "class_id", "weight", "label", "size"))
-        low, high = np.divmod(pair, PIVOTS)
-        near = _bits(_rows(table.column("nearest"), -1))
-        first = _bits(low[:, None])
-        # Pivots before the list's second one; a list of one pivot looks up to that.
-        before = _bits(np.where(np.arange(PIVOTS) < np.where(low == high, low + 1, high)[:, None], np.arange(PIVOTS), -1))
-
-        def links(left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
-            # The pair counts in the list of the two smallest pivots it shares.
-            own = ((near[left] & near[right] & before[left]) == first[left]).all(1)
-            # The lists' keys are hashes, which may coincide.
-            own &= (pair[left] == pair[right]) & (size[left] == size[right]) & (label[left] == label[right])
-            left, right = left[own], right[own]
-            hit = np.einsum("ij,ij->i", units[left], units[right]) >= threshold
-            left, right = left[hit], right[hit]
-            if not len(left):
-                return
-            rows, ends = np.unique(np.concatenate([left, right]), return_inverse=True)
-            count = np.bincount(ends, np.concatenate([weights[right], weights[left]])).astype(np.int64)
-            to = dict(zip(*(x.tolist() for x in stars(ids[left], ids[right]))))
-            a = ids[rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a), pa.array(count), pa.array([to.get(x, x) for x in a.tolist()], pa.int64())], names=["a", "n", "b"]
-            )
+def met(lists: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs to be compared, each once over all lists; ``lists`` holds whole lists or blocks of them.
+
+    Within a list the rows meet by the further pivots that they share, or all with all where that is less work.
+    """
+    near = _rows(lists.column("nearest"), -1)
+    pivot, label, size = (np.asarray(lists.column(n)) for n in ("pivot", "label", "size"))
+    alone = (near >= 0).sum(1) == 1  # described by one pivot, so there is no further one
+    group = np.cumsum(group_starts(lists)) - 1
+    row, place = np.nonzero((near >= 0) & (near != pivot[:, None]))
+    wide = int(near.max(initial=0)) + 2
+    key, count = np.unique(group[row] * wide + near[row, place] + 1, return_counts=True)
+    rows_of = np.bincount(group)
+    whole = np.bincount(key // wide, count.astype(float) ** 2, len(rows_of)) >= rows_of.astype(float) ** 2
+    whole[group[alone]] = True
+    listed = ~whole[group[row]]
+    every = np.flatnonzero(whole[group])
+    further = np.concatenate([near[row, place][listed], np.full(len(every), -1)])
+    row = np.concatenate([row[listed], every])
+    side = np.asarray(lists.column(SIDE))
+    order = np.lexsort((side[row], further, group[row]))
+    row, further = row[order], further[order]
+    inner = pa.table({
+        KEY: group[row] * wide + further + 1, SIDE: side[row],
+        **{n: np.asarray(lists.column(n))[row] for n in (LOW, HIGH)},
+    })
+    none = np.iinfo(near.dtype).max
+    for left, right in pairs(inner, PAIRS_AT_A_TIME):
+        by = further[left]
+        left, right = row[left], row[right]
+        mine = near[left]
+        same = (mine[:, :, None] == near[right][:, None, :]) & (mine >= 0)[:, :, None]
+        shared = same.any(2)
+        # The list of the first pivot that both stand in the lists of ...
+        own = np.where(same[:, :LISTED, :LISTED].any(2), mine[:, :LISTED], none).min(1) == pivot[left]
+        # ... and there the first further one.
+        rest = np.where(shared & (mine != pivot[left][:, None]), mine, none).min(1)
+        own &= np.where(by < 0, (rest != none) | alone[left], rest == by)
+        # The lists' keys are hashes, which may coincide.
+        own &= (pivot[left] == pivot[right]) & (size[left] == size[right]) & (label[left] == label[right])
+        yield left[own], right[own]
+
+
+def _links(threshold: float):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lists in whole_groups(batches):
+            units = _unit(_rows(lists.column("vector"), 0.0).astype(float))
+            ids, weights = (np.asarray(lists.column(n)) for n in ("class_id", "weight"))
+            for left, right in met(lists):
+                hit = np.einsum("ij,ij->i", units[left], units[right]) >= threshold
+                left, right = left[hit], right[hit]
+                if not len(left):
+                    continue
+                rows, ends = np.unique(np.concatenate([left, right]), return_inverse=True)
+                count = np.bincount(ends, np.concatenate([weights[right], weights[left]])).astype(np.int64)
+                to = dict(zip(*(x.tolist() for x in stars(ids[left], ids[right]))))
+                a = ids[rows]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a), pa.array(count), pa.array([to.get(x, x) for x in a.tolist()], pa.int64())], names=["a", "n", "b"]
+                )
 
-        return links
+    return work
+
+
+def inverted_lists(classes: DataFrame) -> DataFrame:
+    """The lists of all vectors of ``classes`` (class_id, weight, label, vector), cut into blocks and dealt to tasks whole."""
+    spark = classes.sparkSession
+    vectors, size = classes.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    most = pivots_for(vectors, size)
+    # Ids are hashes, so those below a bound are a sample, whose expected size is the same for any table.
+    share = min(1.0, max(SAMPLE_LEAST, SAMPLE * most) / max(vectors, 1))
+    part = F.shiftrightunsigned("class_id", 32) < F.lit(int(share * (1 << 32)))
+    sample = classes.where(part).select("class_id", "vector").toArrow().sort_by("class_id")
+    pivots = spark.sparkContext.broadcast(
+        choose_pivots([np.asarray(row.values) for chunk in sample.column("vector").chunks for row in chunk], most)
+    )
 
-    return judge
+    def describe(batches):
+        return _described(pivots.value)(batches)
+
+    fields = classes.schema
+    # A table, so that the lists' sizes are counted without describing the vectors again.
+    described = written(
+        classes.select("class_id", "weight", "label", "vector").mapInArrow(
+            describe,
+            f"class_id long, weight long, label {fields['label'].dataType.simpleString()}, vector {fields['vector'].dataType.simpleString()}, "
+            "size int, nearest array<int>",
+        ),
+        "described",
+    )
+    postings = described.withColumn("pivot", F.explode(F.slice("nearest", 1, LISTED))).withColumn(KEY, F.xxhash64("label", "size", "pivot"))
+    return grouped(postings, "class_id", LIST_CAP)
 
 
 def near_duplicates(
@@ -150,8 +217,9 @@ def near_duplicates(
     n_links, but no component_id of its own beyond that of the rows it links with. Rows
     that repeat an id are rows of their own. Other columns are not read.
     """
-    spark = embeddings.sparkSession
-    vector = F.col(vector_col).cast("array<double>")
+    # Single precision stays what it is until cosines are taken.
+    kind = "float" if embeddings.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    vector = F.col(vector_col).cast(f"array<{kind}>")
     sound = (
         F.col(label_col).isNotNull() & vector.isNotNull()
         & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
@@ -159,7 +227,7 @@ def near_duplicates(
     )
     rows = embeddings.select(
         F.col(id_col).alias("id"), F.col(label_col).alias("label"),
-        F.when(F.coalesce(sound, F.lit(False)), F.transform(vector, lambda x: x + F.lit(0.0))).alias("vector"),
+        F.when(F.coalesce(sound, F.lit(False)), F.transform(vector, lambda x: x + F.lit(0.0).cast(kind))).alias("vector"),
     ).withColumn("hash", F.when(F.col("vector").isNotNull(), F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256)))
     rows = written(rows, "vectors")
     classes = written(
@@ -168,24 +236,7 @@ def near_duplicates(
         .withColumn("class_id", F.xxhash64("label", "hash")),
         "classes",
     )
-    sample = [r[0] for r in classes.select("vector", "hash", "label").orderBy("hash", "label").limit(SAMPLE).select("vector").toLocalIterator()]
-    pivots = spark.sparkContext.broadcast(choose_pivots(sample))
-
-    def describe(batches):
-        return _described(pivots.value)(batches)
-
-    kind = classes.schema["label"].dataType.simpleString()
-    # A table, so that the lists' sizes are counted without describing the vectors again.
-    described = written(
-        classes.select("class_id", "weight", "label", "vector").mapInArrow(
-            describe, f"class_id long, weight long, label {kind}, size int, unit array<double>, nearest array<int>, pairs array<int>"
-        ),
-        "described",
-    )
-    postings = described.withColumn("pair", F.explode("pairs")).drop("pairs").withColumn(KEY, F.xxhash64("label", "size", "pair"))
-    found = written(
-        compare(postings, "class_id", LIST_CAP, PAIRS_AT_A_TIME, _judge(threshold), "a long, n long, b long"), "found"
-    )
+    found = written(inverted_lists(classes).mapInArrow(_links(threshold), "a long, n long, b long"), "found")
     counts = found.groupBy(F.col("a").alias("class_id")).agg(F.sum("n").alias("others"))
     roots = components(found.select("a", "b")).withColumnRenamed("node", "class_id")
     rooted = classes.drop("vector").join(roots, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
