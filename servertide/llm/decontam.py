@@ -10,8 +10,8 @@ text around the band. Nothing that the bound admits is missed.
 
 The budget e is ``EDITS`` of the item's length; q is at most ``GRAM`` and small enough that
 the bound is at least 1. Benchmark items are the query set: they are read in blocks of
-``BLOCK`` characters, each indexed and sent to the workers, so what is broadcast is bounded
-whatever the size of the benchmark. Texts are searched whole, in overlapping stretches.
+``BLOCK`` characters, each indexed and sent to the workers; one block is bounded, all of them
+grow with the benchmark. Texts are searched whole, in overlapping stretches.
 """
 
 from __future__ import annotations
