@@ -19,12 +19,21 @@ from pyspark.sql import functions as F
 KEY, LOW, HIGH, SIDE = "__key", "__low", "__high", "__side"
 
 
-def grouped(postings: DataFrame, row_id: str, cap: int) -> DataFrame:
-    """``postings`` (with a bigint column ``__key``) dealt to groups and sorted by group and side."""
-    crowded = (
+def crowded_keys(postings: DataFrame, cap: int) -> DataFrame:
+    """(__key, __blocks) of the keys with more than ``cap`` rows."""
+    return (
         postings.groupBy(KEY).count().where(F.col("count") > cap)
         .select(KEY, F.ceil(F.col("count") / cap).cast("int").alias("__blocks"))
     )
+
+
+def grouped(postings: DataFrame, row_id: str, cap: int, crowded: DataFrame | None = None) -> DataFrame:
+    """``postings`` (with a bigint column ``__key``) dealt to groups and sorted by group and side.
+
+    ``crowded`` is the result of ``crowded_keys``. Where the caller has written it, the planner
+    sees its size, and if it is small the rows are shuffled once and not twice.
+    """
+    crowded = crowded_keys(postings, cap) if crowded is None else crowded
     blocks = F.coalesce("__blocks", F.lit(1))
     placed = (
         postings.join(crowded, KEY, "left")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from servertide.llm.components import components
-from servertide.llm.meet import HIGH, KEY, LOW, SIDE, group_starts, grouped, pairs, stars, whole_groups
+from servertide.llm.meet import HIGH, KEY, LOW, SIDE, crowded_keys, group_starts, grouped, pairs, stars, whole_groups
 from servertide.operators.scratch import written
 
 COSINE = 0.93
@@ -202,7 +202,7 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
         "described",
     )
     postings = described.withColumn("pivot", F.explode(F.slice("nearest", 1, LISTED))).withColumn(KEY, F.xxhash64("label", "size", "pivot"))
-    return grouped(postings, "class_id", LIST_CAP)
+    return grouped(postings, "class_id", LIST_CAP, written(crowded_keys(postings, LIST_CAP), "crowded"))
 
 
 def near_duplicates(
