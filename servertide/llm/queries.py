@@ -46,12 +46,17 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
+def _number_of(spans: Column, kind: int) -> Column:
+    # A lambda's second parameter would be the index in the array, so the kind is none.
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["strict"])
     return found.select(
         "doc_id",
-        *(F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)),
+        *(_number_of(base, k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)),
         F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"),
     )
 

@@ -1,9 +1,11 @@
 """Personal data: base spans against the plain patterns, votes and their weights, and edge rows."""
 
+import hashlib
 import random
 import re
 
 from servertide.llm.pii import KINDS, base_spans, code, decode, find_personal_data, fit_classifier, luhn, votes, weigh
+from servertide.llm.queries import QUERIES
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -88,3 +90,21 @@ def test_table(spark, docs):
     assert added > 0
     assert all(not r.spans for r in rows if r.doc_id in (2, 3, 4))
     assert find_personal_data(docs([])).collect() == []
+
+
+def test_query(spark, docs, tmp_path):
+    """The contract's columns, whatever the order and number of the kinds in a text."""
+    random.seed(5)
+    parts = ["bob@example.com", "10.0.0.1", "4111 1111 1111 1111", "+49 30 1234567", "256.1.1.1", "4111111111111112", "x@y", "٣.1.1.1", "\U0001f600é\n", "\ufeff\0\t", "bob [at] example [dot] com", "tel (030) 1234 567"]
+    texts = [None, "", *parts, " ".join(parts), " ".join(parts[::-1]), "10.0.0.1 10.0.0.2 10.0.0.3", "+49 30 1234567, +49 30 7654321, a@b.c", "a@b.c " * 3000 + "1.2.3.4"]
+    texts += [random.choice(["", " ", "\n"]).join(random.choices(parts, k=random.randint(1, 12))) for _ in range(300)]
+    texts += ["".join(random.choices("ab1234567890@@..--  +()é\U0001f600", k=random.randint(0, 60))) for _ in range(700)]
+    docs(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op3_personal_data"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        base = plain(texts[r.doc_id] or "")
+        named = [f"{KINDS[k]}:{a}:{b}" for a, k, b in base]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[1] == k for s in base) for k in range(4)], texts[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(",".join(named).encode()).hexdigest()
+        assert set(named) <= set(r.spans.split(",")) | {""}
