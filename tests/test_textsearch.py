@@ -2,7 +2,9 @@
 
 import random
 import re
+from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +105,53 @@ def test_a_call_that_was_cut_off_is_finished_by_repeating_it(spark, rows, monkey
     assert sorted(r.text for r in index.texts_like("%of all%").collect()) == ["text 1 of all", "text 2 of all"]
 
 
+def test_lists_are_rows_of_many_texts(spark):
+    """One row for a run and a stretch of texts, so that rows do not grow with texts times runs."""
+    index = TextIndex(spark, scratch_path(spark, "search"), ["sql_handle"], schema("sql_text"), parts=2, slots=2)
+    texts = spark.range(1000).selectExpr("encode(CAST(id AS STRING), 'utf-8') AS sql_handle", "1 AS dbid", "1 AS objectid", "concat('Select * from orders where customer = ', id) AS text")
+    index.add(texts, "1")
+    index.add(texts, "2")
+    lists, counts = index._read("lists"), index._read("counts")
+    postings = counts.agg(F.sum("texts")).first()[0]
+    assert postings > 30_000 > 10 * lists.count()
+    assert {r.gram: r.texts for r in counts.collect()} == {r.gram: r.n for r in lists.groupBy("gram").agg(F.sum(F.size("numbers")).alias("n")).collect()}
+    assert counts.where("gram = 'sel'").first().texts == index.search(["%SELECT%"]).count() == 1000
+    assert [r.text for r in index.texts_like("%= 77").collect()] == ["Select * from orders where customer = 77"]
+
+
+def in_python(rows, stretch):
+    """{(slot, run): numbers} as workers find them."""
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[k] for r in rows], pa.int32()) for k in (1, 2)]], names=["low", "slot", "number"])
+    found = defaultdict(list)
+    for out in textsearch._listed(stretch)([batch]):
+        for r in out.to_pylist():
+            found[r["slot"], r["gram"]] += r["numbers"]
+    return found
+
+
+def plainly(rows):
+    found = defaultdict(list)
+    for text, slot, number in rows:
+        for run in {text[i: i + 3] for i in range(len(text) - 2)}:
+            found[slot, run].append(number)
+    return found
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 40, 10_000])
+def test_runs_of_texts_that_are_longer_and_shorter_than_a_stretch(stretch):
+    rng = random.Random(stretch)
+    rows = [("".join(rng.choices("ab\0é😀\n\uffff\U0010ffff", k=rng.choice([0, 1, 2, 3, 9, 60]))), n // 25, n) for n in range(100)]
+    assert in_python(rows, stretch) == plainly(rows)
+    assert in_python([], stretch) == {}
+
+
+def test_runs_of_so_many_letters_that_texts_are_halved():
+    letters = [chr(c) for c in range(0x10000, 0x10000 + 140_000)]
+    rows = [("".join(letters[n * 35: n * 35 + 35]), 1, n) for n in range(4000)] + [("".join(letters[:5]), 1, 4000)]
+    assert len(letters) ** 3 * len(rows) > 2**63
+    assert in_python(rows, 10**7) == plainly(rows)
+
+
 def test_pieces():
     assert pieces("%abcd_ef%ghi\\%jkl%") == ["abc", "bcd", "ghi", "jkl"]
     assert pieces("") == pieces("a%b") == []
